@@ -1,12 +1,17 @@
 """The registered queries of this package, each over whole tables, and their SQL where SQL can say it."""
 
-from assaya.llm import secret_scans
+from assaya.llm import quality_rules, secret_scans
 from assaya.shared import table
 
 
+def op4_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality_rules.judge(docs, table(spark, sf_dir, "labels"))
+
+
 def op5_secret_scans(spark, sf_dir):
     return secret_scans.digest(secret_scans.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op5_secret_scans": op5_secret_scans}
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_secret_scans)}
 ORACLES = {}
