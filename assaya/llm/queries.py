@@ -1,9 +1,20 @@
 """The registered queries of this package, each over whole tables, and their SQL where SQL can say it."""
 
-from assaya.llm import quality_rules, secret_scans
+from pyspark.sql import functions as F
+
+from assaya.llm import quality_rules, secret_scans, url_filters, warc
 from assaya.shared import table
 
 
+def op1_url_filters(spark, sf_dir):
+    """A page's label is that of the document whose number ends its url's path."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract(url_filters.path_of(F.col("url")), r"(\d{1,18})(?:\.[a-z]+)?/?$", 1).try_cast("long")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0).alias("good"))
+    labelled = pages.select("url", number.alias("doc_id")).join(labels, "doc_id")
+    return url_filters.judge(pages, labelled)
+
+
 def op4_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.judge(docs, table(spark, sf_dir, "labels"))
@@ -13,5 +24,9 @@ def op5_secret_scans(spark, sf_dir):
     return secret_scans.digest(secret_scans.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_secret_scans)}
+def op7_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op4_quality_rules, op5_secret_scans, op7_warc)}
 ORACLES = {}
