@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from assaya.llm import quality_rules, secret_scans, url_filters, warc
+from assaya.llm import near_dedup, quality_rules, secret_scans, url_filters, warc
 from assaya.shared import table
 
 
@@ -15,6 +15,10 @@ def op1_url_filters(spark, sf_dir):
     return url_filters.judge(pages, labelled)
 
 
+def op3_near_dedup(spark, sf_dir):
+    return near_dedup.group(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.judge(docs, table(spark, sf_dir, "labels"))
@@ -28,5 +32,5 @@ def op7_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op4_quality_rules, op5_secret_scans, op7_warc)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_near_dedup, op4_quality_rules, op5_secret_scans, op7_warc)}
 ORACLES = {}
