@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from assaya.llm import near_dedup, quality_rules, secret_scans, url_filters, warc
+from assaya.llm import language_id, near_dedup, quality_rules, secret_scans, url_filters, warc
 from assaya.shared import table
 
 
@@ -32,5 +32,9 @@ def op7_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_near_dedup, op4_quality_rules, op5_secret_scans, op7_warc)}
+def op9_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_near_dedup, op4_quality_rules, op5_secret_scans, op7_warc, op9_language_id)}
 ORACLES = {}
