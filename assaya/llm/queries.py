@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from assaya.llm import language_id, near_dedup, quality_rules, secret_scans, url_filters, warc
+from assaya.llm import ann, language_id, near_dedup, quality_rules, secret_scans, url_filters, warc
 from assaya.shared import table
 
 
@@ -32,9 +32,15 @@ def op7_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
 
 
+def op8_ann(spark, sf_dir):
+    """Queries: the rows whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op9_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_near_dedup, op4_quality_rules, op5_secret_scans, op7_warc, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_near_dedup, op4_quality_rules, op5_secret_scans, op7_warc, op8_ann, op9_language_id)}
 ORACLES = {}
