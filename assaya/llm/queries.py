@@ -1,10 +1,15 @@
 """The registered queries of this package, each over whole tables, and their SQL where SQL can say it."""
 
+import os
+
 from pyspark.sql import functions as F
 
-from assaya.llm import ann, language_id, near_dedup, quality_rules, secret_scans, url_filters, warc
+from assaya.llm import ann, language_id, near_dedup, quality_rules, secret_scans, sentencepiece_codec, url_filters, warc
 from assaya.shared import table
 
+#: Where the public vocabulary files lie; a library folder on every machine.
+TOKENIZERS = os.environ.get("ASSAYA_TOKENIZERS", "/opt/tokenizers")
+
 
 def op1_url_filters(spark, sf_dir):
     """A page's label is that of the document whose number ends its url's path."""
@@ -42,5 +47,10 @@ def op9_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_near_dedup, op4_quality_rules, op5_secret_scans, op7_warc, op8_ann, op9_language_id)}
+def op10_sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.round_trip(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_near_dedup, op4_quality_rules, op5_secret_scans, op7_warc, op8_ann, op9_language_id, op10_sentencepiece)}
 ORACLES = {}
