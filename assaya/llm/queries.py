@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from assaya.llm import ann, language_id, near_dedup, quality_rules, secret_scans, sentencepiece_codec, url_filters, warc
+from assaya.llm import ann, language_id, near_dedup, quality_rules, secret_scans, sentencepiece_codec, token_counts, url_filters, warc
 from assaya.shared import table
 
 #: Where the public vocabulary files lie; a library folder on every machine.
@@ -20,6 +20,15 @@ def op1_url_filters(spark, sf_dir):
     return url_filters.judge(pages, labelled)
 
 
+#: The split before the merges of the rank file, as its library publishes it.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def op2_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count(docs, f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", SPLIT, eod=50256)
+
+
 def op3_near_dedup(spark, sf_dir):
     return near_dedup.group(table(spark, sf_dir, "documents"))
 
@@ -52,5 +61,5 @@ def op10_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.round_trip(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_near_dedup, op4_quality_rules, op5_secret_scans, op7_warc, op8_ann, op9_language_id, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_near_dedup, op4_quality_rules, op5_secret_scans, op7_warc, op8_ann, op9_language_id, op10_sentencepiece)}
 ORACLES = {}
