@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from assaya.llm import ann, language_id, near_dedup, quality_rules, secret_scans, sentencepiece_codec, token_counts, url_filters, warc
+from assaya.llm import ann, language_id, mixing, near_dedup, quality_rules, secret_scans, sentencepiece_codec, token_counts, url_filters, warc
 from assaya.shared import table
 
 #: Where the public vocabulary files lie; a library folder on every machine.
@@ -42,6 +42,12 @@ def op5_secret_scans(spark, sf_dir):
     return secret_scans.digest(secret_scans.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = mixing.label_domains(table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, labels, {"clean": 0.9, "low": 0.06, "toxic": 0.04})
+
+
 def op7_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
 
@@ -61,5 +67,11 @@ def op10_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.round_trip(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_near_dedup, op4_quality_rules, op5_secret_scans, op7_warc, op8_ann, op9_language_id, op10_sentencepiece)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_near_dedup, op4_quality_rules, op5_secret_scans, op6_mixing, op7_warc, op8_ann, op9_language_id, op10_sentencepiece, pipeline)}
 ORACLES = {}

@@ -200,16 +200,20 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, rules=BASE_RULES + MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with each secret replaced by ``[kind]``; all columns stay. A null text stays null."""
-    text = F.col(text_col)
+def redacted(text: Column, rules=BASE_RULES + MORE_RULES) -> Column:
+    """The text with each match of each rule replaced by ``[kind]``. Null stays null."""
     for rule in rules:
-        if rule.group:  # a short value stays, as the scan drops it
-            sharp = rule.pattern.replace("+)", "{%d,}+)" % rule.least)
-            text = F.regexp_replace(text, sharp, f"[{rule.kind}]")
-        else:
-            text = F.regexp_replace(text, rule.pattern, f"[{rule.kind}]")
-    return docs.withColumn(text_col, text)
+        pattern = rule.pattern.replace("+)", "{%d,}+)" % rule.least) if rule.group else rule.pattern
+        text = F.regexp_replace(text, pattern, f"[{rule.kind}]")
+    return text
+
+
+def redact(docs: DataFrame, rules=BASE_RULES + MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows and columns, with the secrets in the texts of ids for which the scan finds some replaced."""
+    found = scan(docs, rules, id_col, text_col).filter(F.size("spans") > 0).select(F.col(id_col).alias("_found")).distinct()
+    found = stored(found, "secret-found")
+    rows = docs.join(found.withColumn("_has", F.lit(True)), F.col(id_col).eqNullSafe(F.col("_found")), "left")
+    return rows.withColumn(text_col, F.when(F.col("_has"), redacted(F.col(text_col), rules)).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def digest(scanned: DataFrame, rules=BASE_RULES + MORE_RULES, id_col: str = "doc_id") -> DataFrame:
