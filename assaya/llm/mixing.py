@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaya.llm.sampling import first_by_hash
 from assaya.shared import cut, stored
 
 SPACE = r"[ \t-\r]+"
@@ -153,7 +154,8 @@ def mix(
     domains = list(weights)
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     marks = labels.filter(F.col(domain_col).isin(domains)).select(F.col(id_col).alias("_id"), F.col(domain_col).alias("domain"))
-    marks = marks.filter(F.col("_id").isNotNull()).dropDuplicates(["_id"]).orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(most_labelled)
+    marks = marks.filter(F.col("_id").isNotNull()).dropDuplicates(["_id"])
+    marks = first_by_hash(marks, F.xxhash64(F.lit(seed), "_id"), most_labelled, "_id")
     marks = stored(marks, "labelled")
     rows = cut(features(docs, lexicon(docs, marks, words, least)))
     placed = cut(posteriors(rows, marks, domains))
