@@ -65,9 +65,9 @@ def near_clusters(samples: DataFrame, threshold: int = 10) -> DataFrame:
     across = pairs.join(firsts.withColumnsRenamed({"h": "a", "first": "fa"}), "a").join(firsts.withColumnsRenamed({"h": "b", "first": "fb"}), "b")
     within = groups.filter("s0 <> s1").select(F.col("first").alias("a"), F.col("first").alias("b"))
     roots = components(across.select(F.col("fa").alias("a"), F.col("fb").alias("b")).union(within))
-    of_hash = firsts.join(roots, firsts.first == roots.node).select("h", "root")
+    of_hash = firsts.join(roots, F.col("first") == F.col("node")).select("h", "root")
     sizes = rows.join(of_hash, "h").groupBy("root").agg(F.count("*").alias("size"), F.min_by("h", "seq").alias("representative"))
-    reach = pairs.join(of_hash, pairs.a == of_hash.h).groupBy("root").agg(F.max("distance").alias("d"))
+    reach = pairs.join(of_hash, F.col("a") == F.col("h")).groupBy("root").agg(F.max("distance").alias("d"))
     return sizes.join(reach, "root", "left").select(F.col("root").alias("cluster"), "size", F.coalesce("d", F.lit(0)).alias("max_distance"), "representative")
 
 

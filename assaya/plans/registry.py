@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("duplicates",)
+MODULES = ("duplicates", "ledgers")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
