@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("duplicates", "ledgers")
+MODULES = ("duplicates", "ledgers", "statistics")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
