@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from assaya.llm.sampling import first_by_hash
 from assaya.shared import cut
 
 #: Rows of a block: candidates and queries.
@@ -106,7 +107,7 @@ def train_router(x: np.ndarray, target: np.ndarray, hidden: int, epochs: int, rn
 
 def fit(vectors: DataFrame, parts: int, most: int, neighbours: int = 20, slack: float = 1.15, rounds: int = 6, hidden: int = 128, epochs: int = 15, seed: int = 5) -> tuple[Router, float]:
     """The router, and the length by which its input is scaled, from at most ``most`` rows in the order of a hash."""
-    rows = vectors.select("vec", F.xxhash64("id", "vec").alias("h")).orderBy("h").limit(most).collect()
+    rows = first_by_hash(vectors, F.xxhash64("id", "vec"), most, "id").select("vec").collect()
     x = np.array([r["vec"] for r in rows], dtype=np.float64)
     scale = float(np.linalg.norm(x, axis=1).mean())
     x /= scale
