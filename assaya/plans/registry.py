@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("duplicates", "ledgers", "statistics")
+MODULES = ("duplicates", "ledgers", "records", "statistics")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
