@@ -27,9 +27,11 @@ def lexicon(docs: DataFrame, labelled: DataFrame, words: int, least: int) -> dic
     """For each domain the ``words`` words whose share of its documents most exceeds that of all others', in standard
     errors, of those that ``least`` of its documents have. ``docs``: ``_id``, ``_text``; ``labelled``: ``_id``, ``domain``.
     """
+    totals = {r["domain"]: r["count"] for r in labelled.groupBy("domain").count().collect()}
+    if not totals:
+        return {}
     parts = docs.join(labelled, "_id").select("domain", F.explode(F.array_distinct(_words(F.col("_text")))).alias("word"))
     counts = parts.groupBy("word", "domain").agg(F.count("*").alias("n"))
-    totals = {r["domain"]: r["count"] for r in labelled.groupBy("domain").count().collect()}
     per_word = counts.groupBy("word").agg(*[F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(f"n{i}") for i, d in enumerate(totals)])
     per_word = cut(per_word.filter(" or ".join(f"n{i} >= {least}" for i in range(len(totals))) or "false"))
     found = {}
@@ -91,39 +93,51 @@ def posteriors(rows: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
     return rows.select("_id", "n_tokens", F.transform("_e", lambda e: e / total).alias("p"))
 
 
-def _rate(steps: list[np.ndarray], n: int, lowest: Column) -> Column:
-    """The rate after ``steps``: each adds its product with the probabilities, then what is too low becomes ``lowest``."""
+def _rate(steps: list[tuple[float, np.ndarray]], n: int, lowest: Column) -> Column:
+    """The rate after ``steps`` (momentum, change): each goes on by the momentum's part of the last move, adds the change's
+    product with the probabilities, and raises what is too low to ``lowest``."""
     if not steps:
-        return F.lit(1.0)
-    all_steps = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    change = lambda g: sum((F.get(g, F.lit(d)) * F.get(F.col("p"), F.lit(d)) for d in range(n)), F.lit(0.0))
-    return F.aggregate(all_steps, F.lit(1.0), lambda r, g: F.greatest(lowest, r + change(g)))
+        return F.greatest(F.lit(1.0), lowest)
+    all_steps = F.array(*[F.array(*[F.lit(float(x)) for x in (m, *g)]) for m, g in steps])
+    change = lambda g: sum((F.get(g, F.lit(d + 1)) * F.get(F.col("p"), F.lit(d)) for d in range(n)), F.lit(0.0))
+    pair = lambda now, last: F.struct(now.alias("now"), last.alias("last"))
+
+    def move(acc: Column, g: Column) -> Column:
+        return pair(F.greatest(lowest, acc["now"] + F.get(g, F.lit(0)) * (acc["now"] - acc["last"]) + change(g)), acc["now"])
+
+    return F.aggregate(all_steps, pair(F.greatest(F.lit(1.0), lowest), F.greatest(F.lit(1.0), lowest)), move, lambda acc: acc["now"])
 
 
-def fit_rates(rows: DataFrame, targets: np.ndarray, lowest: Column, most_steps: int = 40, tolerance: float = 1e-4) -> tuple[Column, np.ndarray]:
+def fit_rates(rows: DataFrame, targets: np.ndarray, lowest: Column, most_steps: int = 60, tolerance: float = 3e-4) -> tuple[Column, np.ndarray]:
     """The rates as an expression of ``p``, and the totals that they give.
 
-    Distances between rates are weighted by tokens; the gradient is scaled by the inverse of the domains' Gram matrix, so
-    few steps are enough. Stops when all totals are within ``tolerance`` of the targets' sum, or no step comes closer.
+    Projected gradient with momentum: distances between rates are weighted by tokens, the step is 1 over the largest
+    eigenvalue of the domains' Gram matrix. Stops when all totals are within ``tolerance`` of the targets' sum; where the
+    bounds keep some from it, at the least squared distance met, once ten steps came no closer or after ``most_steps``.
     """
     n = len(targets)
     p = [F.get("p", F.lit(d)) for d in range(n)]
     sums = rows.agg(*[F.coalesce(F.sum(p[a] * p[b] * F.col("n_tokens")), F.lit(0.0)).alias(f"g{a}_{b}") for a in range(n) for b in range(a, n)]).first()
     gram = np.array([[sums[f"g{min(a, b)}_{max(a, b)}"] for b in range(n)] for a in range(n)])
-    scale = np.linalg.pinv(gram, hermitian=True)
-    steps: list[np.ndarray] = []
-    best, best_steps, best_totals = np.inf, 0, None
+    size = max(float(np.linalg.eigvalsh(gram).max()), 1e-12)
+    steps: list[tuple[float, np.ndarray]] = []
+    best, best_steps, best_totals, before, pace = np.inf, 0, None, None, 1.0
     while True:
-        r = rows.select("p", (_rate(steps, n, lowest) * F.col("n_tokens")).alias("_rn")).agg(*[F.coalesce(F.sum(p[d] * F.col("_rn")), F.lit(0.0)).alias(f"t{d}") for d in range(n)]).first()
+        rated = rows.select("p", (_rate(steps, n, lowest) * F.col("n_tokens")).alias("_rn"))
+        r = rated.agg(*[F.coalesce(F.sum(p[d] * F.col("_rn")), F.lit(0.0)).alias(f"t{d}") for d in range(n)]).first()
         totals = np.array([r[f"t{d}"] for d in range(n)])
-        off = float(np.abs(totals - targets).max())
-        if off < best * 0.999:
+        off = float(((totals - targets) ** 2).sum())
+        if off < best * 0.998 or best_totals is None:
             best, best_steps, best_totals = off, len(steps), totals
-        elif len(steps) - best_steps >= 4:
+        elif len(steps) - best_steps >= 10:
             break
-        if off <= tolerance * max(targets.sum(), 1.0) or len(steps) >= most_steps:
+        if np.abs(totals - targets).max() <= tolerance * max(targets.sum(), 1.0) or len(steps) >= most_steps:
             break
-        steps.append(-scale @ (totals - targets))
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        momentum, pace = (0.0, 1.0) if before is None else ((pace - 1) / faster, faster)
+        ahead = totals if before is None else totals + momentum * (totals - before)
+        steps.append((momentum, -(ahead - targets) / size))
+        before = totals
     return _rate(steps[:best_steps], n, lowest), best_totals
 
 
