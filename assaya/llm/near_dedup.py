@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaya.operators.graph import components
 from assaya.shared import cut
 
 #: Values of a signature; a band is 4 of them. A pair of similarity 0.75 shares a band with probability 1 - 5e-6.
@@ -19,7 +20,7 @@ SIZE, BANDS = 128, 32
 #: Share of equal signature values under which a pair isn't verified: over 5 standard errors below 0.75.
 LIKELY = 0.55
 #: Members of a bucket in one side of a block; 1000 shingles count as one more member.
-CHUNK = 192
+CHUNK = 384
 _ELEMENTS = 150_000
 _PIECE = 1 << 21
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -164,24 +165,6 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
     return rows.mapInPandas(work, "id long, n_shingles long, set_a long, set_b long, sig binary")
 
 
-def components(nodes_in_links: DataFrame) -> DataFrame:
-    """(node, root) for links (a, b): root is the least node reachable. Union-find by rounds: every node links to the
-    least root that its neighbours know, and paths are halved, until nothing changes."""
-    links = nodes_in_links.selectExpr("a", "b").union(nodes_in_links.selectExpr("b", "a"))
-    links = cut(links.distinct())
-    roots = links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
-    roots = cut(roots)
-    while True:
-        near = links.join(roots, links.b == roots.node).groupBy("a").agg(F.min("root").alias("offer"))
-        heard = roots.join(near, roots.node == near.a).select("node", "root", F.least("root", "offer").alias("low"))
-        up = heard.select(F.col("node").alias("p"), F.col("low").alias("p_low"))
-        halved = heard.join(up, heard.low == up.p, "left").select("node", F.col("root").alias("old"), F.coalesce("p_low", "low").alias("root"))
-        halved = cut(halved)
-        roots = halved.select("node", "root")
-        if not halved.filter("old <> root").limit(1).count():
-            return roots
-
-
 def _blocks_verified(blocks: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) found in blocks: rows (block, node, side, comp). Side 0 is compared with side 1; if all have side 2,
     all with all. Only nodes of different components are compared, and in a block the links found are a forest."""
@@ -208,10 +191,15 @@ def _blocks_verified(blocks: DataFrame, texts: DataFrame, width: int, percent: i
                     found.append((nodes[i], nodes[j]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    rows = blocks.join(texts, "node").select("block", "node", "side", "comp", "text")
+    rows = _dealt(blocks.join(texts, "node").select("block", "node", "side", "comp", "text"))
     return rows.groupBy("block").applyInPandas(work, "a long, b long")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """By block over all shuffle partitions: blocks are few bytes for much work, so they aren't merged by size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+
+
 def _flagged(rows: DataFrame) -> DataFrame:
     """Of blocks of (block, band, node, comp, sig, side), the members that have a likely partner of another component.
     A pair counts in the first band that it shares."""
@@ -221,16 +209,17 @@ def _flagged(rows: DataFrame) -> DataFrame:
         comp, band, side = pdf["comp"].to_numpy(), int(pdf["band"].iloc[0]), pdf["side"].to_numpy()
         wanted = np.zeros(len(pdf), bool)
         width = sig.shape[1] // BANDS
-        for i in range(len(pdf)):
+        for i in np.flatnonzero(side != 1):
             same = sig[i] == sig
             ok = (same.mean(axis=1) >= LIKELY) & (comp != comp[i])
-            ok &= (side != side[i]) if side[i] < 2 else True
+            ok &= (side == 1) if side[i] == 0 else True
             if band and ok.any():
                 ok &= ~same.reshape(len(pdf), BANDS, width)[:, :band].all(axis=2).any(axis=1)
-            wanted[i] = ok.any()
+            wanted |= ok
+            wanted[i] |= ok.any()
         return pdf.loc[wanted, ["block", "node", "comp", "side"]]
 
-    return rows.groupBy("block").applyInPandas(work, "block string, node long, comp long, side int")
+    return _dealt(rows).groupBy("block").applyInPandas(work, "block string, node long, comp long, side int")
 
 
 def group(
@@ -248,8 +237,8 @@ def group(
     bytes_per_band = SIZE // BANDS * 2
     band_keys = [F.xxhash64(F.substring("sig", 1 + i * bytes_per_band, bytes_per_band), F.lit(i)) for i in range(BANDS)]
     banded = classes.select("node", "copies", "weight", F.posexplode(F.array(*band_keys)).alias("band", "key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("_n"), F.sum("weight").alias("weight"), F.max_by("node", "copies").alias("pivot"))
-    members = cut(banded.drop("weight").join(shared.filter("_n > 1"), "key").select("key", "band", "node", "pivot", "weight"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("_n"), F.max_by("node", "copies").alias("pivot"))
+    members = cut(banded.join(shared.filter("_n > 1"), "key").select("key", "band", "node", "pivot", F.col("weight").alias("weight_of")))
 
     docs_text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     wanted = members.select("node").distinct()
@@ -270,18 +259,23 @@ def group(
     links = cut(_blocks_verified(blocks, texts, width, percent))
     roots = components(links)
 
-    # buckets whose members lie in several components yet
-    placed = members.join(roots, "node", "left").select("key", "band", "node", "weight", F.coalesce("root", "node").alias("comp"))
-    placed = cut(placed)
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    left = placed.join(open_keys, "key", "left_semi")
-    parts = F.ceil(F.col("weight") / CHUNK).cast("int")
-    left = left.select("*", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
-    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    left = left.select("key", "band", "node", "comp", "part", others)
-    block = F.concat_ws(":", "key", F.least("part", "other"), F.greatest("part", "other"))
-    side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
-    left = left.select(block.alias("block"), "band", "node", "comp", side.alias("side")).join(sigs, "node")
+    # buckets whose members lie in several components yet: those apart from the pivot's are held against all others
+    of_pivot = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+    placed = members.join(roots, "node", "left").join(of_pivot, "pivot", "left")
+    apart = F.coalesce("root", "node") != F.coalesce("pivot_root", "pivot")
+    placed = cut(placed.select("key", "band", "node", "weight_of", F.coalesce("root", "node").alias("comp"), apart.alias("apart")))
+    weigh = lambda c: F.ceil(F.sum(F.when(c, F.col("weight_of")).otherwise(0)) / CHUNK).cast("int")
+    open_keys = placed.groupBy("key").agg(weigh(F.col("apart")).alias("s"), weigh(~F.col("apart")).alias("m")).filter("s > 0")
+    left = placed.join(open_keys, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("apart"), F.col("s")).otherwise(F.col("m"))).cast("int"))
+    name = lambda *parts: F.concat_ws(":", "key", *parts)
+    block = lambda at, side: F.struct(at.alias("block"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = F.col("part")
+    with_rest = F.transform(upto("m"), lambda j: block(name(own, F.lit("m"), j), 0))
+    with_apart = F.transform(upto("s"), lambda i: block(name(F.least(own, i), F.greatest(own, i)), F.when(own == i, 2).when(own < i, 0).otherwise(1)))
+    as_rest = F.transform(upto("s"), lambda i: block(name(i, F.lit("m"), own), 1))
+    blocks = F.when(F.col("apart"), F.concat(with_rest, with_apart)).otherwise(as_rest)
+    left = left.select("band", "node", "comp", F.explode(blocks).alias("x")).select("band", "node", "comp", "x.*").join(sigs, "node")
     flagged = cut(_flagged(left))
     more = cut(_blocks_verified(flagged, texts, width, percent))
     # the earlier links hold as (node, root)
