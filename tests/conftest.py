@@ -3,7 +3,9 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, _REPO)
+os.environ["PYTHONPATH"] = f"{_REPO}:{os.environ.get('PYTHONPATH', '')}"  # for the workers
 
 
 @pytest.fixture(scope="session")
