@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("duplicates", "ledgers", "records", "statistics")
+MODULES = ("duplicates", "ledgers", "records", "statistics", "streams")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
