@@ -32,7 +32,7 @@ def near_hashes(hashes: DataFrame, threshold: int) -> DataFrame:
     """
     bands, radius = _plan(threshold)
     distinct = hashes.select("h").filter("h is not null").distinct()
-    key = lambda h, at, width: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1))
+    key = lambda h, at, width: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
     keys = F.array(*[F.struct(F.lit(i).alias("band"), key(F.col("h"), *band).alias("key")) for i, band in enumerate(bands)])
     built = distinct.select(F.col("h").alias("b"), F.explode(keys).alias("k")).select("b", "k.*")
 

@@ -82,7 +82,7 @@ def yolo_code(line: Column, n_classes: Column | None = None) -> Column:
 
 def read_yolo(spark: SparkSession, labels_path: str) -> DataFrame:
     """(stem, line_no, line) of label files; Spark reads them whole, as a file is at most 10 MB by rule."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(labels_path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(labels_path, wholetext=True)
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
     return raw.select(stem.alias("stem"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
