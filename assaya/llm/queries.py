@@ -74,4 +74,18 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_near_dedup, op4_quality_rules, op5_secret_scans, op6_mixing, op7_warc, op8_ann, op9_language_id, op10_sentencepiece, pipeline)}
-ORACLES = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLES = {
+    "op3_near_dedup": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+roots AS (SELECT a, min(b) AS root FROM reach GROUP BY 1)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(r.root, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(r.root, s.doc_id)) AS kept FROM s LEFT JOIN roots r ON r.a = s.doc_id""",
+    "op7_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages), m AS (SELECT h, max(page_id) AS last FROM p GROUP BY 1)
+SELECT p.page_id, octet_length(encode(p.h))::BIGINT AS payload_bytes,
+ array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(s, 1 + 5 * (j // 4), 5))::BIGINT >> (15 - 5 * (j % 4))) & 31), 1)), '') AS payload_digest,
+ CASE WHEN p.page_id = m.last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> m.last THEN m.last END AS refers_to FROM p JOIN m USING (h)""",
+}
