@@ -39,7 +39,8 @@ def nonce_reuse(spark, sf_dir) -> DataFrame:
 
 
 def manifest_bindings(spark, sf_dir) -> DataFrame:
-    return provenance.bindings(manifests(spark, sf_dir), artifacts(spark, sf_dir)).filter("size(failed) > 0 or size(missing) > 0")
+    found = provenance.bindings(manifests(spark, sf_dir), artifacts(spark, sf_dir)).filter("size(failed) > 0 or size(missing) > 0")
+    return found.select("manifest_id", F.array_join("failed", ",").alias("failed"), F.array_join("missing", ",").alias("missing"))
 
 
 def manifest_verdicts(spark, sf_dir) -> DataFrame:
@@ -89,7 +90,7 @@ SELECT chain_id, seq AS position FROM broken JOIN f USING (chain_id) WHERE paylo
 UNION SELECT a.manifest_id, 'duplicate_nonce' FROM manifests a WHERE a.manifest_id % 2 = 1 AND EXISTS (SELECT 1 FROM manifests b WHERE b.nonce = a.nonce AND b.manifest_id <> a.manifest_id)""",
     "sequence_anomalies": f"WITH {_SEQ} SELECT manifest_id, anomaly, gap_size FROM seq",
     "nonce_reuse": f"WITH {_SEQ} SELECT manifest_id, first_manifest FROM nonces WHERE n > 1",
-    "manifest_bindings": f"WITH {MANIFESTS_SQL}, {_BOUND} SELECT * FROM bound WHERE len(failed) > 0 OR len(missing) > 0",
+    "manifest_bindings": f"WITH {MANIFESTS_SQL}, {_BOUND} SELECT manifest_id, array_to_string(failed, ',') AS failed, array_to_string(missing, ',') AS missing FROM bound WHERE len(failed) > 0 OR len(missing) > 0",
     "manifest_verdicts": f"""WITH {_SEQ}, {_BOUND}, odd AS (SELECT manifest_id FROM seq UNION SELECT manifest_id FROM nonces WHERE n > 1),
 v AS (SELECT b.manifest_id, CASE WHEN len(failed) > 0 OR (b.manifest_id % 17 <> 0 AND b.manifest_id % 19 = 0) THEN 'HIGH' WHEN o.manifest_id IS NOT NULL THEN 'MEDIUM' ELSE 'NONE' END AS risk,
  len(missing) + CASE WHEN b.manifest_id % 17 = 0 THEN 1 ELSE 0 END AS gaps FROM bound b LEFT JOIN odd o ON o.manifest_id = b.manifest_id)
