@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("batteries", "duplicates", "ledgers", "records", "statistics", "streams")
+MODULES = ("batteries", "duplicates", "ledgers", "listings", "records", "statistics", "streams")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
