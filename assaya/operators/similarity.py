@@ -12,6 +12,8 @@ from assaya.shared import cut
 
 #: Thresholds above this would need more probe keys than candidates saved.
 MOST_BITS = 14
+#: Centroids go to every task as one row; beyond so many classes that is refused.
+MOST_CLASSES = 5000
 
 
 def _plan(threshold: int) -> tuple[list[tuple[int, int]], int]:
@@ -104,6 +106,8 @@ def label_outliers(samples: DataFrame, least: int = 3) -> DataFrame:
     means = [F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(64)]
     centroids = rows.groupBy("class").agg(F.count("*").alias("n"), *means).filter(F.col("n") >= least)
     centroids = cut(centroids.select("class", F.array(*[f"m{i}" for i in range(64)]).alias("c")))
+    if centroids.limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes: too many centroids to hold each sample against")
     away = lambda v, c: F.aggregate(F.zip_with(v, c, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
     all_centroids = centroids.agg(F.collect_list(F.struct("class", "c")).alias("all"))
     own = rows.join(centroids, "class").join(F.broadcast(all_centroids)).filter(F.size("all") >= 2)
