@@ -6,6 +6,7 @@ same run of bytes is segmented once per batch; runs are stepped through together
 """
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +18,7 @@ _SPACE = "▁"
 #: Bytes of a run beyond which it is segmented on its own.
 _LONG = 192
 #: Segmented runs that a worker remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 
 
 class Codec:
@@ -54,6 +55,8 @@ class Codec:
         single = b"[" + lone + b"]|" if lone else b""
         self.cut = None if inner else re.compile(single + b" +[^ " + lone + b"]*|[^ " + lone + b"]+")
         self.memory: dict[bytes, list[int]] = {}
+        #: One object for each id, so that remembered runs hold references only.
+        self.ids = list(range(n))
 
     def _build(self, normal: list[int], scores: np.ndarray) -> None:
         """States by levels: ``go`` with failures folded in, and per state the piece that ends in it and the next state
@@ -125,10 +128,10 @@ class Codec:
         while t > 0:
             state = took[t]
             if state:
-                out.append(int(self.piece[state]))
+                out.append(self.ids[self.piece[state]])
                 t -= int(self.size[state])
             else:
-                out.append(int(self.byte_ids[run[t - 1]]))
+                out.append(self.ids[self.byte_ids[run[t - 1]]])
                 t -= 1
         return out[::-1]
 
@@ -207,13 +210,16 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """
 
     @F.pandas_udf("array<int>")
-    def ids_of(texts: pd.Series) -> pd.Series:
-        c, values = codec(model_path), texts.tolist()
-        filled = [t or "" for t in values]
-        out: list = []
-        for lo, hi in _slices(filled):
-            out += [np.array(x, dtype=np.int32) for x in c.encode(filled[lo:hi])]
-        return pd.Series([None if t is None else x for t, x in zip(values, out)], dtype=object)
+    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        c = codec(model_path)
+        for texts in batches:
+            values = texts.tolist()
+            filled = [t or "" for t in values]
+            out: list = []
+            for lo, hi in _slices(filled):
+                out += [np.array(x, dtype=np.int32) for x in c.encode(filled[lo:hi])]
+            yield pd.Series([None if t is None else x for t, x in zip(values, out)], dtype=object)
+        c.memory.clear()  # the worker may serve other work next
 
     return docs.select(F.col(id_col), ids_of(F.col(text_col)).alias("piece_ids"))
 
@@ -235,16 +241,18 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     import hashlib
 
     @F.pandas_udf("n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string")
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        c, filled = codec(model_path), [t or "" for t in texts]
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = codec(model_path)
         is_byte = np.zeros(len(c.pieces), bool)
         is_byte[c.byte_ids] = True
-        rows = []
-        for lo, hi in _slices(filled):
-            for ids in c.encode(filled[lo:hi]):
-                packed = np.array(ids, dtype="<i4")
-                text = c.decode(ids).encode("utf-8", "surrogatepass")
-                rows.append((len(ids), int(is_byte[packed].sum()), hashlib.sha256(packed.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_pieces", "n_byte_pieces", "ids_sha256", "decoded_sha256"])
+        for texts in batches:
+            filled, rows = [t or "" for t in texts], []
+            for lo, hi in _slices(filled):
+                for ids in c.encode(filled[lo:hi]):
+                    packed = np.array(ids, dtype="<i4")
+                    text = c.decode(ids).encode("utf-8", "surrogatepass")
+                    rows.append((len(ids), int(is_byte[packed].sum()), hashlib.sha256(packed.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_pieces", "n_byte_pieces", "ids_sha256", "decoded_sha256"])
+        c.memory.clear()
 
     return docs.select(F.col(id_col), digest(F.col(text_col)).alias("_d")).select(id_col, "_d.*")
