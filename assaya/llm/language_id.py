@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaya.llm.sampling import first_by_hash
+
 WIDTHS = (2, 3, 4)
 #: Bytes in a window.
 WINDOW = 256
@@ -120,13 +122,9 @@ def sample(docs: DataFrame, text_col: str, lang_col: str, most: int) -> tuple[np
     mixed = F.xxhash64(text_col)
     room = F.greatest(F.length(text_col) - WINDOW, F.lit(0)) + 1
     piece = F.substring(F.col(text_col), F.pmod(mixed, room).cast("int") + 1, F.lit(WINDOW))
-    rows = (
-        docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-        .select(piece.alias("piece"), F.col(lang_col).alias("lang"), mixed.alias("mixed"))
-        .orderBy("mixed", "lang")
-        .limit(most)
-        .collect()
-    )
+    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter")
+    labelled = docs.filter(F.col(lang_col).isNotNull()).select(piece.alias("piece"), F.col(lang_col).alias("lang"), mixed.alias("mixed"), letter)
+    rows = first_by_hash(labelled, F.col("mixed"), most, "lang").filter("letter").select("piece", "lang").collect()
     windows = [as_windows(r["piece"].encode()[:WINDOW])[0] for r in rows]
     return np.array(windows, dtype=np.uint8).reshape(-1, WINDOW), [r["lang"] for r in rows]
 
