@@ -140,6 +140,11 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _agree(same: np.ndarray) -> np.ndarray:
+    """The share of true values in each row."""
+    return np.count_nonzero(same, axis=1) / same.shape[1]
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(id, n_shingles, set_a, set_b, sig): the set's size, its 128-bit hash and the signature. Empty sets: nulls."""
 
@@ -183,7 +188,7 @@ def _blocks_verified(blocks: DataFrame, texts: DataFrame, width: int, percent: i
 
         found = []
         for i in np.flatnonzero(sides != 1):
-            near = np.flatnonzero((sigs[i] == sigs).mean(axis=1) >= LIKELY)
+            near = np.flatnonzero(_agree(sigs[i] == sigs) >= LIKELY)
             for j in near:
                 fits = (sides[i] == 0 and sides[j] == 1) or (sides[i] == 2 and i < j)
                 if fits and (p := top(comps[i].item())) != (q := top(comps[j].item())) and _similar(sets[i], sets[j], percent):
@@ -211,7 +216,7 @@ def _flagged(rows: DataFrame) -> DataFrame:
         width = sig.shape[1] // BANDS
         for i in np.flatnonzero(side != 1):
             same = sig[i] == sig
-            ok = (same.mean(axis=1) >= LIKELY) & (comp != comp[i])
+            ok = (_agree(same) >= LIKELY) & (comp != comp[i])
             ok &= (side == 1) if side[i] == 0 else True
             if band and ok.any():
                 ok &= ~same.reshape(len(pdf), BANDS, width)[:, :band].all(axis=2).any(axis=1)
@@ -298,7 +303,7 @@ def _likely(pairs: DataFrame) -> DataFrame:
                 continue
             a = np.stack([np.frombuffer(x, dtype=np.uint16) for x in pdf["sig"]])
             b = np.stack([np.frombuffer(x, dtype=np.uint16) for x in pdf["pivot_sig"]])
-            yield pdf.loc[(a == b).mean(axis=1) >= LIKELY, ["node", "pivot"]]
+            yield pdf.loc[_agree(a == b) >= LIKELY, ["node", "pivot"]]
 
     return cut(pairs.mapInPandas(work, "node long, pivot long"))
 
