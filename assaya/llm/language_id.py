@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaya.llm.sampling import first_by_hash
+from assaya.llm.sampling import spread_by_hash
 
 WIDTHS = (2, 3, 4)
 #: Bytes in a window.
@@ -117,14 +117,13 @@ def _gradients(params: dict, x: np.ndarray, y: np.ndarray, embedding: int) -> di
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str, most: int) -> tuple[np.ndarray, list[str]]:
-    """At most ``most`` labelled windows, from rows in the order of a hash of their text; where a text is longer than a
-    window, the hash picks the place too. Texts without a letter are left out."""
+    """At most ``most`` labelled windows, one of each distinct text and in equal parts for the languages, picked by a hash
+    of the text; where a text is longer than a window, the hash picks the place too. Texts without a letter are left out."""
     mixed = F.xxhash64(text_col)
     room = F.greatest(F.length(text_col) - WINDOW, F.lit(0)) + 1
     piece = F.substring(F.col(text_col), F.pmod(mixed, room).cast("int") + 1, F.lit(WINDOW))
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter")
-    labelled = docs.filter(F.col(lang_col).isNotNull()).select(piece.alias("piece"), F.col(lang_col).alias("lang"), mixed.alias("mixed"), letter)
-    rows = first_by_hash(labelled, F.col("mixed"), most, "lang").filter("letter").select("piece", "lang").collect()
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    rows = spread_by_hash(labelled.select(piece.alias("piece"), F.col(lang_col).alias("lang"), mixed.alias("mixed")), "mixed", "lang", most)
     windows = [as_windows(r["piece"].encode()[:WINDOW])[0] for r in rows]
     return np.array(windows, dtype=np.uint8).reshape(-1, WINDOW), [r["lang"] for r in rows]
 

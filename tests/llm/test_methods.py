@@ -233,6 +233,18 @@ def test_languages_of_held_out_documents(spark, documents):
     assert sum(r["lang_pred"] == documents[r["doc_id"]]["lang"] for r in held) >= 0.97 * len(held)
 
 
+def test_languages_are_learned_from_copies_and_rare_rows(spark):
+    """Copies of a few texts still give a sample, one window each; a language of few rows is in it besides a large one."""
+    texts = F.concat(F.lit("copied text "), (F.col("id") % 3).cast("string"))
+    copies = spark.range(3000).select(texts.alias("text"), F.when(F.col("id") % 3 == 0, "aa").otherwise("bb").alias("lang"))
+    windows, labels = language_id.sample(copies, "text", "lang", 20)
+    assert sorted(labels) == ["aa", "bb", "bb"] and len(np.unique(windows, axis=0)) == 3
+    many = spark.range(3000).select(F.concat(F.lit("words "), "id").alias("text"), F.when(F.col("id") < 5, "aa").otherwise("bb").alias("lang"))
+    unlettered = spark.range(9000).select(F.concat(F.lit("1 "), "id").alias("text"), F.lit("cc").alias("lang"))
+    windows, labels = language_id.sample(copies.union(many).union(unlettered), "text", "lang", 20)
+    assert Counter(labels) == {"aa": 6, "bb": 14} and len(np.unique(windows, axis=0)) == 20
+
+
 def test_pieces_come_back_and_are_best(documents):
     codec = sentencepiece_codec.codec(f"{TOKENIZERS}/piece_bpe_32k.model")
     texts = [r["text"] for r in list(documents.values())[:60]] + ["", "a", "  two  spaces ", "\n\nx\ty", "日本語😀", "x" * 700 + " " + "é" * 300, "▁a"]
