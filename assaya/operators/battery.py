@@ -15,7 +15,8 @@ from assaya.operators import similarity, statistics, verdicts
 from assaya.shared import cut
 
 FINDINGS = "finding_id string, detector_id string, category string, subcategory string, severity string, title string, seq long"
-EVIDENCE = "finding_id string, detector_id string, sample_ids array<long>, data_json string, seq long"
+#: A row for each sample of a finding; a null one where a finding has none.
+EVIDENCE = "finding_id string, detector_id string, sample_id long, data_json string, seq long"
 VERDICT = "detector_id string, status string, risk_level string, confidence_level string, applicable boolean, reason string, findings_count long, evidence_count long"
 
 
@@ -43,13 +44,20 @@ class Check:
     needs: dict[str, tuple[int, str]] = field(default_factory=dict)
 
 
-def _found(rows: DataFrame, code: str, subcategory: str, key: str, severity, title, sample_ids, data) -> Result:
-    """Findings and evidence of rows, with ids from the check and the row's key, so that a second run gives the same."""
+def _found(rows: DataFrame, code: str, subcategory: str, key: str, severity, title, sample_ids, data, members: tuple[str, DataFrame] | None = None) -> Result:
+    """Findings and evidence of rows, with ids from the check and the row's key, so that a second run gives the same. The
+    samples of a finding are the array ``sample_ids`` or, where they can be many, ``members``: a column of the rows, and
+    (column, sample_id)."""
     severity = F.lit(severity) if isinstance(severity, str) else severity
     fid = F.sha2(F.concat_ws("|", F.lit(code), F.lit(subcategory), F.col(key).cast("string")), 256)
-    base = rows.select(fid.alias("finding_id"), F.lit(code).alias("detector_id"), severity.alias("severity"), title.alias("title"), sample_ids.alias("sample_ids"), F.to_json(data).alias("data_json"), F.col(key).cast("long").alias("seq"))
-    findings = base.select("finding_id", "detector_id", F.lit("data").alias("category"), F.lit(subcategory).alias("subcategory"), "severity", "title", "seq")
-    return Result(findings, base.select("finding_id", "detector_id", "sample_ids", "data_json", "seq"))
+    named = rows.withColumn("finding_id", fid)
+    findings = named.select("finding_id", F.lit(code).alias("detector_id"), F.lit("data").alias("category"), F.lit(subcategory).alias("subcategory"), severity.alias("severity"), title.alias("title"), F.col(key).cast("long").alias("seq"))
+    record = ["finding_id", F.lit(code).alias("detector_id"), F.to_json(data).alias("data_json"), F.col(key).cast("long").alias("seq")]
+    if members is None:
+        evidence = named.select(*record, F.explode_outer(sample_ids).alias("sample_id"))
+    else:
+        evidence = named.select(*record, F.col(members[0]).alias("_on")).join(members[1].withColumnRenamed(members[0], "_on"), "_on")
+    return Result(findings, evidence.select("finding_id", "detector_id", "sample_id", "data_json", "seq"))
 
 
 def _both(a: Result, b: Result) -> Result:
@@ -58,10 +66,10 @@ def _both(a: Result, b: Result) -> Result:
 
 def duplicates(frames: dict[str, DataFrame], params: Params) -> Result:
     rows = frames["samples"]
-    exact = rows.filter("sha256 is not null").groupBy("sha256").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last")).filter("n >= 2")
-    a = _found(exact, "DI-01", "exact_duplicates", "first", "MEDIUM", F.format_string("%d identical samples", "n"), F.array("first", "last"), F.struct("sha256", "n"))
-    near = similarity.near_clusters(rows, params.near_bits)
-    b = _found(near, "DI-01", "near_duplicates", "cluster", "LOW", F.format_string("%d samples within %d bits", "size", "max_distance"), F.array("cluster"), F.struct("size", "max_distance"))
+    exact = rows.filter("sha256 is not null").groupBy("sha256").agg(F.count("*").alias("n"), F.min("seq").alias("first")).filter("n >= 2")
+    a = _found(exact, "DI-01", "exact_duplicates", "first", "MEDIUM", F.format_string("%d identical samples", "n"), None, F.struct("sha256", "n"), ("sha256", rows.select("sha256", F.col("seq").alias("sample_id"))))
+    near, members = similarity.near_groups(rows, params.near_bits)
+    b = _found(near, "DI-01", "near_duplicates", "cluster", "LOW", F.format_string("%d samples within %d bits", "size", "max_distance"), None, F.struct("size", "max_distance"), ("cluster", members))
     return _both(a, b)
 
 
@@ -87,7 +95,7 @@ def distribution(frames: dict[str, DataFrame], params: Params) -> Result:
 
 def contributors(frames: dict[str, DataFrame], params: Params) -> Result:
     """Reads the evidence of the checks before it."""
-    flagged = frames["evidence"].select(F.explode("sample_ids").alias("sample_id"), F.col("detector_id").alias("issue"))
+    flagged = frames["evidence"].filter("sample_id is not null").select("sample_id", F.col("detector_id").alias("issue"))
     rates = statistics.contributor_rates(frames["samples"].select(F.col("seq").alias("sample_id"), "contributor"), flagged).filter("anomalous")
     rates = rates.withColumn("key", F.xxhash64("contributor"))
     return _found(rates, "DI-05", "contributor_risk", "key", F.col("severity"), F.concat(F.lit("contributor "), "contributor"), F.array().cast("array<bigint>"), F.struct("contributor", "total", "flagged", "rate"))
@@ -126,7 +134,7 @@ def run_battery(spark: SparkSession, frames: dict[str, DataFrame], params: Param
             rows.append((code, "FAILED", None, "LOW", True, str(failure)[:300], 0, 0))
             continue
         worst = own.agg(F.count("*").alias("n"), verdicts.worst(F.col("severity")).alias("risk")).first()
-        rows.append((code, "SUCCESS", worst["risk"] or "NONE", result.confidence, True, None, worst["n"], seen.count()))
+        rows.append((code, "SUCCESS", worst["risk"] or "NONE", result.confidence, True, None, worst["n"], seen.agg(F.countDistinct("finding_id")).first()[0]))
         findings, evidence = findings.unionByName(own), evidence.unionByName(seen)
     return findings, evidence, spark.createDataFrame(rows, VERDICT)
 
@@ -139,6 +147,7 @@ def coverage_gaps(results: DataFrame) -> DataFrame:
 def export(results: DataFrame, findings: DataFrame, evidence: DataFrame, most_evidence: int | None = None) -> DataFrame:
     """(detector_id, document): one JSON document for each check, with its verdict and its findings, each with its
     evidence."""
+    evidence = evidence.select("finding_id", "seq", "data_json").distinct()
     if most_evidence is not None:
         evidence = similarity.first_per_key(evidence, ["finding_id"], ["seq"], most_evidence)
     items = evidence.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("seq", "data_json"))).alias("evidence"))
@@ -153,7 +162,8 @@ def context_text(findings: DataFrame, evidence: DataFrame, most_findings: int =
 
     first = similarity.first_per_key(findings, ["detector_id"], [F.col("seq"), F.col("finding_id")], most_findings)
     lines = first.select("detector_id", F.lit(0).alias("part"), "seq", F.concat_ws(" ", F.concat(F.lit("["), "severity", F.lit("]")), "title").alias("line"))
-    items = similarity.first_per_key(evidence, ["detector_id"], [F.col("seq"), F.col("finding_id")], most_evidence)
+    records = evidence.select("detector_id", "finding_id", "seq", "data_json").distinct()
+    items = similarity.first_per_key(records, ["detector_id"], [F.col("seq"), F.col("finding_id")], most_evidence)
     lines = lines.unionByName(items.select("detector_id", F.lit(1).alias("part"), "seq", F.substring("data_json", 1, most_item).alias("line")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "seq", "line"))), lambda x: x["line"]), "\n")
     rows = lines.groupBy("detector_id").agg(text.alias("t")).select("detector_id", redact(F.col("t")).alias("t"))

@@ -60,6 +60,11 @@ def near_clusters(samples: DataFrame, threshold: int = 10) -> DataFrame:
     representative. Samples with one hash are linked to its first one, not to each other, so edges grow in proportion; a
     hash whose samples are all one content and which has no near hash is no cluster.
     """
+    return near_groups(samples, threshold)[0]
+
+
+def near_groups(samples: DataFrame, threshold: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``near_clusters``, and (cluster, sample_id) for every sample in one."""
     rows = samples.filter("h is not null").select("seq", "sha256", "h")
     groups = cut(rows.groupBy("h").agg(F.min("seq").alias("first"), F.min("sha256").alias("s0"), F.max("sha256").alias("s1")))
     pairs = cut(near_hashes(groups.select("h"), threshold))
@@ -68,9 +73,11 @@ def near_clusters(samples: DataFrame, threshold: int = 10) -> DataFrame:
     within = groups.filter("s0 <> s1").select(F.col("first").alias("a"), F.col("first").alias("b"))
     roots = components(across.select(F.col("fa").alias("a"), F.col("fb").alias("b")).union(within))
     of_hash = firsts.join(roots, F.col("first") == F.col("node")).select("h", "root")
-    sizes = rows.join(of_hash, "h").groupBy("root").agg(F.count("*").alias("size"), F.min_by("h", "seq").alias("representative"))
+    placed = rows.join(of_hash, "h")
+    sizes = placed.groupBy("root").agg(F.count("*").alias("size"), F.min_by("h", "seq").alias("representative"))
     reach = pairs.join(of_hash, F.col("a") == F.col("h")).groupBy("root").agg(F.max("distance").alias("d"))
-    return sizes.join(reach, "root", "left").select(F.col("root").alias("cluster"), "size", F.coalesce("d", F.lit(0)).alias("max_distance"), "representative")
+    clusters = sizes.join(reach, "root", "left").select(F.col("root").alias("cluster"), "size", F.coalesce("d", F.lit(0)).alias("max_distance"), "representative")
+    return clusters, placed.select(F.col("root").alias("cluster"), F.col("seq").alias("sample_id"))
 
 
 def label_conflicts(samples: DataFrame, threshold: int = 4, cap: int | None = 20) -> DataFrame:

@@ -219,6 +219,21 @@ def test_battery_reports_what_it_could_not_do(spark):
     assert battery.context_text(findings, evidence).count() == 1
 
 
+def test_contributor_of_copies_is_found(spark):
+    """Every member of a group of copies counts for its contributor, of an exact one as of a near one."""
+    kinds = {"copier": lambda i: ("same", 7), "nearly": lambda i: (f"n{i}", (1 << 40) - 1 << i), "other": lambda i: (f"o{i}", 0x0F0F0F0F0F0F0F0F * (i + 1) % (1 << 62))}
+    rows = [(100 * k + i, *kinds[who](i % 2 if who == "nearly" else i), ["q1"], "en", who, 5) for k, who in enumerate(kinds) for i in range(10 if who != "other" else 3)]
+    rows = [(seq, f"{sha}-{seq}" if who == "nearly" else sha, h, labels, c, who, n) for seq, sha, h, labels, c, who, n in rows]
+    samples = spark.createDataFrame(rows, "seq long, sha256 string, h long, labels array<string>, class string, contributor string, file_size_bytes long")
+    checks = {c: battery.REGISTRY[c] for c in ("DI-01", "DI-05")}
+    _, evidence, results = battery.run_battery(spark, {"samples": samples}, checks=checks)
+    members = evidence.filter("detector_id = 'DI-01'").groupBy("finding_id").count().collect()
+    assert sorted(r["count"] for r in members) == [10, 10]
+    flagged = {d["contributor"]: (d["flagged"], d["total"]) for d in (json.loads(r["data_json"]) for r in evidence.filter("detector_id = 'DI-05'").collect())}
+    assert flagged == {"copier": (10, 10), "nearly": (10, 10)}
+    assert {r["detector_id"]: (r["findings_count"], r["evidence_count"]) for r in results.collect()} == {"DI-01": (2, 2), "DI-05": (2, 2)}
+
+
 def test_search(spark):
     df = spark.createDataFrame([("50% off",), ("50 off",), (None,)], "t string")
     assert df.filter(search.contains_any([F.col("t")], " 50% ")).count() == 1
