@@ -1,7 +1,11 @@
 """Hash chains of audit events: building, and verification with windows."""
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: Fixed value: what the first event of a chain names as its predecessor.
@@ -19,20 +23,35 @@ def event_hash(fields: dict[str, Column] | None = None) -> Column:
 
 def build_chain(events: DataFrame, key: str = "chain_id") -> DataFrame:
     """Adds ``seq`` from 0, ``previous_hash`` and ``current_hash`` to events (key, position, and the fields but the
-    previous hash). One chain is serial: its events are folded in one row, so a chain has to fit in a task; chains are
-    independent."""
+    previous hash). One chain is serial, so it is walked in one task, in order and batch by batch; what is held is the last
+    hash and the count. Chains are independent."""
     own = [f for f in FIELDS if f != "previous_hash"]
-    grouped = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", *own))).alias("_e"))
-    start = F.struct(F.lit(GENESIS).alias("last"), F.array().cast("array<struct<previous:string,current:string>>").alias("all"))
-
-    def add(acc: Column, e: Column) -> Column:
-        now = event_hash({**{f: e[f] for f in own}, "previous_hash": acc["last"]})
-        link = F.struct(acc["last"].alias("previous"), now.alias("current"))
-        return F.struct(now.alias("last"), F.concat(acc["all"], F.array(link)).alias("all"))
-
-    chained = grouped.select(key, "_e", F.aggregate("_e", start, add)["all"].alias("_h"))
-    rows = chained.select(key, F.posexplode(F.arrays_zip("_e", "_h")).alias("seq", "_x"))
-    return rows.select(key, F.col("seq").cast("long"), *[F.col(f"_x._e.{f}").alias(f) for f in own], F.col("_x._h.previous").alias("previous_hash"), F.col("_x._h.current").alias("current_hash"))
+    at = FIELDS.index("previous_hash")
+    # the record's text up to the previous hash and after it, so that both ways of hashing write the same JSON
+    head, tail = (F.to_json(F.struct(*part), {"ignoreNullFields": "false"}) for part in (FIELDS[:at], FIELDS[at + 1 :]))
+    dealt = events.select(key, "position", *own).repartition(key).sortWithinPartitions(key, "position", *own)
+    rows = dealt.select(key, *own, head.alias("_head"), tail.alias("_tail"))
+    texts = [StructField(f, StringType()) for f in ("previous_hash", "current_hash")]
+    schema = StructType([rows.schema[key], StructField("seq", LongType()), *[rows.schema[f] for f in own], *texts])
+
+    def walk(batches):
+        chain, last, seq = None, GENESIS, 0
+        for batch in batches:
+            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            seqs, previous, current = [], [], []
+            for k, before, after in zip(*[column[c].to_pylist() for c in (key, "_head", "_tail")]):
+                if k != chain:
+                    chain, last, seq = k, GENESIS, 0
+                seqs.append(seq)
+                previous.append(last)
+                last = hashlib.sha256(f'{before[:-1]},"previous_hash":"{last}",{after[1:]}'.encode()).hexdigest()
+                current.append(last)
+                seq += 1
+            kind = column["_head"].type
+            arrays = [column[key], pa.array(seqs, pa.int64()), *[column[f] for f in own], pa.array(previous, kind), pa.array(current, kind)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return rows.mapInArrow(walk, schema)
 
 
 def verify_chain(events: DataFrame, key: str = "chain_id") -> DataFrame:
