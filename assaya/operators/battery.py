@@ -145,15 +145,20 @@ def coverage_gaps(results: DataFrame) -> DataFrame:
 
 
 def export(results: DataFrame, findings: DataFrame, evidence: DataFrame, most_evidence: int | None = None) -> DataFrame:
-    """(detector_id, document): one JSON document for each check, with its verdict and its findings, each with its
-    evidence."""
-    evidence = evidence.select("finding_id", "seq", "data_json").distinct()
+    """(detector_id, seq, finding_id, part, sample_id, document): one JSON document for each verdict, each finding and each
+    row of evidence, sorted so that a check's verdict comes first and a finding before its evidence. No group is collected.
+    """
     if most_evidence is not None:
-        evidence = similarity.first_per_key(evidence, ["finding_id"], ["seq"], most_evidence)
-    items = evidence.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("seq", "data_json"))).alias("evidence"))
-    whole = findings.join(items, "finding_id", "left").groupBy("detector_id").agg(F.array_sort(F.collect_list(F.struct("seq", "finding_id", "subcategory", "severity", "title", "evidence"))).alias("findings"))
-    rows = results.join(whole, "detector_id", "left")
-    return rows.select("detector_id", F.to_json(F.struct(*sorted([*results.columns, "findings"])), {"ignoreNullFields": "false"}).alias("document"))
+        evidence = similarity.first_per_key(evidence, ["finding_id"], ["seq", "sample_id"], most_evidence)
+
+    def written(rows: DataFrame, part: str, **keys) -> DataFrame:
+        document = F.to_json(F.struct(*sorted(rows.columns), F.lit(part).alias("part")), {"ignoreNullFields": "false"})
+        keys = {"seq": F.col("seq"), "finding_id": F.col("finding_id"), "sample_id": F.lit(None).cast("long")} | keys
+        return rows.select("detector_id", keys["seq"].alias("seq"), keys["finding_id"].alias("finding_id"), F.lit(part).alias("part"), keys["sample_id"].alias("sample_id"), document.alias("document"))
+
+    verdict = written(results, "verdict", seq=F.lit(None).cast("long"), finding_id=F.lit(None).cast("string"))
+    rows = verdict.unionByName(written(findings, "finding")).unionByName(written(evidence, "evidence", sample_id=F.col("sample_id")))
+    return rows.orderBy("detector_id", "seq", "finding_id", F.desc("part"), "sample_id")
 
 
 def context_text(findings: DataFrame, evidence: DataFrame, most_findings: int = 25, most_evidence: int = 8, most_item: int = 800, most: int = 7500) -> DataFrame:

@@ -247,6 +247,18 @@ def test_contributor_of_copies_is_found(spark):
     assert {r["detector_id"]: (r["findings_count"], r["evidence_count"]) for r in results.collect()} == {"DI-01": (2, 2), "DI-05": (2, 2)}
 
 
+def test_export_has_a_row_for_each_finding_and_sample(spark):
+    findings = spark.range(50).select(F.concat(F.lit("f"), "id").alias("finding_id"), F.lit("DI-01").alias("detector_id"), F.lit("data").alias("category"), F.lit("s").alias("subcategory"), F.lit("LOW").alias("severity"), F.lit("t").alias("title"), F.col("id").alias("seq"))
+    evidence = findings.select("finding_id", "detector_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))).alias("sample_id"), F.lit("{}").alias("data_json"), "seq")
+    results = spark.createDataFrame([("DI-01", "SUCCESS", "LOW", "HIGH", True, None, 50, 50), ("DI-03", "SKIPPED", None, None, False, "no", 0, 0)], battery.VERDICT)
+    out = battery.export(results, findings, evidence).collect()
+    documents = [json.loads(r["document"]) for r in out]
+    assert [d["part"] for d in documents] == ["verdict"] + 50 * (["finding"] + 4 * ["evidence"]) + ["verdict"]
+    assert [d["seq"] for d in documents if d["part"] == "finding"] == list(range(50)) and documents[-1]["reason"] == "no"
+    assert [(d["finding_id"], d["sample_id"]) for d in documents[2:6]] == [("f0", i) for i in range(1, 5)]
+    assert battery.export(results, findings, evidence, most_evidence=2).filter("part = 'evidence'").count() == 100
+
+
 def test_search(spark):
     df = spark.createDataFrame([("50% off",), ("50 off",), (None,)], "t string")
     assert df.filter(search.contains_any([F.col("t")], " 50% ")).count() == 1
