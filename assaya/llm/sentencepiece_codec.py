@@ -2,23 +2,28 @@
 
 The automaton reads the UTF-8 bytes of a text. At each position the chain of output links from its state lists every
 piece that ends there, and each relaxes the best score of that position. Texts are cut where no piece can cross, and the
-same run of bytes is segmented once per batch; runs are stepped through together, as rows of arrays.
+same run of bytes is segmented once per slice of texts; runs are stepped through together, as rows of arrays.
+
+A task builds the automaton for itself and lets it go when it ends, so workers that serve other work next don't keep it.
 """
 
+import hashlib
 import re
-from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 _SPACE = "▁"
 #: Bytes of a run beyond which it is segmented on its own.
 _LONG = 192
-#: Segmented runs that a worker remembers.
+#: Segmented runs that a task remembers.
 _REMEMBERED = 100_000
+#: Bytes of neighbouring texts that are encoded together.
+_SLICE = 1 << 20
 
 
 class Codec:
@@ -29,11 +34,11 @@ class Codec:
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         n = model.get_piece_size()
-        self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.bytes_of: list[bytes] = []
         self.byte_ids = np.full(256, -1, dtype=np.int64)
         normal = []
-        for i, piece in enumerate(self.pieces):
+        for i in range(n):
+            piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
                 self.bytes_of.append(bytes([int(piece[3:5], 16)]))
@@ -60,39 +65,31 @@ class Codec:
 
     def _build(self, normal: list[int], scores: np.ndarray) -> None:
         """States by levels: ``go`` with failures folded in, and per state the piece that ends in it and the next state
-        of its output chain."""
-        children: list[dict[int, int]] = [{}]
-        depth, ends = [0], [-1]
-        for i in normal:
-            at = 0
-            for b in self.bytes_of[i]:
-                if b not in children[at]:
-                    children[at][b] = len(children)
-                    children.append({})
-                    depth.append(depth[at] + 1)
-                    ends.append(-1)
-                at = children[at][b]
-            ends[at] = i
-        n = len(children)
-        self.go = np.zeros((n, 256), dtype=np.int32)
-        fail = np.zeros(n, dtype=np.int32)
-        self.piece = np.array(ends, dtype=np.int32)
-        self.chain = np.zeros(n, dtype=np.int32)
-        level = [0]
-        while level:
-            below = []
-            for state in level:
-                if state:
-                    f = fail[state]
-                    self.go[state] = self.go[f]
-                    self.chain[state] = f if self.piece[f] >= 0 else self.chain[f]
-                for b, child in children[state].items():
-                    fail[child] = self.go[fail[state], b] if state else 0
-                    self.go[state, b] = child
-                    below.append(child)
-            level = below
+        of its output chain. A level's states are the distinct prefixes of its length."""
+        sizes = np.array([len(self.bytes_of[i]) for i in normal])
+        longest = int(sizes.max(initial=0))
+        data = np.array([self.bytes_of[i] for i in normal], dtype=f"S{max(1, longest)}").view(np.uint8).reshape(len(normal), -1)
+        at, levels, n = np.zeros(len(normal), dtype=np.int64), [], 1
+        for depth in range(longest):
+            live = sizes > depth
+            steps, which = np.unique(at[live] * 256 + data[live, depth], return_inverse=True)
+            levels.append((steps >> 8, steps & 255, np.arange(n, n + len(steps))))
+            at[live] = n + which
+            n += len(steps)
+        self.piece = np.full(n, -1, dtype=np.int32)
+        self.piece[at] = normal
+        self.go = np.zeros((n, 256), dtype=np.uint16 if n <= 1 << 16 else np.uint32)
+        fail, self.chain = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int32)
+        for depth, (above, byte, state) in enumerate(levels):
+            if depth:
+                fail[state] = self.go[fail[above], byte]
+            self.go[above, byte] = state
+            own = fail[state]
+            self.go[state] = self.go[own]
+            self.chain[state] = np.where(self.piece[own] >= 0, own, self.chain[own])
         self.first = np.where(self.piece >= 0, np.arange(n), self.chain).astype(np.int32)
-        self.size = np.where(self.piece >= 0, np.array([len(self.bytes_of[i]) if i >= 0 else 0 for i in ends]), 0)
+        lengths = np.array([len(x) for x in self.bytes_of])
+        self.size = np.where(self.piece >= 0, lengths[self.piece], 0)
         self.score = np.where(self.piece >= 0, scores[self.piece], 0.0)
 
     def _rows(self, runs: list[bytes]) -> list[list[int]]:
@@ -186,73 +183,72 @@ class Codec:
         return data.decode("utf-8", "surrogatepass")[1:] if data.startswith(b" ") else data.decode("utf-8", "surrogatepass")
 
 
-@lru_cache(maxsize=2)
-def codec(model_path: str) -> Codec:
-    return Codec(model_path)
-
-
-def _slices(texts: list[str], most: int = 1 << 20):
-    """Neighbouring texts of together about ``most`` characters."""
+def _slices(sizes: list[int], most: int = _SLICE):
+    """Neighbours of together about ``most``."""
     at = 0
-    while at < len(texts):
+    while at < len(sizes):
         stop, held = at, 0
-        while stop < len(texts) and (stop == at or held + len(texts[stop]) <= most):
-            held += len(texts[stop])
+        while stop < len(sizes) and (stop == at or held + sizes[stop] <= most):
+            held += sizes[stop]
             stop += 1
         yield at, stop
         at = stop
 
 
+def _by_slice(rows: DataFrame, id_col: str, value_col: str, fields: list[StructField], model_path: str, work) -> DataFrame:
+    """(id, ``fields``): ``work(codec, values)`` gives the fields' arrays for a few neighbouring rows."""
+    schema = StructType([StructField(id_col, rows.schema[id_col].dataType), *fields])
+
+    def run(batches):
+        codec = Codec(model_path)
+        for batch in batches:
+            ids, values = batch.column(0), batch.column(1)
+            sized = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+            for lo, hi in _slices(pc.fill_null(sized, 0).to_pylist()):
+                arrays = [ids.slice(lo, hi - lo), *work(codec, values.slice(lo, hi - lo))]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return rows.select(F.col(id_col).alias("_id"), F.col(value_col).alias("_value")).mapInArrow(run, schema)
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and ``piece_ids`` (array of int). A null text has null, an empty one no ids.
 
-    The model file is read by each worker, so its path has to exist on every machine, as a library's files do.
+    The model file is read by each task, so its path has to exist on every machine, as a library's files do.
     """
 
-    @F.pandas_udf("array<int>")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(model_path)
-        for texts in batches:
-            values = texts.tolist()
-            filled = [t or "" for t in values]
-            out: list = []
-            for lo, hi in _slices(filled):
-                out += [np.array(x, dtype=np.int32) for x in c.encode(filled[lo:hi])]
-            yield pd.Series([None if t is None else x for t, x in zip(values, out)], dtype=object)
-        c.memory.clear()  # the worker may serve other work next
+    def ids_of(codec, texts):
+        found = codec.encode([t or "" for t in texts.to_pylist()])
+        offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        flat = np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(offsets[-1]))
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=texts.is_null())]
 
-    return docs.select(F.col(id_col), ids_of(F.col(text_col)).alias("piece_ids"))
+    return _by_slice(docs, id_col, text_col, [StructField("piece_ids", ArrayType(IntegerType()))], model_path, ids_of)
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "piece_ids") -> DataFrame:
     """One row per input row: id and ``text``. Null ids have a null text."""
 
-    @F.pandas_udf("string")
-    def text_of(ids: pd.Series) -> pd.Series:
-        c = codec(model_path)
-        return pd.Series([None if x is None else c.decode(x) for x in ids], dtype=object)
+    def text_of(codec, ids):
+        return [pa.array([None if x is None else codec.decode(x) for x in ids.to_pylist()], pa.string())]
 
-    return encoded.select(F.col(id_col), text_of(F.col(ids_col)).alias("text"))
+    return _by_slice(encoded, id_col, ids_col, [StructField("text", StringType())], model_path, text_of)
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_pieces, n_byte_pieces, ids_sha256 (of the ids as little-endian 32-bit integers) and
     decoded_sha256 (of the decoded text, which is that of the text itself). A null text counts as empty."""
-    import hashlib
-
-    @F.pandas_udf("n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = codec(model_path)
-        is_byte = np.zeros(len(c.pieces), bool)
-        is_byte[c.byte_ids] = True
-        for texts in batches:
-            filled, rows = [t or "" for t in texts], []
-            for lo, hi in _slices(filled):
-                for ids in c.encode(filled[lo:hi]):
-                    packed = np.array(ids, dtype="<i4")
-                    text = c.decode(ids).encode("utf-8", "surrogatepass")
-                    rows.append((len(ids), int(is_byte[packed].sum()), hashlib.sha256(packed.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_pieces", "n_byte_pieces", "ids_sha256", "decoded_sha256"])
-        c.memory.clear()
-
-    return docs.select(F.col(id_col), digest(F.col(text_col)).alias("_d")).select(id_col, "_d.*")
+    fields = [*(StructField(f, LongType()) for f in ("n_pieces", "n_byte_pieces")), *(StructField(f, StringType()) for f in ("ids_sha256", "decoded_sha256"))]
+
+    def digest(codec, texts):
+        is_byte = np.zeros(len(codec.bytes_of), bool)
+        is_byte[codec.byte_ids] = True
+        rows = []
+        for ids in codec.encode([t or "" for t in texts.to_pylist()]):
+            packed = np.array(ids, dtype="<i4")
+            text = codec.decode(ids).encode("utf-8", "surrogatepass")
+            rows.append((len(ids), int(is_byte[packed].sum()), hashlib.sha256(packed.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+        return [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
+
+    return _by_slice(docs, id_col, text_col, fields, model_path, digest)

@@ -246,7 +246,7 @@ def test_languages_are_learned_from_copies_and_rare_rows(spark):
 
 
 def test_pieces_come_back_and_are_best(documents):
-    codec = sentencepiece_codec.codec(f"{TOKENIZERS}/piece_bpe_32k.model")
+    codec = sentencepiece_codec.Codec(f"{TOKENIZERS}/piece_bpe_32k.model")
     texts = [r["text"] for r in list(documents.values())[:60]] + ["", "a", "  two  spaces ", "\n\nx\ty", "日本語😀", "x" * 700 + " " + "é" * 300, "▁a"]
     encoded = codec.encode(texts)
     assert [codec.decode(ids) for ids in encoded] == texts
