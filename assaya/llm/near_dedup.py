@@ -1,12 +1,14 @@
 """MinHash near-duplicates with SuperMinHash signatures, banding, exact verification and union-find grouping.
 
-Documents with one shingle set form a class; only its first document goes on. Classes that share a band of their
-signatures meet in a bucket. First each bucket's members are compared with its most copied class; after that only buckets
-whose members still lie in several components are worked on, in blocks of members against members. Links are confirmed
-on full shingle sets. A task holds one block and returns at most as many links as the block has members, so no group's
-pairs are ever written out.
+Documents with one shingle set form a class, a node of the graph; one text of it goes on. Classes that share a band of
+their signatures meet in a bucket; of buckets with the same members one is kept. First each bucket's members are compared
+with its most copied class; after that only buckets whose members still lie in several components are worked on, in
+blocks of members against members. Links are confirmed on full shingle sets. A task holds a block at a time and returns
+at most as many links as the block has members, so no group's pairs are ever written out.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +23,7 @@ SIZE, BANDS = 128, 32
 LIKELY = 0.55
 #: Members of a bucket in one side of a block; 1000 shingles count as one more member.
 CHUNK = 384
-_ELEMENTS = 150_000
+_ELEMENTS = 60_000
 _PIECE = 1 << 21
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -141,12 +143,17 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _agree(same: np.ndarray) -> np.ndarray:
-    """The share of true values in each row."""
-    return np.count_nonzero(same, axis=1) / same.shape[1]
+    """Which rows have enough true values to be verified."""
+    return np.count_nonzero(same, axis=1) >= LIKELY * same.shape[1]
+
+
+def _matrix(sigs: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), dtype=np.uint16).reshape(len(sigs), SIZE)
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n_shingles, set_a, set_b, sig): the set's size, its 128-bit hash and the signature. Empty sets: nulls."""
+    """(id, text_hash, n_shingles, set_a, set_b, sig): the set's size, its 128-bit hash and the signature. Empty sets:
+    nulls."""
 
     def work(batches):
         for pdf in batches:
@@ -158,7 +165,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
                 hashed = lambda salt: pd.array([np.add.reduce(_mix(s ^ np.uint64(salt))).astype(np.int64) if len(s) else None for s in sets], dtype="Int64")
                 yield pd.DataFrame(
                     {
-                        "id": part["id"].astype("Int64").array,
+                        "id": part["id"].array,
+                        "text_hash": part["text_hash"].array,
                         "n_shingles": [len(s) for s in sets],
                         "set_a": hashed(0x5851F42D4C957F2D),
                         "set_b": hashed(0x14057B7EF767814F),
@@ -166,65 +174,108 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
                     }
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(work, "id long, n_shingles long, set_a long, set_b long, sig binary")
-
-
-def _blocks_verified(blocks: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) found in blocks: rows (block, node, side, comp). Side 0 is compared with side 1; if all have side 2,
-    all with all. Only nodes of different components are compared, and in a block the links found are a forest."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingles(t, width) for t in pdf["text"]]
-        nodes, comps, sides = pdf["node"].to_numpy(), pdf["comp"].to_numpy(), pdf["side"].to_numpy()
-        star = sides.min() == 0 and (sides == 0).sum() == 1
-        sigs = np.zeros((len(sets), 1), np.uint16) if star else signatures(sets)
-        above = {c: c for c in comps.tolist()}
-
-        def top(c):
-            while above[c] != c:
-                above[c] = c = above[above[c]]
-            return c
-
-        found = []
-        for i in np.flatnonzero(sides != 1):
-            near = np.flatnonzero(_agree(sigs[i] == sigs) >= LIKELY)
-            for j in near:
-                fits = (sides[i] == 0 and sides[j] == 1) or (sides[i] == 2 and i < j)
-                if fits and (p := top(comps[i].item())) != (q := top(comps[j].item())) and _similar(sets[i], sets[j], percent):
-                    above[max(p, q)] = min(p, q)
-                    found.append((nodes[i], nodes[j]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    # ids as texts on their way: a column of numbers with a null would come as floats
+    rows = _texts(docs, id_col, text_col).withColumn("id", F.col("id").cast("string"))
+    sketched = rows.mapInPandas(work, "id string, text_hash long, n_shingles long, set_a long, set_b long, sig binary")
+    return sketched.withColumn("id", F.col("id").cast("long"))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+
 
-    rows = _dealt(blocks.join(texts, "node").select("block", "node", "side", "comp", "text"))
-    return rows.groupBy("block").applyInPandas(work, "a long, b long")
+def _by_block(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work(frame, bounds)`` on whole blocks, many at a time: bounds are each block's first row and the row after its last.
 
+    Blocks are dealt over all shuffle partitions, as they are few bytes for much work; rows come sorted by block, and what
+    is not over at the end of a batch waits for the next one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if waiting is None else pd.concat([waiting, pdf], ignore_index=True)
+            block = pdf["block"].to_numpy()
+            edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist()]
+            waiting = pdf.iloc[edges[-1] :]
+            if len(edges) > 1:
+                yield work(pdf, list(zip(edges, edges[1:])))
+        if waiting is not None:
+            waiting = waiting.reset_index(drop=True)
+            yield work(waiting, [(0, len(waiting))])
+
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+    return dealt.sortWithinPartitions("block").mapInPandas(run, schema)
+
+
+def _verified(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) found in blocks of (block, node, side, comp, sig). Side 0 is compared with side 1; nodes of side 2 with
+    each other. Only nodes of different components are compared, and in a block the links found are a forest."""
+
+    def work(pdf: pd.DataFrame, bounds) -> pd.DataFrame:
+        nodes, comps, sides, found = pdf["node"].tolist(), pdf["comp"].tolist(), pdf["side"].to_numpy(), []
+        all_texts, all_sigs = pdf["text"].tolist(), _matrix(pdf["sig"])
+        for lo, hi in bounds:
+            sets: dict[int, np.ndarray] = {}
+            above = {c: c for c in comps[lo:hi]}
+
+            def top(c):
+                while above[c] != c:
+                    above[c] = c = above[above[c]]
+                return c
+
+            def set_of(i):
+                if i not in sets:
+                    sets[i] = shingles(all_texts[i], width)
+                return sets[i]
+
+            for i in lo + np.flatnonzero(sides[lo:hi] != 1):
+                # a node of side 2 looks at those after it, one of side 0 at side 1
+                first = i + 1 if sides[i] == 2 else lo
+                fits = _agree(all_sigs[i] == all_sigs[first:hi]) & (sides[first:hi] == (2 if sides[i] == 2 else 1))
+                for j in first + np.flatnonzero(fits):
+                    p, q = top(comps[i]), top(comps[j])
+                    if p != q and _similar(set_of(i), set_of(j), percent):
+                        above[max(p, q)] = min(p, q)
+                        found.append((nodes[i], nodes[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """By block over all shuffle partitions: blocks are few bytes for much work, so they aren't merged by size."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+    return _by_block(rows.join(texts, "node").select("block", "node", "side", "comp", "sig", "text"), work, "a long, b long")
 
 
 def _flagged(rows: DataFrame) -> DataFrame:
     """Of blocks of (block, band, node, comp, sig, side), the members that have a likely partner of another component.
     A pair counts in the first band that it shares."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.stack([np.frombuffer(x, dtype=np.uint16) for x in pdf["sig"]])
-        comp, band, side = pdf["comp"].to_numpy(), int(pdf["band"].iloc[0]), pdf["side"].to_numpy()
+    def work(pdf: pd.DataFrame, bounds) -> pd.DataFrame:
+        sigs, comps, sides, bands = _matrix(pdf["sig"]), pdf["comp"].to_numpy(), pdf["side"].to_numpy(), pdf["band"].tolist()
         wanted = np.zeros(len(pdf), bool)
-        width = sig.shape[1] // BANDS
-        for i in np.flatnonzero(side != 1):
-            same = sig[i] == sig
-            ok = (_agree(same) >= LIKELY) & (comp != comp[i])
-            ok &= (side == 1) if side[i] == 0 else True
-            if band and ok.any():
-                ok &= ~same.reshape(len(pdf), BANDS, width)[:, :band].all(axis=2).any(axis=1)
-            wanted |= ok
-            wanted[i] |= ok.any()
-        return pdf.loc[wanted, ["block", "node", "comp", "side"]]
-
-    return _dealt(rows).groupBy("block").applyInPandas(work, "block string, node long, comp long, side int")
+        for lo, hi in bounds:
+            sig, comp, side, band = sigs[lo:hi], comps[lo:hi], sides[lo:hi], bands[lo]
+            for i in np.flatnonzero(side != 1):
+                same = sig[i] == sig
+                at = np.flatnonzero(_agree(same) & (comp != comp[i]) & (side == (2 if side[i] == 2 else 1)))
+                if band and len(at):
+                    at = at[~same[at].reshape(len(at), BANDS, -1)[:, :band].all(axis=2).any(axis=1)]
+                if len(at):
+                    wanted[lo + at] = wanted[lo + i] = True
+        return pdf.loc[wanted, ["block", "node", "comp", "side", "sig"]]
+
+    return _by_block(rows, work, "block long, node long, comp long, side int, sig binary")
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(key, band, node, pivot, weight_of): the members of each bucket, its pivot being the most copied class. A bucket with
+    the same members as one of a lower band is left out: all its pairs share that lower band too."""
+    bytes_per_band = SIZE // BANDS * 2
+    band_keys = [F.xxhash64(F.substring("sig", 1 + i * bytes_per_band, bytes_per_band), F.lit(i)) for i in range(BANDS)]
+    banded = classes.select("node", "copies", "weight", F.posexplode(F.array(*band_keys)).alias("band", "key"))
+    members = [F.bit_xor(F.xxhash64(F.lit(salt), "node")).alias(f"_m{salt}") for salt in (1, 2)]
+    shared = banded.groupBy("key").agg(F.count("*").alias("_n"), F.min("band").alias("_band"), F.max_by("node", "copies").alias("pivot"), *members)
+    kept = shared.filter("_n > 1").groupBy("_n", "_m1", "_m2").agg(F.min_by(F.struct("key", "pivot"), "_band").alias("_k")).select("_k.key", "_k.pivot")
+    return cut(banded.join(kept, "key").select("key", "band", "node", "pivot", F.col("weight").alias("weight_of")))
 
 
 def group(
@@ -232,36 +283,33 @@ def group(
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the least id reachable over links) and kept (id is that).
 
-    A null or empty text, or one without words, has no shingles and is linked with nothing. Rows that repeat an id are
-    one node, compared by one of their texts. A row with a null id isn't linked: its component is null, and it is kept.
+    A null or empty text, or one without words, has no shingles and is linked with nothing. Rows that repeat an id, with
+    whatever texts, are linked with each other. A row with a null id isn't linked: its component is null, and it is kept.
     """
     rows = cut(sketch(docs, id_col, text_col, width))
     usable = rows.filter("n_shingles > 0 and id is not null")
-    classes = cut(usable.groupBy("set_a", "set_b").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("node"), F.count("*").alias("copies"), (1 + F.first("n_shingles") / 1000).alias("weight")))
-
-    bytes_per_band = SIZE // BANDS * 2
-    band_keys = [F.xxhash64(F.substring("sig", 1 + i * bytes_per_band, bytes_per_band), F.lit(i)) for i in range(BANDS)]
-    banded = classes.select("node", "copies", "weight", F.posexplode(F.array(*band_keys)).alias("band", "key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("_n"), F.max_by("node", "copies").alias("pivot"))
-    members = cut(banded.join(shared.filter("_n > 1"), "key").select("key", "band", "node", "pivot", F.col("weight").alias("weight_of")))
+    classes = usable.groupBy("set_a", "set_b").agg(
+        F.first("sig").alias("sig"), F.min(F.struct("id", "text_hash")).alias("rep"), F.count("*").alias("copies"), (1 + F.first("n_shingles") / 1000).alias("weight")
+    )
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    members = _buckets(classes)
 
-    docs_text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    wanted = members.select("node").distinct()
-    texts = docs_text.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    texts = cut(texts)
+    wanted = classes.select("node", "rep.*").join(members.select("node").distinct(), "node", "left_semi")
+    texts = _texts(docs, id_col, text_col).join(wanted, ["id", "text_hash"])
+    texts = cut(texts.groupBy("id", "text_hash").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"))
 
     # each member with the most copied class of its buckets
     sigs = classes.select("node", "sig")
     star = members.filter("node <> pivot").select("node", "pivot").distinct()
     star = star.join(sigs, "node").join(sigs.select(F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
     star = _likely(star.select("node", "pivot", "sig", "pivot_sig"))
-    chunk = F.concat_ws(":", "pivot", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("m") / CHUNK))))
     sizes = star.groupBy("pivot").agg(F.count("*").alias("m"))
-    star = cut(star.join(sizes, "pivot").select(chunk.alias("block"), "node", "pivot"))
-    blocks = star.select("block", "node", F.lit(1).alias("side"), F.col("node").alias("comp")).union(
-        star.select("block", F.col("pivot").alias("node"), F.lit(0).alias("side"), F.col("pivot").alias("comp")).distinct()
-    )
-    links = cut(_blocks_verified(blocks, texts, width, percent))
+    chunk = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("m") / CHUNK)))
+    star = cut(star.join(sizes, "pivot").select(F.xxhash64("pivot", chunk).alias("block"), "node", "pivot"))
+    side = lambda node, n: F.struct(node.alias("node"), F.lit(n).alias("side"))
+    blocks = star.select("block", side(F.col("node"), 1).alias("x")).union(star.select("block", side(F.col("pivot"), 0).alias("x")).distinct())
+    blocks = blocks.select("block", "x.*", F.col("x.node").alias("comp")).join(sigs, "node")
+    links = cut(_verified(blocks, texts, width, percent))
     roots = components(links)
 
     # buckets whose members lie in several components yet: those apart from the pivot's are held against all others
@@ -272,26 +320,29 @@ def group(
     weigh = lambda c: F.ceil(F.sum(F.when(c, F.col("weight_of")).otherwise(0)) / CHUNK).cast("int")
     open_keys = placed.groupBy("key").agg(weigh(F.col("apart")).alias("s"), weigh(~F.col("apart")).alias("m")).filter("s > 0")
     left = placed.join(open_keys, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("apart"), F.col("s")).otherwise(F.col("m"))).cast("int"))
-    name = lambda *parts: F.concat_ws(":", "key", *parts)
-    block = lambda at, side: F.struct(at.alias("block"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    block = lambda a, b, side: F.struct(F.xxhash64("key", a, b).alias("block"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    own = F.col("part")
-    with_rest = F.transform(upto("m"), lambda j: block(name(own, F.lit("m"), j), 0))
-    with_apart = F.transform(upto("s"), lambda i: block(name(F.least(own, i), F.greatest(own, i)), F.when(own == i, 2).when(own < i, 0).otherwise(1)))
-    as_rest = F.transform(upto("s"), lambda i: block(name(i, F.lit("m"), own), 1))
+    own, rest = F.col("part"), lambda j: -1 - j
+    with_rest = F.transform(upto("m"), lambda j: block(own, rest(j), 0))
+    with_apart = F.transform(upto("s"), lambda i: block(F.least(own, i), F.greatest(own, i), F.when(own == i, 2).when(own < i, 0).otherwise(1)))
+    as_rest = F.transform(upto("s"), lambda i: block(i, rest(own), 1))
     blocks = F.when(F.col("apart"), F.concat(with_rest, with_apart)).otherwise(as_rest)
     left = left.select("band", "node", "comp", F.explode(blocks).alias("x")).select("band", "node", "comp", "x.*").join(sigs, "node")
     flagged = cut(_flagged(left))
-    more = cut(_blocks_verified(flagged, texts, width, percent))
-    # the earlier links hold as (node, root)
-    all_links = more.union(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    roots = components(all_links)
-
-    classed = classes.select("set_a", "set_b", "node").join(roots, "node", "left")
-    classed = classed.select("set_a", "set_b", F.coalesce("root", "node").alias("class_root"))
+    more = cut(_verified(flagged, texts, width, percent))
+
+    # the earlier links hold as (node, root); classes that hold one id are linked by it
+    of_row = usable.select("id", "set_a", "set_b").join(classes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).select("id", "node")
+    several = of_row.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("_last")).filter("a <> _last")
+    by_id = of_row.join(several, "id").select("a", F.col("node").alias("b"))
+    roots = components(more.union(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))).union(by_id))
+
+    classed = classes.select("set_a", "set_b", "node", F.col("rep.id").alias("least")).join(roots, "node", "left")
+    classed = classed.select("set_a", "set_b", "least", F.coalesce("root", "node").alias("root"))
+    least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
+    classed = classed.join(least, "root").select("set_a", "set_b", "component_id")
     out = rows.join(classed, ["set_a", "set_b"], "left")
-    # one id may carry several texts: then their classes are one node's
-    component = F.when(F.col("id").isNotNull(), F.coalesce("class_root", "id"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
@@ -299,17 +350,15 @@ def group(
 def _likely(pairs: DataFrame) -> DataFrame:
     def work(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            a = np.stack([np.frombuffer(x, dtype=np.uint16) for x in pdf["sig"]])
-            b = np.stack([np.frombuffer(x, dtype=np.uint16) for x in pdf["pivot_sig"]])
-            yield pdf.loc[_agree(a == b) >= LIKELY, ["node", "pivot"]]
+            if len(pdf):
+                yield pdf.loc[_agree(_matrix(pdf["sig"]) == _matrix(pdf["pivot_sig"])), ["node", "pivot"]]
 
     return cut(pairs.mapInPandas(work, "node long, pivot long"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The input's rows and columns, one row of each group: that of the least id. Rows that repeat a kept id are one."""
-    kept = group(docs, id_col, text_col, **settings).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
-    unique = docs.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
-    return unique.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    """The input's rows and columns, one row of each group: that of the least id. Rows that repeat a kept id are one; rows
+    with a null id stay."""
+    kept = group(docs, id_col, text_col, **settings).filter(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_kept")).distinct()
+    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))
