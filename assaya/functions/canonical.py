@@ -12,10 +12,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assaya.functions.text import CENSORED_ENDS, CENSORED_ROOTS
+
 #: The fields of a manifest that are signed, but for the one that names the producer's version.
 SIGNED = ("inference_config", "input_sha256", "manifest_id", "manifest_version", "model_sha256", "nonce", "output_sha256", "preprocessing_config", "sequence", "timestamp_utc")
-_SECRET_KEY = re.compile(r"(?i)(secret|token|password|private|api_?key|credential)")
-_TOKEN = re.compile(r"^(?:[A-Fa-f0-9]{40,}|(?:sk|pk|ghp)[-_][A-Za-z0-9_-]{16,})$")
+#: Keys that are left out of an export, and what is masked in its strings.
+SECRET_KEY = re.compile(r"api_?key|secret|private_?key|token|password|auth(?:orization)?|credential", re.IGNORECASE)
+SECRET_VALUE = re.compile(r"sk-[a-z0-9_-]{20,}|ghp_[a-z0-9]{30,}|Bearer\s+[a-z0-9_.-]+", re.IGNORECASE)
+_LOCAL_PATH = re.compile(rf"(?:[a-z]:\\|/(?:{'|'.join(CENSORED_ROOTS)})/)[^{CENSORED_ENDS}]+", re.IGNORECASE)
 
 
 def _dump(value) -> str:
@@ -75,26 +79,18 @@ def without_internal_keys(text: Column) -> Column:
     return F.pandas_udf(_without_internal_keys, "string")(text)
 
 
-def signature_status(payload: Column, stored_digest: Column, verdict: Column) -> Column:
-    """``verified``, ``invalid`` or ``unsigned``: the payload without internal keys must have the digest, and the signature
-    verdict (null where there is no signature) must be true."""
-    same = F.sha2(without_internal_keys(payload), 256) == stored_digest
-    return F.when(verdict.isNull(), "unsigned").when(F.coalesce(same, F.lit(False)) & verdict, "verified").otherwise("invalid")
-
-
 def _sanitized(text: pd.Series) -> pd.Series:
-    path = re.compile(r"(?i)(?:[a-z]:\\|/(?:home|tmp|var|usr|users)/)[^\s<>\"':]+")
+    def last(path: re.Match) -> str:
+        return re.split("/" if path[0].startswith("/") else r"\\", path[0])[-1] or "local_file"
 
     def clean(v):
         if isinstance(v, dict):
-            return {k: clean(x) for k, x in v.items() if not _SECRET_KEY.search(k)}
+            return {k: clean(x) for k, x in v.items() if not SECRET_KEY.search(k)}
         if isinstance(v, list):
             return [clean(x) for x in v]
         if isinstance(v, float) and not math.isfinite(v):
             return None
-        if isinstance(v, str):
-            return "[REDACTED]" if _TOKEN.match(v) else path.sub(lambda m: re.split(r"[/\\]", m[0])[-1] or "local_file", v)
-        return v
+        return SECRET_VALUE.sub("[REDACTED_SECRET]", _LOCAL_PATH.sub(last, v)) if isinstance(v, str) else v
 
     def one(t):
         try:
@@ -106,6 +102,6 @@ def _sanitized(text: pd.Series) -> pd.Series:
 
 
 def sanitized(text: Column) -> Column:
-    """The JSON tree without secret-named keys, with token-shaped strings masked, local paths cut to their last part, and
-    numbers that aren't finite as null."""
+    """The JSON tree without secret-named keys, with tokens masked wherever a string has them, local paths cut to their last
+    part, and numbers that aren't finite as null. Digests stay. Null for null and for what isn't JSON."""
     return F.pandas_udf(_sanitized, "string")(text)

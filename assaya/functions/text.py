@@ -5,9 +5,18 @@ from pyspark.sql import functions as F
 
 #: Names that some systems reserve for devices.
 RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"{d}{i}" for d in ("COM", "LPT") for i in range(1, 10)))
-#: Patterns of local paths.
-WINDOWS_PATH = r"(?i)[a-z]:\\[^\s<>\"':]+"
-UNIX_PATH = r"(?i)/(?:home|tmp|var|usr|Users)/[^\s<>\"':]+"
+#: Where local paths that are censored begin, and characters that end them.
+CENSORED_ROOTS = ("home", "tmp", "var", "usr", "Users")
+CENSORED_ENDS = r"\s<>\"':"
+#: The same for paths that are redacted; those of a drive end otherwise.
+REDACTED_ROOTS = ("home", "root", "Users", "tmp", "var", "opt")
+REDACTED_ENDS, REDACTED_DRIVE_ENDS = r"\s<>|", r":*?\"<>|\r\n"
+#: Secrets in texts and what they become, in this order.
+SECRETS = (
+    (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED_PRIVATE_KEY]"),
+    (r"(?i)Bearer\s+[a-z0-9_\-.]{16,}", "Bearer [REDACTED_TOKEN]"),
+    (r"(?i)(?:api[_-]?key|secret|token|password)[\"']?\s*[:=]\s*[\"']?[a-z0-9_\-.]{16,}[\"']?", "secret=[REDACTED_SECRET]"),
+)
 
 
 def base_name(path: Column) -> Column:
@@ -47,19 +56,32 @@ def upload_name(raw: Column) -> Column:
 
 
 def censor_paths(text: Column) -> Column:
-    """Absolute local paths become their last component."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)[a-z]:\\(?:[^\s<>\"':\\]*\\)*([^\s<>\"':\\]+)", "$1")
-    return F.regexp_replace(out, r"(?i)/(?:home|tmp|var|usr|Users)/(?:[^\s<>\"':/]*/)*([^\s<>\"':/]+)", "$1")
+    """Absolute local paths, of a drive or below ``CENSORED_ROOTS``, become their last component; one that ends in a
+    separator becomes ``local_file``."""
+    out = F.coalesce(text, F.lit(""))
+    roots = "|".join(CENSORED_ROOTS)
+    for begin, separator in ((r"[a-z]:\\", r"\\"), (rf"/(?:{roots})/", "/")):
+        inside, name = rf"[^{CENSORED_ENDS}]", rf"[^{CENSORED_ENDS}{separator}]"
+        out = F.regexp_replace(out, rf"(?i){begin}(?:{inside}*{separator})?({name}+)(?!{inside})", "$1")
+        out = F.regexp_replace(out, rf"(?i){begin}{inside}*{separator}(?!{inside})", "local_file")
+    return out
 
 
 def redact(text: Column) -> Column:
-    """Private keys, bearer tokens and ``key = value`` secrets are masked, in that order; then paths become
-    ``[artifact: parent/name]``."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED_PRIVATE_KEY]")
-    out = F.regexp_replace(out, r"(?i)Bearer\s+[a-z0-9_\-.]{16,}", "Bearer [REDACTED_TOKEN]")
-    out = F.regexp_replace(out, r"(?i)(?:api[_-]?key|secret|token|password)[\"']?\s*[:=]\s*[\"']?[a-z0-9_\-.]{16,}[\"']?", "secret=[REDACTED_SECRET]")
-    out = F.regexp_replace(out, r"[a-zA-Z]:[\\/](?:[^:*?\"<>|\r\n\\/]*[\\/])*?([^:*?\"<>|\r\n\\/]+)[\\/]+([^:*?\"<>|\r\n\\/]+)(?![^:*?\"<>|\r\n])", "[artifact: $1/$2]")
-    return F.regexp_replace(out, r"/(?:(?:home|root|Users|tmp|var|opt)/)(?:[^\s<>|/]*/)*?([^\s<>|/]+)/([^\s<>|/]+)(?![^\s<>|])", "[artifact: $1/$2]")
+    """``SECRETS`` are masked, in their order; then absolute paths, of a drive or below ``REDACTED_ROOTS``, become
+    ``[artifact: parent/name]`` of their last two components, the drive or root being one, or ``[artifact: name]`` of the
+    only one."""
+    out = F.coalesce(text, F.lit(""))
+    for pattern, mask in SECRETS:
+        out = F.regexp_replace(out, pattern, mask)
+    roots = "|".join(REDACTED_ROOTS)
+    kinds = (("", "[a-zA-Z]:", r"[\\/]", r"\\/", REDACTED_DRIVE_ENDS), ("/", f"(?:{roots})", "/", "/", REDACTED_ENDS))
+    for before, top, separator, separators, ends in kinds:
+        inside, name = rf"[^{ends}]", rf"[^{ends}{separators}]"
+        two = rf"{before}(?:{top}{separator}(?:{inside}*{separator})?({name}+)|({top})){separator}+({name}+){separator}*(?!{inside})"
+        out = F.regexp_replace(out, two, "[artifact: $1$2/$3]")
+        out = F.regexp_replace(out, rf"{before}({top}){separator}{{2,}}(?!{inside})", "[artifact: $1]")
+    return out
 
 
 def escape_like(term: Column) -> Column:
