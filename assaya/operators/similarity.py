@@ -1,6 +1,7 @@
 """Near duplicates, label conflicts, label outliers and recurring patterns over 64-bit hashes."""
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,20 +11,27 @@ from assaya.functions.hashes import bits, hamming
 from assaya.operators.graph import components
 from assaya.shared import cut
 
-#: Thresholds above this would need more probe keys than candidates saved.
-MOST_BITS = 14
-#: Centroids go to every task as one row; beyond so many classes that is refused.
-MOST_CLASSES = 5000
+#: Centroids in one row that each doubtful sample is held against.
+CENTROIDS = 256
 
 
-def _plan(threshold: int) -> tuple[list[tuple[int, int]], int]:
+def _bands(threshold: int, n: int) -> tuple[list[tuple[int, int]], int]:
     """(offset, width) of the bands, and the radius to probe in one: two hashes within ``threshold`` bits have a band
-    within it."""
-    if not 0 <= threshold <= MOST_BITS:
-        raise ValueError(f"a threshold of {threshold} bits would come down to comparing all pairs; at most {MOST_BITS}")
-    bands = threshold + 1 if threshold <= 4 else 4 if threshold <= 11 else 5
-    edges = [round(64 * i / bands) for i in range(bands + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])], threshold // bands
+    within it. Of all numbers of bands that one is taken with which ``n`` hashes spread evenly make the fewest probes and
+    candidates together: more hashes, wider bands."""
+    if not 0 <= threshold <= 63:
+        raise ValueError(f"a threshold is 0 to 63 bits, not {threshold}")
+
+    def plan(bands: int):
+        edges = [round(64 * i / bands) for i in range(bands + 1)]
+        return [(a, b - a) for a, b in zip(edges, edges[1:])], threshold // bands
+
+    def cost(bands: int) -> float:
+        widths, radius = plan(bands)
+        probes = [sum(comb(w, r) for r in range(radius + 1)) for _, w in widths]
+        return sum(p + n * p / 2**w for p, (_, w) in zip(probes, widths)) if max(probes) <= 5000 else float("inf")
+
+    return plan(min(range(1, threshold + 2), key=cost))
 
 
 def near_hashes(hashes: DataFrame, threshold: int) -> DataFrame:
@@ -32,8 +40,8 @@ def near_hashes(hashes: DataFrame, threshold: int) -> DataFrame:
     Each hash probes, per band, the keys within the radius. A pair is taken in its first band that is near, so it comes
     once and needs no further shuffle.
     """
-    bands, radius = _plan(threshold)
-    distinct = hashes.select("h").filter("h is not null").distinct()
+    distinct = cut(hashes.select("h").filter("h is not null").distinct())
+    bands, radius = _bands(threshold, distinct.count())
     key = lambda h, at, width: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
     keys = F.array(*[F.struct(F.lit(i).alias("band"), key(F.col("h"), *band).alias("key")) for i, band in enumerate(bands)])
     built = distinct.select(F.col("h").alias("b"), F.explode(keys).alias("k")).select("b", "k.*")
@@ -80,19 +88,28 @@ def near_groups(samples: DataFrame, threshold: int = 10) -> tuple[DataFrame, Dat
     return clusters, placed.select(F.col("root").alias("cluster"), F.col("seq").alias("sample_id"))
 
 
+def _first_by_sets(classes: DataFrame, key: str, most: int) -> DataFrame:
+    """Of each key's classes, the first ``most`` of each of its first ``most`` label sets, in order of seq. Pairs of others
+    of one key come after ``most`` pairs of these."""
+    sets = first_per_key(classes.groupBy(key, "set").agg(F.min("seq").alias("_first")), [key], ["_first"], most)
+    return first_per_key(classes.join(sets.select(key, "set"), [key, "set"], "left_semi"), [key, "set"], ["seq"], most)
+
+
 def label_conflicts(samples: DataFrame, threshold: int = 4, cap: int | None = 20) -> DataFrame:
     """(seq_a, seq_b, distance) of samples (seq, sha256, h, labels) with different label sets and one content (distance
     0) or hashes within min(threshold, 4) bits; the first ``cap`` by (seq_a, seq_b), all for None. Unlabelled samples and
     those without a hash take no part.
 
-    Samples are first collected to one row for each (content, hash, label set), whose first seq stands for them.
+    Samples are first collected to one row for each (content, hash, label set), whose first seq stands for them. With a
+    cap, of a content or hash with very many of these rows only those go on that can be among the first pairs.
     """
     labelled = samples.filter("h is not null and size(labels) > 0")
     labelled = labelled.select("seq", "sha256", "h", F.array_join(F.array_sort(F.array_distinct("labels")), "\u0001").alias("set"))
     classes = cut(labelled.groupBy("sha256", "h", "set").agg(F.min("seq").alias("seq")))
-    side = lambda x: classes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("seq", "sha256", "h", "set")])
-    a, b = side("a"), side("b")
-    same = a.join(b, F.col("sha256_a") == F.col("sha256_b")).withColumn("distance", F.lit(0))
+    by_content, by_hash = (classes if cap is None else cut(_first_by_sets(classes, key, cap + 2)) for key in ("sha256", "h"))
+    side = lambda rows, x: rows.select(*[F.col(c).alias(f"{c}_{x}") for c in ("seq", "sha256", "h", "set")])
+    same = side(by_content, "a").join(side(by_content, "b"), F.col("sha256_a") == F.col("sha256_b")).withColumn("distance", F.lit(0))
+    a, b = side(by_hash, "a"), side(by_hash, "b")
     near = near_hashes(classes, min(threshold, 4))
     near = near.union(classes.select("h", "h", F.lit(0)).distinct())
     near = near.union(near.filter("a <> b").select("b", "a", "distance"))
@@ -101,41 +118,49 @@ def label_conflicts(samples: DataFrame, threshold: int = 4, cap: int | None = 20
     return found if cap is None else found.orderBy("seq_a", "seq_b").limit(cap)
 
 
+def per_label(samples: DataFrame) -> DataFrame:
+    """(seq, h, class): a row for each distinct label of a sample (seq, h, labels), as outliers are looked for in each of its
+    classes."""
+    return samples.select("seq", "h", F.explode(F.array_distinct("labels")).alias("class"))
+
+
 def label_outliers(samples: DataFrame, least: int = 3) -> DataFrame:
     """(seq, class, distance, other_distance) of label outliers. ``samples``: seq, h, class.
 
     A class with ``least`` samples has a centroid, the mean of its bit vectors; with fewer than two such classes there are
     no outliers. d is the L1 distance to the own centroid; the sample is an outlier if the class's population deviation
     of d is above 0.5, d > mean + 2.2 deviations, d >= 12, and the nearest other centroid is nearer than d - 1.2
-    deviations. Centroids are a row for each class.
+    deviations. Only samples that are far from their own are held against the others, ``CENTROIDS`` at a time.
     """
     rows = samples.filter("class is not null").select("seq", "class", bits(F.col("h")).alias("v"))
     means = [F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(64)]
     centroids = rows.groupBy("class").agg(F.count("*").alias("n"), *means).filter(F.col("n") >= least)
     centroids = cut(centroids.select("class", F.array(*[f"m{i}" for i in range(64)]).alias("c")))
-    if centroids.limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
-        raise ValueError(f"more than {MOST_CLASSES} classes: too many centroids to hold each sample against")
+    blocks = -(-centroids.count() // CENTROIDS)
     away = lambda v, c: F.aggregate(F.zip_with(v, c, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    all_centroids = centroids.agg(F.collect_list(F.struct("class", "c")).alias("all"))
-    own = rows.join(centroids, "class").join(F.broadcast(all_centroids)).filter(F.size("all") >= 2)
-    others = F.filter("all", lambda x: x["class"] != F.col("class"))
-    measured = own.select(
-        "seq", "class", away(F.col("v"), F.col("c")).alias("distance"), F.array_min(F.transform(others, lambda x: away(F.col("v"), x["c"]))).alias("other_distance")
-    )
-    stats = measured.groupBy("class").agg(F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("std"))
-    return (
-        measured.join(stats, "class")
-        .filter("std > 0.5 and distance > mean + 2.2 * std and distance >= 12 and other_distance < distance - 1.2 * std")
-        .select("seq", "class", "distance", "other_distance")
-    )
+    own = cut(rows.join(centroids, "class").select("seq", "class", "v", away(F.col("v"), F.col("c")).alias("distance")))
+    stats = own.groupBy("class").agg(F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("std"))
+    far = own.join(stats, "class").filter("std > 0.5 and distance > mean + 2.2 * std and distance >= 12")
+    far = far.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1))).alias("block"))
+    held = centroids.groupBy(F.pmod(F.xxhash64("class"), F.lit(max(1, blocks))).cast("int").alias("block")).agg(F.collect_list(F.struct("class", "c")).alias("some"))
+    others = F.transform(F.filter("some", lambda x: x["class"] != F.col("class")), lambda x: away(F.col("v"), x["c"]))
+    nearest = far.join(held, "block").select("seq", "class", "distance", "std", F.array_min(others).alias("other"))
+    nearest = nearest.groupBy("seq", "class").agg(F.first("distance").alias("distance"), F.first("std").alias("std"), F.min("other").alias("other_distance"))
+    return nearest.filter("other_distance < distance - 1.2 * std").select("seq", "class", "distance", "other_distance")
 
 
 def recurring_patterns(patches: DataFrame, threshold: int = 2, least_variance: float = 5.0, share: float = 0.15) -> DataFrame:
-    """(location, leader, n_contents, n_classes, mean_variance, severity) of recurring patches.
+    """(location, leader, n_members, n_contents, n_classes, mean_variance, severity) of recurring patches: see
+    ``pattern_groups``."""
+    return pattern_groups(patches, threshold, least_variance, share)[0]
+
+
+def pattern_groups(patches: DataFrame, threshold: int = 2, least_variance: float = 5.0, share: float = 0.15) -> tuple[DataFrame, DataFrame]:
+    """Recurring patterns, and their members (location, leader, seq).
 
     ``patches``: location, seq, sha256, class, h, variance. Patches under ``least_variance`` are dropped. In order of seq a
     patch joins the earliest leader within ``threshold`` bits at its location, else it leads; a pattern counts with
-    max(3, floor(share * samples)) distinct contents, and is HIGH with two classes or five contents.
+    max(3, floor(share * samples)) distinct contents, and is HIGH with two classes or five members.
 
     Leaders are found among distinct hashes: one is a leader if no earlier leader is near. Each round settles all
     hashes whose earlier neighbours are settled, so rounds are as many as the longest chain of such doubts.
@@ -158,11 +183,13 @@ def recurring_patterns(patches: DataFrame, threshold: int = 2, least_variance: f
     leads = state.filter("state = 'leader'")
     joined = earlier.join(leads.select("location", F.col("h").alias("b")), ["location", "b"]).groupBy("location", F.col("a").alias("h")).agg(F.min(F.struct("fb", "b")).alias("l"))
     assigned = state.join(joined, ["location", "h"], "left").select("location", "h", F.when(F.col("state") == "leader", F.col("h")).otherwise(F.col("l.b")).alias("leader"))
-    grouped = rows.join(assigned, ["location", "h"]).groupBy("location", "leader").agg(
-        F.countDistinct("sha256").alias("n_contents"), F.countDistinct("class").alias("n_classes"), F.avg("variance").alias("mean_variance")
+    members = cut(rows.join(assigned, ["location", "h"]).select("location", "leader", "seq", "sha256", "class", "variance"))
+    grouped = members.groupBy("location", "leader").agg(
+        F.count("*").alias("n_members"), F.countDistinct("sha256").alias("n_contents"), F.countDistinct("class").alias("n_classes"), F.avg("variance").alias("mean_variance")
     )
-    severity = F.when((F.col("n_classes") >= 2) | (F.col("n_contents") >= 5), "HIGH").otherwise("MEDIUM")
-    return grouped.filter(F.col("n_contents") >= max(3, int(share * total))).withColumn("severity", severity)
+    severity = F.when((F.col("n_classes") >= 2) | (F.col("n_members") >= 5), "HIGH").otherwise("MEDIUM")
+    found = cut(grouped.filter(F.col("n_contents") >= max(3, int(share * total))).withColumn("severity", severity))
+    return found, members.join(found, ["location", "leader"], "left_semi").select("location", "leader", "seq")
 
 
 def hamming_of_hex(a: Column, b: Column, invalid: int = -1) -> Column:

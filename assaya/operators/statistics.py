@@ -2,6 +2,9 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from assaya.shared import cut
 
 INF = float("inf")
 
@@ -31,25 +34,44 @@ def value_statistics(values: DataFrame, keys: list[str], value: str = "value") -
     )
 
 
+def parameter_totals(stats: DataFrame, key: str = "model_id") -> DataFrame:
+    """Per model over the rows of ``value_statistics``, one for each tensor: parameters, tensors, non_finite, sparsity (the
+    share of zeros), and minimum, maximum, mean and population deviation of all finite values, exact from the tensors' sums."""
+    finite = F.col("numel") - F.col("nan_count") - F.col("inf_count")
+    total, squares = F.sum(finite * F.col("mean_value")), F.sum(finite * (F.col("std_value") * F.col("std_value") + F.col("mean_value") * F.col("mean_value")))
+    sums = stats.groupBy(key).agg(
+        F.sum("numel").alias("parameters"), F.count("*").alias("tensors"), F.sum(F.col("nan_count") + F.col("inf_count")).alias("non_finite"),
+        F.coalesce(F.try_divide(F.sum(F.col("zero_fraction") * F.col("numel")), F.sum("numel")), F.lit(0.0)).alias("sparsity"),
+        F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"), F.try_divide(total, F.sum(finite)).alias("mean_value"), F.try_divide(squares, F.sum(finite)).alias("_squares"),
+    )
+    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("_squares") - F.col("mean_value") * F.col("mean_value")))
+    return sums.withColumn("std_value", F.when(F.col("_squares").isNotNull(), deviation)).drop("_squares")
+
+
 def parameter_verdict(stats: DataFrame, key: str = "model_id") -> DataFrame:
-    """Per model the first that holds: non-finite values (HIGH; CRITICAL severity from 100), extreme ones (bounds beyond
-    1e4 or deviation beyond 1e3; MEDIUM), a tensor of 1000 elements or more with zeros from 0.999 (LOW), NONE."""
-    bad = F.sum(F.col("nan_count") + F.col("inf_count"))
-    extreme = F.max(F.coalesce((F.abs("min_value") > 1e4) | (F.abs("max_value") > 1e4) | (F.col("std_value") > 1e3), F.lit(False)))
-    sparse = F.max((F.col("numel") >= 1000) & (F.col("zero_fraction") >= 0.999))
-    sums = stats.groupBy(key).agg(F.sum("numel").alias("parameters"), F.count("*").alias("tensors"), bad.alias("non_finite"), extreme.alias("_x"), sparse.alias("_s"))
-    risk = F.when(F.col("non_finite") > 0, "HIGH").when(F.col("_x"), "MEDIUM").when(F.col("_s"), "LOW").otherwise("NONE")
-    severity = F.when(F.col("non_finite") >= 100, "CRITICAL").when(F.col("non_finite") > 0, "HIGH").when(F.col("_x"), "MEDIUM").when(F.col("_s"), "LOW")
-    return sums.select(key, "parameters", "tensors", "non_finite", risk.alias("risk"), severity.alias("severity"))
-
-
-def activation_verdict(stats: DataFrame, key: str = "model_id") -> DataFrame:
+    """Per model the first that holds: non-finite values (HIGH, CRITICAL from 100), extreme ones (bounds of all values beyond
+    1e4 or their deviation beyond 1e3; MEDIUM), a tensor of 1000 elements or more with zeros from 0.999 (LOW), NONE. The
+    severity is the risk, and confidence is MODERATE for what may be intended."""
+    sparse = stats.groupBy(key).agg(F.count_if((F.col("numel") >= 1000) & (F.col("zero_fraction") >= 0.999)).alias("sparse_tensors"))
+    rows = parameter_totals(stats, key).join(sparse, key)
+    extreme = F.coalesce((F.abs("min_value") > 1e4) | (F.abs("max_value") > 1e4) | (F.col("std_value") > 1e3), F.lit(False))
+    bad = F.col("non_finite")
+    risk = F.when(bad >= 100, "CRITICAL").when(bad > 0, "HIGH").when(extreme, "MEDIUM").when(F.col("sparse_tensors") > 0, "LOW").otherwise("NONE")
+    confidence = F.when(F.col("risk").isin("MEDIUM", "LOW"), "MODERATE").otherwise("HIGH")
+    rows = rows.withColumn("risk", risk)
+    return rows.select(key, "parameters", "tensors", "non_finite", "sparse_tensors", "risk", F.nullif("risk", F.lit("NONE")).alias("severity"), confidence.alias("confidence"))
+
+
+def activation_verdict(stats: DataFrame, key: str = "model_id", intermediate: bool = True) -> DataFrame:
     """Per model: any non-finite activation is HIGH; a layer dead (zeros from 0.98) on three probes or more that aren't the
-    zero probe is MEDIUM. ``stats``: model, layer_name, probe_name and the columns of ``value_statistics``."""
+    zero probe is MEDIUM. Confidence is MODERATE for dead layers and wherever only outputs were captured, not
+    ``intermediate`` layers. ``stats``: model, layer_name, probe_name and the columns of ``value_statistics``."""
     dead = F.count_if((F.col("zero_fraction") >= 0.98) & (F.col("probe_name") != "zeros"))
     layers = stats.groupBy(key, "layer_name").agg(dead.alias("dead_probes"), F.sum(F.col("nan_count") + F.col("inf_count")).alias("bad"))
-    sums = layers.groupBy(key).agg(F.sum("bad").alias("non_finite"), F.count_if(F.col("dead_probes") >= 3).alias("dead_layers"))
-    return sums.select("*", F.when(F.col("non_finite") > 0, "HIGH").when(F.col("dead_layers") > 0, "MEDIUM").otherwise("NONE").alias("risk"))
+    sums = layers.groupBy(key).agg(F.count("*").alias("layers"), F.sum("bad").alias("non_finite"), F.count_if(F.col("dead_probes") >= 3).alias("dead_layers"))
+    risk = F.when(F.col("non_finite") > 0, "HIGH").when(F.col("dead_layers") > 0, "MEDIUM").otherwise("NONE")
+    sure = F.when((F.col("risk") == "MEDIUM") | F.lit(not intermediate), "MODERATE").otherwise("HIGH")
+    return sums.withColumn("risk", risk).withColumn("confidence", sure)
 
 
 def output_comparison(candidate: DataFrame, reference: DataFrame) -> DataFrame:
@@ -71,10 +93,11 @@ def output_comparison(candidate: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def comparison_verdict(per_probe: DataFrame) -> DataFrame:
-    """Mean mse and cosine, largest difference; equivalent if that is at most 1e-6 on every probe of one shape."""
+    """Mean mse and cosine, largest difference; equivalent if the mean mse is at most 1e-6, ``not_comparable`` where the sizes
+    of a probe differ or there is no probe."""
     return per_probe.agg(
         F.avg("mse").alias("mean_mse"), F.max("max_diff").alias("max_diff"), F.avg("cosine").alias("mean_cosine"),
-        F.when(F.min("same_shape") & (F.max("max_diff") <= 1e-6), "equivalent").otherwise("divergent").alias("outcome"),
+        F.when(~F.coalesce(F.min("same_shape"), F.lit(False)), "not_comparable").when(F.avg("mse") <= 1e-6, "equivalent").otherwise("divergent").alias("outcome"),
     )
 
 
@@ -95,26 +118,71 @@ def convergence(clean_diversity: Column, perturbed_diversity: Column, shift: Col
     return ratio, (clean_diversity >= 0.05) & (ratio < 0.15) & (shift > 2 * F.greatest(control_shift, F.lit(0.01)))
 
 
+def quantiles(rows: DataFrame, key: str, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(key, q0, q1, ...): exact quantiles of each key's non-null values, with linear interpolation between ranks.
+
+    Equal values are counted first, then ranges of (key, value) are dealt over tasks; the ranges' totals, a row for each key
+    in each, give every range its first rank. No task holds a key's values but those of its range.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    ranged = cut(counted.repartitionByRange("_k", "_v").withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_k", "_range").agg(F.sum("_n").alias("_s"))
+    per_key = Window.partitionBy("_k")
+    before = F.coalesce(F.sum("_s").over(per_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col("_k").alias("_k2"), F.col("_range").alias("_range2"), before.alias("_before"), F.sum("_s").over(per_key).alias("_total"))
+    placed = ranged.join(sums, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_range") == F.col("_range2")))
+    within = Window.partitionBy("_k", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.select("_k", "_v", "_n", "_total", (F.col("_before") + F.sum("_n").over(within)).alias("_upto"))
+
+    def at(rank):
+        return F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col("_v")))
+
+    ranks = [F.lit(q) * (F.col("_total") - 1) for q in shares]
+    found = placed.groupBy("_k").agg(F.max("_total").alias("_total"), *[x for i, r in enumerate(ranks) for x in (at(F.floor(r)).alias(f"_lo{i}"), at(F.ceil(r)).alias(f"_hi{i}"))])
+    between = [F.col(f"_lo{i}") + (r - F.floor(r)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i, r in enumerate(ranks)]
+    return found.select(F.col("_k").alias(key), *[b.alias(f"q{i}") for i, b in enumerate(between)])
+
+
+QUARTILES = (0.25, 0.5, 0.75)
+
+
 def feature_profile(long: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """Per feature of (feature, value): median and interquartile range (1 where that is 1e-4 or less). Exact linear
-    interpolation keeps a map of distinct values; ``accuracy`` switches to sketches."""
-    q = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quartiles = F.percentile("value", q) if accuracy is None else F.percentile_approx("value", q, F.lit(accuracy))
-    rows = long.groupBy("feature").agg(quartiles.alias("_q"))
-    spread = F.col("_q")[2] - F.col("_q")[0]
-    return rows.select("feature", F.col("_q")[1].alias("median"), F.when(spread <= 1e-4, 1.0).otherwise(spread).alias("iqr"))
+    """Per feature of (feature, value): median and interquartile range (1 where that is 1e-4 or less), exact with linear
+    interpolation; ``accuracy`` switches to sketches."""
+    if accuracy is None:
+        rows = quantiles(long, "feature", "value", QUARTILES)
+    else:
+        sketched = long.groupBy("feature").agg(F.percentile_approx("value", F.array(*map(F.lit, QUARTILES)), F.lit(accuracy)).alias("_q"))
+        rows = sketched.select("feature", *[F.col("_q")[i].alias(f"q{i}") for i in range(3)])
+    spread = F.col("q2") - F.col("q0")
+    return rows.select("feature", F.col("q1").alias("median"), F.when(spread <= 1e-4, 1.0).otherwise(spread).alias("iqr"))
+
+
+def _scored(long: DataFrame, profile: DataFrame) -> DataFrame:
+    """(seq, feature, score): how many interquartile ranges a value lies from its feature's median."""
+    return long.join(profile, "feature").select("seq", "feature", (F.abs(F.col("value") - F.col("median")) / F.col("iqr")).alias("score"))
+
+
+def _distance() -> Column:
+    return F.sqrt(F.sum(F.col("score") * F.col("score")))
+
+
+def outside_shares(evaluated: DataFrame, profile: DataFrame, width: float = 3.0) -> DataFrame:
+    """(feature, n_outside, share): per feature the values more than ``width`` interquartile ranges from the median."""
+    out = F.col("score") > width
+    return _scored(evaluated, profile).groupBy("feature").agg(F.count_if(out).alias("n_outside"), F.avg(out.cast("double")).alias("share"))
 
 
 def drift(evaluated: DataFrame, reference: DataFrame, photometric: list[str]) -> DataFrame:
     """One row: overall shift (root mean square over features of |median difference| / reference IQR), the features above
-    1.5, the share of samples with any feature outside median +- 3 IQR, and the class of the shift. Both: (seq, feature,
-    value)."""
-    ref = feature_profile(reference).withColumnsRenamed({"median": "rm", "iqr": "ri"})
-    shifts = feature_profile(evaluated).join(ref, "feature").select("feature", (F.abs(F.col("median") - F.col("rm")) / F.col("ri")).alias("shift"))
+    1.5, the share of samples with any feature outside median +- 3 IQR, the class of the shift, and the severity, risk and
+    confidence that follow. Both: (seq, feature, value)."""
+    profile = cut(feature_profile(reference))
+    own = feature_profile(evaluated).select("feature", F.col("median").alias("_own"))
+    shifts = own.join(profile, "feature").select("feature", (F.abs(F.col("_own") - F.col("median")) / F.col("iqr")).alias("shift"))
     overall = shifts.agg(F.sqrt(F.avg(F.col("shift") * F.col("shift"))).alias("overall_shift"), F.array_sort(F.collect_list(F.when(F.col("shift") > 1.5, F.col("feature")))).alias("affected"))
-    outside = evaluated.join(F.broadcast(ref), "feature").groupBy("seq").agg(F.max(F.abs(F.col("value") - F.col("rm")) > 3 * F.col("ri")).alias("out"))
-    shares = outside.agg(F.avg(F.col("out").cast("double")).alias("outlier_share"), F.count_if("out").alias("n_outliers"))
-    rows = overall.join(shares)
+    outside = _scored(evaluated, profile).groupBy("seq").agg(F.max(F.col("score") > 3).alias("out"))
+    rows = overall.join(outside.agg(F.avg(F.col("out").cast("double")).alias("outlier_share"), F.count_if("out").alias("n_outliers")))
     light = F.arrays_overlap("affected", F.array(*map(F.lit, photometric)))
     diffuse = (F.col("outlier_share") >= 0.4) | (light & (F.col("outlier_share") >= 0.25))
     kind = (
@@ -123,19 +191,33 @@ def drift(evaluated: DataFrame, reference: DataFrame, photometric: list[str]) ->
         .when(F.col("n_outliers") > 0, "SUSPICIOUS_ANOMALY_CLUSTER")
         .otherwise("DISTRIBUTION_SHIFT")
     )
-    return rows.select("overall_shift", "affected", "outlier_share", "n_outliers", kind.alias("classification"))
+    rows = rows.select("overall_shift", "affected", "outlier_share", "n_outliers", kind.alias("classification"))
+    kind, shift = F.col("classification"), F.col("overall_shift")
+    conforming, drifted, cluster = (kind == x for x in ("CONFORMING_DISTRIBUTION", "OPERATIONAL_DRIFT_INDICATOR", "SUSPICIOUS_ANOMALY_CLUSTER"))
+    severity = F.when(drifted, F.when(shift > 2.5, "MEDIUM").otherwise("LOW")).when(cluster, F.when(shift > 3, "HIGH").otherwise("MEDIUM")).when(~conforming, "LOW")
+    risk = F.when(conforming, "NONE").when(cluster | (drifted & (shift > 3)), "MEDIUM").otherwise("LOW")
+    return rows.select("*", severity.alias("severity"), risk.alias("risk"), F.when(conforming | drifted, "HIGH").otherwise("MODERATE").alias("confidence"))
+
+
+def reference_outliers(evaluated: DataFrame, reference: DataFrame, cap: int | None = 10, width: float = 3.0) -> DataFrame:
+    """(seq, distance, dims): samples with a feature outside the reference's median +- ``width`` interquartile ranges, their
+    robust distance from it and those features; the furthest ``cap``."""
+    scored = _scored(evaluated, feature_profile(reference))
+    rows = scored.groupBy("seq").agg(_distance().alias("distance"), F.array_sort(F.collect_list(F.when(F.col("score") > width, F.col("feature")))).alias("dims")).filter(F.size("dims") > 0)
+    return rows if cap is None else rows.orderBy(F.desc("distance"), "seq").limit(cap)
 
 
-def robust_outliers(long: DataFrame, cap: int | None = 15) -> DataFrame:
+def robust_outliers(long: DataFrame, cap: int | None = 15, accuracy: int | None = None) -> DataFrame:
     """(seq, distance, dims, severity): root of the sum over features of squared |value - median| / IQR, where above
     max(3.5, median + 3 * max(0.5, IQR)) of all distances; dims are features with a score above 2.8. The furthest ``cap``.
     """
-    scored = long.join(F.broadcast(feature_profile(long)), "feature").select("seq", "feature", (F.abs(F.col("value") - F.col("median")) / F.col("iqr")).alias("score"))
-    distances = scored.groupBy("seq").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("distance"), F.array_sort(F.collect_list(F.when(F.col("score") > 2.8, F.col("feature")))).alias("dims"))
-    q = distances.agg(F.percentile("distance", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    limit = q.select(F.greatest(F.lit(3.5), F.col("_q")[1] + 3 * F.greatest(F.lit(0.5), F.col("_q")[2] - F.col("_q")[0])).alias("threshold"))
-    out = distances.join(F.broadcast(limit)).filter("distance > threshold")
-    out = out.select("seq", "distance", "dims", F.when(F.col("distance") > 1.5 * F.col("threshold"), "MEDIUM").otherwise("LOW").alias("severity"))
+    scored = _scored(long, feature_profile(long, accuracy))
+    distances = cut(scored.groupBy("seq").agg(_distance().alias("distance"), F.array_sort(F.collect_list(F.when(F.col("score") > 2.8, F.col("feature")))).alias("dims")))
+    all_of = quantiles(distances.withColumn("_all", F.lit(0)), "_all", "distance", QUARTILES)
+    limit = all_of.select(F.greatest(F.lit(3.5), F.col("q1") + 3 * F.greatest(F.lit(0.5), F.col("q2") - F.col("q0"))).alias("threshold")).first()
+    threshold = F.lit(limit["threshold"] if limit else float("inf"))
+    out = distances.filter(F.col("distance") > threshold)
+    out = out.select("seq", "distance", "dims", F.when(F.col("distance") > 1.5 * threshold, "MEDIUM").otherwise("LOW").alias("severity"))
     return out if cap is None else out.orderBy(F.desc("distance"), "seq").limit(cap)
 
 
