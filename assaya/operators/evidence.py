@@ -22,6 +22,23 @@ def shown(data_json: Column, most: int = 8) -> Column:
     return F.slice(F.coalesce(filled(p["sample_ids"]), filled(p["affected_samples"]), filled(pair), filled(F.array_compact(F.array(p["sample_id"]))), F.array().cast("array<string>")), 1, most)
 
 
+def shown_samples(evidence: DataFrame, samples: DataFrame, most: int = 8) -> DataFrame:
+    """(evidence_id, position, name, sample_id): what each piece of evidence shows, in order, ``most`` of them, with the sample
+    that has the name as its id or, failing that, as its file name in the evidence's dataset (the least such id); null
+    without one. ``evidence``: evidence_id, dataset_id, data_json; ``samples``: sample_id, dataset_id, file_name."""
+    named = evidence.select("evidence_id", "dataset_id", F.posexplode(shown(F.col("data_json"), most)).alias("position", "name"))
+    by_id = samples.select(F.col("sample_id").alias("_id")).distinct()
+    by_file = samples.groupBy(F.col("dataset_id").alias("_d"), F.col("file_name").alias("_f")).agg(F.min("sample_id").alias("_file_id"))
+    rows = named.join(by_id, F.col("name") == F.col("_id"), "left").join(by_file, (F.col("dataset_id") == F.col("_d")) & (F.col("name") == F.col("_f")), "left")
+    return rows.select("evidence_id", "position", "name", F.coalesce("_id", "_file_id").alias("sample_id"))
+
+
+def evidence_of(findings: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Evidence (finding_id, seq, ...) of findings (finding_id, created_at), the oldest finding's first, each in its order."""
+    rows = evidence.join(findings.select("finding_id", "created_at"), "finding_id")
+    return rows.orderBy("created_at", "finding_id", "seq")
+
+
 def flagged_samples(evidence: DataFrame, samples: DataFrame, own: str = "DI-05") -> DataFrame:
     """(sample_id, issue) of samples that evidence of other checks refers to, each pair once."""
     refs = evidence.filter(F.col("detector_id") != own).select(F.explode(referenced(F.col("data_json"))).alias("sample_id"), F.col("detector_id").alias("issue"))

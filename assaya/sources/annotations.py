@@ -44,6 +44,18 @@ def coco_violations(images: DataFrame, categories: DataFrame, annotations: DataF
     return out
 
 
+def missing_keys(documents: DataFrame, content: str = "value") -> DataFrame:
+    """(file, code, key) over annotation files as texts (file, ``content``): ``not_json``, or ``missing_key`` for each of the
+    three lists that isn't there, and ``not_a_list`` where it is something else."""
+    keys = ("images", "annotations", "categories")
+    parsed = F.try_parse_json(content)
+    of = lambda k: F.try_variant_get(parsed, f"$.{k}", "variant")
+    code = lambda k: F.when(of(k).isNull(), "missing_key").when(~F.schema_of_variant(of(k)).startswith("ARRAY"), "not_a_list")
+    found = F.array(*[F.struct(code(k).alias("code"), F.lit(k).alias("key")) for k in keys])
+    rows = F.when(parsed.isNull(), F.array(F.struct(F.lit("not_json").alias("code"), F.lit(None).cast("string").alias("key")))).otherwise(found)
+    return documents.select("file", F.explode(rows).alias("x")).select("file", "x.*").filter("code is not null")
+
+
 def coco_labels(images: DataFrame, categories: DataFrame, annotations: DataFrame) -> DataFrame:
     """(id, labels): each image's category names without repeats, in the order of its annotations' ids."""
     named = annotations.join(categories.select(F.col("id").alias("category_id"), "name"), "category_id")
@@ -87,6 +99,47 @@ def read_yolo(spark: SparkSession, labels_path: str) -> DataFrame:
     return raw.select(stem.alias("stem"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
+def class_names(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """(stem, labels): each label file's distinct class names in order. ``labels``: stem, class_no; ``names``: class_no, name,
+    as ``read_class_names`` gives; a number without a name is ``class_<number>``."""
+    named = labels.join(names, "class_no", "left").select("stem", F.coalesce("name", F.concat(F.lit("class_"), "class_no")).alias("name"))
+    return named.groupBy("stem").agg(F.array_sort(F.collect_set("name")).alias("labels"))
+
+
+def read_class_names(spark: SparkSession, path: str) -> DataFrame:
+    """(class_no, name) of a ``classes.txt``: its lines that aren't blank, numbered from 0."""
+    lines = spark.read.text(path, wholetext=True).select(F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: x != "").alias("l"))
+    return lines.select(F.posexplode("l").alias("class_no", "name")).withColumn("class_no", F.col("class_no").cast("long"))
+
+
+def sidecar_records(documents: DataFrame, content: str = "value") -> DataFrame:
+    """(file_name, precedence, contributor, labels) of sidecars as texts (precedence, ``content``): maps ``contributors`` and
+    ``labels`` (one or a list) by file, records in ``samples`` or ``images``; without any of them the document is a map from
+    file to contributor. What isn't JSON gives nothing."""
+    text = F.col(content)
+    of = lambda k: F.get_json_object(text, f"$.{k}")
+    strings, lists = "map<string,string>", F.array().cast("array<string>")
+    as_list = lambda v: F.when(v.startswith("["), F.from_json(v, "array<string>")).when(F.trim(v) != "", F.array(v))
+    record = lambda name, who, labels: F.struct(name.alias("file_name"), who.alias("contributor"), F.coalesce(labels, lists).alias("labels"))
+    none = F.lit(None).cast("string")
+    entries = lambda k, make: F.transform(F.map_entries(F.coalesce(F.from_json(of(k), strings), F.create_map().cast(strings))), make)
+    one = "array<struct<file_name:string,contributor:string,source:string,label:string,labels:string>>"
+    listed = F.transform(
+        F.concat(*[F.coalesce(F.from_json(of(k), one), F.array().cast(one)) for k in ("samples", "images")]),
+        lambda r: record(r["file_name"], F.coalesce(r["contributor"], r["source"]), F.coalesce(as_list(r["labels"]), as_list(r["label"]))),
+    )
+    shaped = F.concat(entries("contributors", lambda e: record(e["key"], e["value"], lists)), entries("labels", lambda e: record(e["key"], none, as_list(e["value"]))), listed)
+    flat = F.transform(F.map_entries(F.coalesce(F.from_json(text, strings), F.create_map().cast(strings))), lambda e: record(e["key"], e["value"], lists))
+    plain = F.greatest(*[of(k).isNotNull().cast("int") for k in ("contributors", "labels", "samples", "images")]) == 0
+    rows = documents.select("precedence", F.explode(F.when(plain, flat).otherwise(shaped)).alias("x")).select("x.file_name", "precedence", "x.contributor", "x.labels")
+    return rows.filter("file_name is not null")
+
+
+def append_samples(rows: DataFrame, path: str, partition: str = "dataset_id") -> None:
+    """Adds samples to the store in ``path``, a folder for each dataset."""
+    rows.write.mode("append").partitionBy(partition).parquet(path)
+
+
 def merge_sidecars(records: DataFrame) -> DataFrame:
     """(file_name, contributor, labels) from rows (file_name, precedence, contributor, labels): of each field the value of
     the highest precedence that has one; blank contributors count as none."""

@@ -5,27 +5,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaya.functions.text import content_type
+
 #: The file types read.
+READ_TYPES = ("image/png", "image/jpeg", "image/bmp", "image/webp")
 GLOB = "*.{png,jpg,jpeg,bmp,webp,PNG,JPG,JPEG,BMP,WEBP}"
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_name, relative_path, sha256, size, width, height, channels, data): every image below ``folder``. Pixels are blue,
+    """(file_name, relative_path, sha256, size, content_type, width, height, channels, data): every image below ``folder``. Pixels are blue,
     green, red (or one grey) by row; an undecodable file has a width of -1."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(folder)
     pixels = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).option("dropInvalid", False).load(folder)
     plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    raw = files.select(plain(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    raw = files.select(plain(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), content_type(F.col("content")).alias("content_type"))
     seen = pixels.select(plain(F.col("image.origin")).alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
     base = F.regexp_replace(plain(F.lit(folder)), "/*$", "/")
     both = raw.join(seen, "path", "left")
-    return both.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file_name"), F.replace("path", base, F.lit("")).alias("relative_path"), "sha256", "size", "width", "height", "channels", "data")
+    return both.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file_name"), F.replace("path", base, F.lit("")).alias("relative_path"), "sha256", "size", "content_type", "width", "height", "channels", "data")
 
 
 def image_code(most_bytes: int = 50 << 20, most_side: int = 8192, most_pixels: int = 8192 * 8192):
-    """The first guard that a row fails, else null."""
+    """The first guard that a row fails, else null. A row of ``read_images`` may have ``content_type``, the type that its first
+    bytes show: ``not_an_image`` for none, ``unsupported_format`` for one that isn't read."""
     return (
         F.when(F.col("size") > most_bytes, "file_too_large")
+        .when(F.col("content_type") == "application/octet-stream", "not_an_image")
+        .when(~F.col("content_type").isin(*READ_TYPES), "unsupported_format")
         .when(F.coalesce(F.col("width"), F.lit(-1)) < 0, "not_decodable")
         .when(F.greatest("width", "height") > most_side, "dimension_too_large")
         .when(F.col("width").cast("long") * F.col("height") > most_pixels, "too_many_pixels")
