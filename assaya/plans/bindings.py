@@ -6,7 +6,7 @@ from pyspark.sql.window import Window
 
 from assaya.functions.hashes import simhash
 from assaya.operators.ledger import build_chain
-from assaya.shared import table
+from assaya.shared import cut, table
 
 
 def samples(spark, sf_dir) -> DataFrame:
@@ -33,6 +33,28 @@ samples AS (SELECT d.doc_id AS seq, sha256(d.text) AS sha256, h.bits, d.lang AS
   FROM documents d LEFT JOIN hashes h USING (doc_id) LEFT JOIN labels l USING (doc_id))"""
 
 
+def patches(spark, sf_dir) -> DataFrame:
+    """(location, seq, sha256, class, h, variance): a document's corners are its first and last line; the number of distinct
+    tokens stands for the variance."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    lines = F.split("text", "\n")
+    corner = lambda name, line: F.struct(F.lit(name).alias("location"), line.alias("line"))
+    corners = F.explode(F.array(corner("first", F.get(lines, F.lit(0))), corner("last", F.element_at(lines, -1)))).alias("c")
+    rows = docs.select("doc_id", F.sha2("text", 256).alias("sha256"), "lang", corners).select("doc_id", "sha256", "lang", "c.*")
+    rows = cut(rows.withColumn("key", F.concat_ws(":", "doc_id", "location")))
+    variance = F.size(F.array_distinct(F.split("line", " "))).cast("double")
+    return rows.join(simhash(rows, "key", "line"), "key").select("location", F.col("doc_id").alias("seq"), "sha256", F.col("lang").alias("class"), F.col("simhash").alias("h"), variance.alias("variance"))
+
+
+PATCHES_SQL = r"""
+lines AS (SELECT doc_id, sha256(text) AS sha256, lang, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+corners AS (SELECT doc_id, sha256, lang, 'first' AS location, ls[1] AS line FROM lines UNION ALL SELECT doc_id, sha256, lang, 'last', ls[-1] FROM lines),
+ctok AS (SELECT DISTINCT doc_id, location, t FROM (SELECT doc_id, location, unnest(string_split_regex(lower(line), '\s+')) AS t FROM corners) WHERE t <> ''),
+csum AS (SELECT doc_id, location, i, sum(CASE WHEN (v >> (63 - i)) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM (SELECT doc_id, location, ('0x' || substr(md5(t), 1, 16))::UBIGINT AS v FROM ctok), (SELECT unnest(range(64))::UBIGINT AS i) GROUP BY ALL),
+cbits AS (SELECT doc_id, location, string_agg(CASE WHEN s > 0 THEN '1' ELSE '0' END, '' ORDER BY i) AS bits FROM csum GROUP BY ALL),
+patches AS (SELECT location, doc_id AS seq, sha256, lang AS class, bits, len(list_distinct(string_split(line, ' ')))::DOUBLE AS variance FROM corners JOIN cbits USING (doc_id, location))"""
+
+
 def features(spark, sf_dir) -> DataFrame:
     """(seq, lang, feature, value): six measures of a document's text."""
     docs = table(spark, sf_dir, "documents")

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaya.functions import text as tx
+from assaya.functions.canonical import sanitized
 from assaya.operators import search
 from assaya.sources import annotations as an
 from assaya.shared import cut, table
@@ -23,10 +24,23 @@ def upload_names(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.upload_name(F.col("url")).alias("name"))
 
 
+def _with_paths(spark, sf_dir) -> DataFrame:
+    """Turns of conversations with paths put in: of both kinds, long and short, some with a separator at their end."""
+    n = F.col("conv_id")
+    paths = F.array(
+        F.concat(F.lit("/home/u"), n, F.lit("/x.csv C:\\d\\f"), "turn", F.lit(".bin")), F.concat(F.lit("/tmp/s"), n, F.lit(".txt")), F.concat(F.lit("/var/a/b"), n, F.lit("/")),
+        F.concat(F.lit("D:\\n"), n), F.concat(F.lit("/root/x"), n, F.lit(" /usr//y")),
+    )
+    which = F.get(paths, ((n + F.col("turn")) % 5).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("\n", "text", which).alias("t"))
+
+
 def censored_texts(spark, sf_dir) -> DataFrame:
-    """Digests of conversations with a path put in, censored and redacted."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", "text", F.concat(F.lit("/home/u"), "conv_id", F.lit("/x.csv C:\\d\\f"), "turn", F.lit(".bin"))).alias("t"))
-    return rows.select("conv_id", "turn", F.md5(tx.censor_paths(F.col("t"))).alias("censored"))
+    return _with_paths(spark, sf_dir).select("conv_id", "turn", F.md5(tx.censor_paths(F.col("t"))).alias("censored"))
+
+
+def redacted_paths(spark, sf_dir) -> DataFrame:
+    return _with_paths(spark, sf_dir).select("conv_id", "turn", F.md5(tx.redact(F.col("t"))).alias("redacted"))
 
 
 def redacted_texts(spark, sf_dir) -> DataFrame:
@@ -36,6 +50,16 @@ def redacted_texts(spark, sf_dir) -> DataFrame:
     return rows.select("doc_id", F.md5("r").alias("redacted"), ((F.length("r") - F.length(F.replace("r", F.lit("[REDACTED_SECRET]"), F.lit("")))) / 17).cast("long").alias("n_masked"))
 
 
+def sanitized_exports(spark, sf_dir) -> DataFrame:
+    """Events as JSON trees with secrets, digests and paths in them, sanitized."""
+    i = F.col("event_id").cast("string")
+    tree = F.struct(
+        F.concat(F.lit("/home/u/"), i, F.lit(".csv")).alias("path"), F.lit("x").alias("api_key"), F.lit("y").alias("Authorization"), F.sha2("props", 256).alias("sha256"),
+        F.array(F.concat(F.lit("use Bearer t."), i, F.lit(" now")), F.concat(F.lit("sk-"), F.lpad(i, 20, "0"))).alias("notes"), F.struct(F.lit(1).alias("secret_n"), F.col("event_type").alias("kind")).alias("inner"),
+    )
+    return table(spark, sf_dir, "events").select("event_id", sanitized(F.to_json(tree)).alias("clean"))
+
+
 def coco_violations(spark, sf_dir) -> DataFrame:
     """Orders as images, parts as categories and lineitems as annotations; a tenth of the orders and parts are missing."""
     orders = table(spark, sf_dir, "orders").filter("o_orderkey % 10 <> 3").select(F.col("o_orderkey").alias("id"))
@@ -105,18 +129,41 @@ def battery(spark, sf_dir) -> DataFrame:
     return search.battery_status(results).groupBy("position", "code", "status").agg(F.count("*").alias("n"))
 
 
-def finding_groups(spark, sf_dir) -> DataFrame:
+def _findings(spark, sf_dir) -> DataFrame:
+    """Lines as findings: (finding_id, category, detector_id, severity)."""
     items = table(spark, sf_dir, "lineitem")
     severity = F.when(F.col("l_discount") > 0.08, "HIGH").when(F.col("l_discount") > 0.05, "MEDIUM").otherwise("LOW")
-    rows = items.select(search.layer(F.col("l_returnflag"), F.concat(F.element_at(F.array(F.lit("DI-"), F.lit("MI-"), F.lit("PI-"), F.lit("x")), (F.col("l_linenumber") % 4 + 1).cast("int")), F.col("l_linenumber"))).alias("layer"), severity.alias("severity"))
-    return search.grouped(rows, "layer", F.col("layer"))
+    categories = F.array(*map(F.lit, ("audit ledger", "Model data", "inference", "drift", "other", None)))
+    detectors = F.array(*map(F.lit, ("data.integrity.di1", "mi-01", "PI-07", "at-01", "x", "inference.ai012", "")))
+    return items.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("finding_id"), F.get(categories, (F.col("l_partkey") % 6).cast("int")).alias("category"),
+        F.get(detectors, (F.col("l_suppkey") % 7).cast("int")).alias("detector_id"), severity.alias("severity"),
+    )
+
+
+def finding_groups(spark, sf_dir) -> DataFrame:
+    rows = _findings(spark, sf_dir).withColumn("layer", search.layer(F.col("category"), F.col("detector_id")))
+    return search.grouped(rows, "layer", search.layer_order(F.col("layer")))
+
+
+def detector_codes(spark, sf_dir) -> DataFrame:
+    """Findings by the code that their detector shows."""
+    return _findings(spark, sf_dir).groupBy(search.detector_code(F.col("detector_id")).alias("code")).agg(F.count("*").alias("n"), F.min("finding_id").alias("first"))
+
+
+def finding_search(spark, sf_dir) -> DataFrame:
+    """Findings that a typed code means or that have it as a text."""
+    ids = {"inference.ai012": "AI-12", "data.integrity.di1": "DI-01"}
+    wanted = search.finding_matches([F.col("category")], F.col("detector_id"), " Ai 12 ", ids)
+    return _findings(spark, sf_dir).filter(wanted | search.finding_matches([F.col("category")], F.col("detector_id"), "LEDGER", ids)).select("finding_id", "category", "detector_id")
 
 
-QUERIES = {f.__name__: f for f in (path_codes, upload_names, censored_texts, redacted_texts, coco_violations, yolo_codes, content_store, sidecar_merge, ingestion_summary, search_everything, search_counts, battery, finding_groups)}
+QUERIES = {f.__name__: f for f in (path_codes, upload_names, censored_texts, redacted_paths, redacted_texts, sanitized_exports, coco_violations, yolo_codes, content_store, sidecar_merge, ingestion_summary, search_everything, search_counts, battery, finding_groups, detector_codes, finding_search)}
 
 _SEARCH = """s AS ((SELECT 'customer' AS category, c_custkey AS id, c_custkey::VARCHAR AS at FROM customer WHERE lower(c_name) LIKE '%auto%' OR lower(c_mktsegment) LIKE '%auto%' ORDER BY c_custkey DESC LIMIT 10)
 UNION ALL (SELECT 'order', o_orderkey, o_orderkey::VARCHAR FROM orders WHERE lower(o_orderpriority) LIKE '%urgent%' OR lower(o_orderstatus) LIKE '%urgent%' ORDER BY o_orderkey DESC LIMIT 10)
 UNION ALL (SELECT 'part', p_partkey, p_partkey::VARCHAR FROM part WHERE contains(lower(p_type), 'b%') OR contains(lower(p_brand), 'b%') ORDER BY p_partkey DESC LIMIT 10))"""
+_FINDINGS = "f AS (SELECT l_orderkey * 10 + l_linenumber AS finding_id, l_partkey, l_suppkey % 7 AS s, CASE WHEN l_discount > 0.08 THEN 3 WHEN l_discount > 0.05 THEN 2 ELSE 1 END AS w FROM lineitem)"
 ORACLES = {
     "path_codes": r"""WITH v AS (SELECT page_id, unnest([url, regexp_replace(url, '^[a-z]+://', ''), '../' || page_id, 'C:\' || page_id, 'a\..\' || page_id, 'con.' || page_id, 'dir/img_' || page_id || '.png']) AS name FROM pages),
 s AS (SELECT *, replace(name, '\', '/') AS sl, regexp_extract(rtrim(name, '/'), '([^/]*)$', 1) AS bare FROM v)
@@ -124,7 +171,10 @@ SELECT page_id, name, CASE WHEN starts_with(trim(name), '/') OR substr(trim(name
 WHEN trim(bare) = '' OR regexp_matches(bare, '[/\\<>:"|?*]') OR upper(regexp_replace(bare, '\.[^.]*$', '')) IN ('CON', 'PRN', 'AUX', 'NUL') THEN 'UNSAFE_FILENAME' ELSE 'OK' END AS code FROM s""",
     "upload_names": r"""WITH n AS (SELECT page_id, regexp_extract(rtrim(url, '/'), '([^/]*)$', 1) AS b FROM pages), s AS (SELECT *, regexp_extract(b, '[^.](\.[^.]+)$', 1) AS suffix FROM n)
 SELECT page_id, CASE WHEN b = '' THEN 'upload.bin' WHEN regexp_matches(b, '^[a-zA-Z0-9_.-]+$') THEN b ELSE substr(regexp_replace(substr(b, 1, length(b) - length(suffix)), '[^a-zA-Z0-9_-]', '_', 'g'), 1, 64) || substr(regexp_replace(lower(suffix), '[^a-zA-Z0-9_.]', '', 'g'), 1, 10) END AS name FROM s""",
-    "censored_texts": r"SELECT conv_id, turn, md5(concat_ws(' ', text, 'x.csv f' || turn || '.bin')) AS censored FROM conversations",
+    "censored_texts": r"SELECT conv_id, turn, md5(concat_ws(chr(10), text, CASE (conv_id + turn) % 5 WHEN 0 THEN 'x.csv f' || turn || '.bin' WHEN 1 THEN 's' || conv_id || '.txt' WHEN 2 THEN 'local_file' WHEN 3 THEN 'n' || conv_id ELSE '/root/x' || conv_id || ' y' END)) AS censored FROM conversations",
+    "redacted_paths": r"""SELECT conv_id, turn, md5(concat_ws(chr(10), text, CASE (conv_id + turn) % 5 WHEN 0 THEN '[artifact: u' || conv_id || '/x.csv] [artifact: d/f' || turn || '.bin]' WHEN 1 THEN '[artifact: tmp/s' || conv_id || '.txt]' WHEN 2 THEN '[artifact: a/b' || conv_id || ']'
+ WHEN 3 THEN '[artifact: D:/n' || conv_id || ']' ELSE '[artifact: root/x' || conv_id || '] /usr//y' END)) AS redacted FROM conversations""",
+    "sanitized_exports": """SELECT event_id, '{"inner":{"kind":"' || event_type || '"},"notes":["use [REDACTED_SECRET] now","[REDACTED_SECRET]"],"path":"' || event_id || '.csv","sha256":"' || sha256(props) || '"}' AS clean FROM events""",
     "redacted_texts": r"""WITH r AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '(?i)(?:api[_-]?key|secret|token|password)["'']?\s*[:=]\s*["'']?[a-z0-9_\-.]{16,}["'']?', 'secret=[REDACTED_SECRET]', 'g') AS r FROM documents)
 SELECT doc_id, md5(r) AS redacted, ((length(r) - length(replace(r, '[REDACTED_SECRET]', ''))) // 17)::BIGINT AS n_masked FROM r""",
     "coco_violations": """WITH i AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 10 <> 3), c AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 10 <> 7),
@@ -144,6 +194,10 @@ SELECT source, count_if(code IS NULL) AS ingested, count_if(code IS NOT NULL) AS
     "battery": """WITH b AS (SELECT unnest(['DI-01', 'DI-02', 'DI-03', 'DI-04', 'DI-05', 'MI-01', 'MI-02', 'MI-03', 'MI-04', 'MI-05', 'PI-01']) AS code, unnest(range(11)) AS position),
 r AS (SELECT l_orderkey, l_linenumber - 1 AS position, min(CASE WHEN l_linestatus = 'F' THEN 'FAILED' ELSE 'SUCCESS' END) AS status FROM lineitem GROUP BY 1, 2)
 SELECT b.position::INT AS position, b.code, coalesce(r.status, 'NOT_RUN') AS status, count(*) AS n FROM (SELECT DISTINCT l_orderkey FROM lineitem) a CROSS JOIN b LEFT JOIN r ON r.l_orderkey = a.l_orderkey AND r.position = b.position GROUP BY ALL""",
-    "finding_groups": """WITH f AS (SELECT CASE l_linenumber % 4 WHEN 0 THEN 'data' WHEN 1 THEN 'model' WHEN 2 THEN 'provenance' ELSE 'other' END AS layer, CASE WHEN l_discount > 0.08 THEN 3 WHEN l_discount > 0.05 THEN 2 ELSE 1 END AS s FROM lineitem)
-SELECT layer, count(*) AS n, max(s)::INT AS worst FROM f GROUP BY 1""",
+    "finding_groups": f"""WITH {_FINDINGS}, l AS (SELECT CASE l_partkey % 6 WHEN 1 THEN 'model_integrity' WHEN 2 THEN CASE WHEN s = 1 THEN 'model_integrity' ELSE 'inference_provenance' END ELSE
+ CASE WHEN s = 1 THEN 'model_integrity' WHEN s IN (2, 5) THEN 'inference_provenance' WHEN l_partkey % 6 = 0 OR s = 3 THEN 'audit_integrity' ELSE 'data_integrity' END END AS layer, w FROM f)
+SELECT layer, count(*) AS n, max(w)::INT AS worst FROM l GROUP BY 1""",
+    "detector_codes": f"WITH {_FINDINGS} SELECT CASE s WHEN 0 THEN 'DI-01' WHEN 1 THEN 'MI-01' WHEN 2 THEN 'PI-07' WHEN 3 THEN 'AT-01' WHEN 4 THEN 'X' WHEN 5 THEN 'AI-12' ELSE 'UNKNOWN' END AS code, count(*) AS n, min(finding_id) AS first FROM f GROUP BY 1",
+    "finding_search": f"""WITH {_FINDINGS} SELECT finding_id, CASE l_partkey % 6 WHEN 0 THEN 'audit ledger' WHEN 1 THEN 'Model data' WHEN 2 THEN 'inference' WHEN 3 THEN 'drift' WHEN 4 THEN 'other' END AS category,
+ ['data.integrity.di1', 'mi-01', 'PI-07', 'at-01', 'x', 'inference.ai012', ''][s + 1] AS detector_id FROM f WHERE s = 5 OR l_partkey % 6 = 0""",
 }
