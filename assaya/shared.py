@@ -1,5 +1,6 @@
 """Folders that the driver and all executors see, and cuts of long lineages."""
 
+import re
 import tempfile
 import uuid
 
@@ -7,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that setting is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``. A temporary one only where that setting is unset and all tasks run in
+    this process's machine (tests); on a cluster an unset one is an error, as executors don't see the driver's folders."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and context.getCheckpointDir() is None:
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)

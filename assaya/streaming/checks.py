@@ -1,9 +1,14 @@
 """The stateful checks on streams. Each orders by arrival, never by sequence or time of the record, so that a late or
-reordered record shows as an anomaly, as it does in the batch form beside it (``assaya.operators``)."""
+reordered record shows as an anomaly, as it does in the batch form beside it (``assaya.operators``).
+
+The rows that a micro-batch has of one key are put in order in one worker, with the few columns that the check reads. Where
+one stream has most rows, the source's limit on a micro-batch (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``) bounds them.
+"""
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -108,7 +113,10 @@ def admit_verified(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def _table(batch: DataFrame, path: str) -> DataFrame | None:
-    spark = batch.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    return spark.read.parquet(path) if there else None
+    """The table at ``path``, or None where there is none yet."""
+    try:
+        return batch.sparkSession.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
