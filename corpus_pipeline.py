@@ -13,8 +13,17 @@ TOKENIZERS = os.environ.get("ASSAYA_TOKENIZERS", "/opt/tokenizers")
 WEIGHTS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
 
 
+#: Rows that go to a Python worker at once. They are whole texts, so Spark's own number would be many megabytes.
+BATCH_ROWS = "1000"
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told (``und``: no text, or no letter in it); ``lang`` is what was found."""
+    _bounded(spark)
     rows = docs.withColumn("_held", language_id.held_out("doc_id"))
     model = language_id.fit(rows.filter("not _held"))
     named = language_id.predict(docs, model, keep=tuple(c for c in docs.columns if c not in ("doc_id", "lang")))
@@ -23,6 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the least doc_id."""
+    _bounded(spark)
     return near_dedup.deduplicated(docs)
 
 
@@ -38,6 +48,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and the piece ids of its text."""
+    _bounded(spark)
     return sentencepiece_codec.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
