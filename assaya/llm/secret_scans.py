@@ -156,6 +156,11 @@ def scan(docs: DataFrame, rules=BASE_RULES + MORE_RULES, id_col: str = "doc_id",
     A null or empty text has no spans. Rows with one id are judged each by its own text; a null id is an id like any
     other. Columns besides id and text aren't read.
     """
+    return _scanned(docs, rules, id_col, text_col).select(F.col("_id").alias(id_col), "spans")
+
+
+def _scanned(docs: DataFrame, rules, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _hash, spans): as ``scan``, with the hash of the text."""
     docs = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     found = stored(candidates(docs, rules, "_id", "_text"), "secret-candidates")
     docs = docs.join(found.withColumnRenamed("_id", "_cid"), F.col("_id").eqNullSafe(F.col("_cid")), "left")
@@ -182,9 +187,10 @@ def scan(docs: DataFrame, rules=BASE_RULES + MORE_RULES, id_col: str = "doc_id",
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"),
         "_id",
+        F.xxhash64("_text").alias("_hash"),
         F.flatten(F.array(*[matches(n, r) for n, r in enumerate(rules)])).alias("_found"),
     )
-    rows = rows.select("_row", "_id", F.posexplode_outer("_found").alias("_pos", "_m")).select("_row", "_id", "_pos", "_m.*")
+    rows = rows.select("_row", "_id", "_hash", F.posexplode_outer("_found").alias("_pos", "_m")).select("_row", "_id", "_hash", "_pos", "_m.*")
     so_far = Window.partitionBy("_row", "kind_no").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far))
@@ -192,7 +198,7 @@ def scan(docs: DataFrame, rules=BASE_RULES + MORE_RULES, id_col: str = "doc_id",
         (F.col("end") - F.col("size")).alias("start"), "kind_no", "end", F.get(kinds, F.col("kind_no")).alias("kind")
     )
     spans = F.array_sort(F.collect_list(F.when(F.col("kept"), span)))
-    return rows.groupBy("_row", "_id").agg(spans.alias("spans")).select(F.col("_id").alias(id_col), "spans")
+    return rows.groupBy("_row", "_id", "_hash").agg(spans.alias("spans")).select("_id", "_hash", "spans")
 
 
 def spans_text(spans: Column) -> Column:
@@ -200,20 +206,35 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redacted(text: Column, rules=BASE_RULES + MORE_RULES) -> Column:
-    """The text with each match of each rule replaced by ``[kind]``. Null stays null."""
-    for rule in rules:
-        pattern = rule.pattern.replace("+)", "{%d,}+)" % rule.least) if rule.group else rule.pattern
-        text = F.regexp_replace(text, pattern, f"[{rule.kind}]")
-    return text
+def merged(scanned: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, parts): spans that overlap are one part, from the first's start to the last end, with the first's kind. Rows
+    without spans are left out; equal keys have equal spans and come once."""
+    rows = scanned.filter(F.size("spans") > 0).dropDuplicates(keys).select(*keys, F.explode("spans").alias("s")).select(*keys, "s.*")
+    in_order = Window.partitionBy(*keys).orderBy("start", "kind_no")
+    reached = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_first", F.coalesce(F.col("start") >= reached, F.lit(True)).cast("int"))
+    rows = rows.withColumn("_part", F.sum("_first").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = rows.groupBy(*keys, "_part").agg(F.min(F.struct("start", "kind_no", "kind")).alias("_s"), F.max("end").alias("end"))
+    return parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_s.start", "end", "_s.kind"))).alias("parts"))
+
+
+def without(text: Column, parts: Column) -> Column:
+    """The text with each of the parts, which are in order and apart, replaced by ``[kind]``."""
+    before = lambda i: F.coalesce(F.get(parts, i - 1)["end"], F.lit(0))
+    kept = F.transform(parts, lambda p, i: F.concat(F.substring(text, before(i) + 1, p["start"] - before(i)), F.lit("["), p["kind"], F.lit("]")))
+    end = F.element_at(parts, -1)["end"]
+    return F.concat(F.array_join(kept, ""), F.substring(text, end + 1, F.length(text)))
 
 
 def redact(docs: DataFrame, rules=BASE_RULES + MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows and columns, with the secrets in the texts of ids for which the scan finds some replaced."""
-    found = scan(docs, rules, id_col, text_col).filter(F.size("spans") > 0).select(F.col(id_col).alias("_found")).distinct()
-    found = stored(found, "secret-found")
-    rows = docs.join(found.withColumn("_has", F.lit(True)), F.col(id_col).eqNullSafe(F.col("_found")), "left")
-    return rows.withColumn(text_col, F.when(F.col("_has"), redacted(F.col(text_col), rules)).otherwise(F.col(text_col))).select(*docs.columns)
+    """The rows and columns, with every span that the scan finds in a row's text replaced by its kind in brackets; spans that
+    overlap are replaced as one. Other texts, null ones too, stay as they are."""
+    found = merged(_scanned(docs, rules, id_col, text_col), ["_id", "_hash"])
+    found = stored(found.withColumnsRenamed({"_id": "_found", "_hash": "_found_hash"}), "secret-found")
+    same = F.col(id_col).eqNullSafe(F.col("_found")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_found_hash"))
+    rows = docs.join(found, same, "left")
+    text = F.when(F.col("parts").isNotNull(), without(F.col(text_col), F.col("parts"))).otherwise(F.col(text_col))
+    return rows.withColumn(text_col, text).select(*docs.columns)
 
 
 def digest(scanned: DataFrame, rules=BASE_RULES + MORE_RULES, id_col: str = "doc_id") -> DataFrame:
