@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample a neighbour graph is built and cut into balanced parts; a small classifier learns each vector's part.
-It then places every row in its most probable part, and sends each query to several; in these, candidates are ranked by
-the exact measure. Parts are worked on in blocks of bounded size, so neither a large part nor one vector with very many
-copies lands in one task.
+On a bounded sample a neighbour graph is built and cut into balanced parts, the more the more rows there are; a small
+classifier learns where each vector's neighbours lie. It places every row in its most probable part, and sends each query
+to several, as many as hold the wanted share of neighbours in a part of the sample that it didn't learn from; in these,
+candidates are ranked by the exact measure. Parts are worked on in blocks of bounded size, so neither a large part nor one
+vector with very many copies lands in one task.
 """
 
 from dataclasses import dataclass
@@ -105,21 +106,34 @@ def train_router(x: np.ndarray, target: np.ndarray, hidden: int, epochs: int, rn
     return Router(*weights)
 
 
-def fit(vectors: DataFrame, parts: int, most: int, neighbours: int = 20, slack: float = 1.15, rounds: int = 6, hidden: int = 128, epochs: int = 15, seed: int = 5) -> tuple[Router, float]:
-    """The router, and the length by which its input is scaled, from at most ``most`` rows in the order of a hash."""
+def parts_for(n: int, most: int) -> int:
+    """Parts for ``n`` rows: they grow with the root of n, as long as the sample has 48 rows for each."""
+    return max(1, min(round(0.14 * n**0.5), min(n, most) // 48))
+
+
+def fit(vectors: DataFrame, parts: int | None, most: int, recall: float, neighbours: int = 20, slack: float = 1.15, rounds: int = 6, hidden: int = 128, epochs: int = 15, seed: int = 5) -> tuple[Router, float, int]:
+    """The router, the length by which its input is scaled, and how many parts to search for a share ``recall`` of the
+    neighbours; from at most ``most`` rows in the order of a hash, a tenth of which only serve to count."""
+    n = vectors.count()
     rows = first_by_hash(vectors, F.xxhash64("id", "vec"), most, "id").select("vec").collect()
     x = np.array([r["vec"] for r in rows], dtype=np.float64)
     scale = float(np.linalg.norm(x, axis=1).mean())
     x /= scale
     rng = np.random.default_rng(seed)
-    parts = max(1, min(parts, len(x) // 8))
+    parts = max(1, min(parts or parts_for(n, most), len(x) // 8))
     if parts == 1:
-        return Router(np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), scale
+        return Router(np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), scale, 1
     graph = neighbour_graph(x, min(neighbours, len(x) - 1))
     part = balanced_parts(x, graph, parts, slack, rounds, rng)
     target = np.zeros((len(x), parts))
     np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 1 / graph.shape[1])
-    return train_router(x, target, hidden, epochs, rng), scale
+    held = np.arange(len(x)) % 10 == 0
+    router = train_router(x[~held], target[~held], hidden, epochs, rng)
+    place = router.scores(x).argmax(axis=1)
+    order = np.argsort(-router.scores(x[held]), axis=1, kind="stable")
+    ranks = np.argsort(order, axis=1)  # of each part for each row
+    needed = np.take_along_axis(ranks, place[graph[held]], axis=1).ravel()
+    return router, scale, int(np.quantile(needed, recall, method="higher")) + 1
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -134,25 +148,26 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int = 32, probes: int = 22, most: int = 12_000, id_col: str = "vec_id", vec_col: str = "embedding", **settings
+    vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int | None = None, recall: float = 0.95, most: int = 12_000, id_col: str = "vec_id", vec_col: str = "embedding", **settings
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query id the ``k`` nearest others found, by inner product in doubles.
 
     ``queries`` are rows of the same kind; a query's candidates are all rows with another id. Equal scores go by the
     smaller id. Rows that repeat an id are candidates each; a query id is searched once, by one of its vectors. Unusable
-    rows (see ``usable``) take no part. With fewer than ``k`` candidates in all probed parts fewer rows come back; the
-    router is fitted on at most ``most`` rows, all rows are indexed. ``probes`` is set for vectors without clusters, of
-    which 22 of 32 parts hold 0.95 of the neighbours; clustered ones need far fewer.
+    rows (see ``usable``) take no part. The router is fitted on at most ``most`` rows, all rows are indexed. Parts are
+    searched in the order of their probability: those that ``recall`` asks for, and further ones until they hold ``k``
+    candidates; so fewer than ``k`` rows come back only where there are fewer candidates.
     """
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
     rows = cut(usable(vectors, id_col, vec_col))
-    asked = usable(queries, id_col, vec_col).dropDuplicates(["id"])
     if rows.isEmpty():
         return spark.createDataFrame([], result)
-    router, scale = fit(rows, parts, most, **settings)
+    router, scale, probes = fit(rows, parts, most, recall, **settings)
     parts = len(router.b2)
-    probes = min(probes, parts)
+    asked = usable(queries, id_col, vec_col).dropDuplicates(["id"])
+    own = rows.join(asked.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("own"))
+    asked = cut(asked.join(own, "id", "left").select("id", "vec", F.coalesce("own", F.lit(0)).alias("own")))
 
     def place(batches):
         for pdf in batches:
@@ -160,23 +175,30 @@ def search(
                 x = np.stack(pdf["vec"].to_numpy()) / scale
                 yield pd.DataFrame({"part": router.scores(x).argmax(axis=1), "id": pdf["id"], "vec": pdf["vec"]})
 
+    schema = "part int, id long, vec array<double>"
+    counts = lambda df: {r["part"]: r["count"] for r in df.groupBy("part").count().collect()}  # noqa: E731  a row for each part
+    placed = cut(rows.mapInPandas(place, schema))
+    n_vectors = counts(placed)
+    sizes = np.array([n_vectors.get(p, 0) for p in range(parts)])
+
     def route(batches):
         for pdf in batches:
             if len(pdf):
-                s = router.scores(np.stack(pdf["vec"].to_numpy()) / scale)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"part": top.ravel(), "id": np.repeat(pdf["id"].to_numpy(), probes), "vec": np.repeat(pdf["vec"].to_numpy(), probes)})
-
-    schema = "part int, id long, vec array<double>"
-    placed, routed = cut(rows.mapInPandas(place, schema)), cut(asked.mapInPandas(route, schema))
-    counts = lambda df: {r["part"]: r["count"] for r in df.groupBy("part").count().collect()}  # noqa: E731  a row for each part
-    n_vectors, n_queries = counts(placed), counts(routed)
+                order = np.argsort(-router.scores(np.stack(pdf["vec"].to_numpy()) / scale), axis=1, kind="stable")
+                held = np.cumsum(sizes[order], axis=1)
+                enough = (held < (k + pdf["own"].to_numpy())[:, None]).sum(axis=1) + 1
+                tried = np.minimum(np.maximum(enough, probes), parts)
+                rows = np.repeat(np.arange(len(pdf)), tried)
+                yield pd.DataFrame({"part": np.concatenate([o[:t] for o, t in zip(order, tried)]), "id": pdf["id"].to_numpy()[rows], "vec": pdf["vec"].to_numpy()[rows]})
+
+    routed = cut(asked.mapInPandas(route, schema))
+    n_queries = counts(routed)
     blocks = lambda n, most: F.array(*[F.lit(max(1, -(-n.get(p, 0) // most))) for p in range(parts)])
     v_blocks, q_blocks = F.get(blocks(n_vectors, VECTORS), F.col("part")), F.get(blocks(n_queries, QUERIES), F.col("part"))
-    own = lambda n: F.pmod(F.xxhash64("id", "vec"), n).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("id", "vec"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = placed.select("part", own(v_blocks).alias("v"), every(q_blocks).alias("q"), "id", "vec")
-    right = routed.select("part", every(v_blocks).alias("v"), own(q_blocks).alias("q"), "id", "vec")
+    left = placed.select("part", dealt(v_blocks).alias("v"), every(q_blocks).alias("q"), "id", "vec")
+    right = routed.select("part", every(v_blocks).alias("v"), dealt(q_blocks).alias("q"), "id", "vec")
 
     def rank(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
