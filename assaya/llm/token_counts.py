@@ -25,12 +25,21 @@ STRIDE = 1024
 COUNTED = "file string, doc_no long, n_tokens long"
 
 
+def separable(ranks: dict[bytes, int], eod: int, dtype: str) -> None:
+    """Fails where a text's tokens could hold ``eod``, or where ids don't fit ``dtype``."""
+    if eod in ranks.values():
+        raise ValueError(f"{eod} is a token of the vocabulary, so it can't separate documents")
+    if max(eod, *ranks.values()) > np.iinfo(dtype).max:
+        raise ValueError(f"ids of the vocabulary don't fit {dtype}")
+
+
 @lru_cache(maxsize=2)
-def _encoding(ranks_path: str, pattern: str):
+def _encoding(ranks_path: str, pattern: str, eod: int, dtype: str):
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    separable(ranks, eod, dtype)
     return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -40,7 +49,8 @@ def write_tokens(
     """Encodes whole texts into token files in ``folder``; returns the manifest (file, doc_no, id), checkpointed.
 
     Files are named by the attempt that wrote them; only those in the manifest count, so lost or repeated tasks do no
-    harm. A null or empty text is a document without tokens. A new file starts after ``file_bytes``. The rank file is
+    harm. A null or empty text is a document without tokens. ``eod`` must not be a token, and ids have to fit ``dtype``:
+    see ``separable``. A new file starts after ``file_bytes``. The rank file is
     read by each worker, so its path has to exist on every machine.
     """
 
@@ -51,7 +61,7 @@ def write_tokens(
         stem = f"{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         out, written, no, name, doc_no = None, 0, 0, "", 0
         end = np.array([eod], dtype=dtype).tobytes()
-        encoding = _encoding(ranks_path, pattern)
+        encoding = _encoding(ranks_path, pattern, eod, dtype)
         for pdf in batches:
             rows = []
             for key, text in zip(pdf["id"], pdf["text"]):
@@ -96,7 +106,9 @@ def scan(files: DataFrame, folder: str, eod: int, dtype: str = "<u2", block_toke
                 raise ValueError("a token file is missing or cut within a token")
             yield pd.DataFrame({"file": pdf["file"], "n": [s // width for s in sizes]})
 
-    sized = files.select("file").distinct().mapInPandas(lengths, "file string, n long").filter("n > 0")
+    # few bytes for much work: dealt to tasks by number, not by size
+    names = files.select("file").distinct().repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+    sized = names.mapInPandas(lengths, "file string, n long").filter("n > 0")
     n_blocks = F.ceil(F.col("n") / block_tokens)
     blocks = cut(sized.select("file", "n", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block")))
     blocks = blocks.repartition(F.col("file"), F.col("block"))
