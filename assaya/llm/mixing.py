@@ -94,10 +94,11 @@ def posteriors(rows: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
 
 
 def _rate(steps: list[tuple[float, np.ndarray]], n: int, lowest: Column) -> Column:
-    """The rate after ``steps`` (momentum, change): each goes on by the momentum's part of the last move, adds the change's
-    product with the probabilities, and raises what is too low to ``lowest``."""
+    """(now, last) after ``steps`` (momentum, change) from the row's ``rate``, of the same form: each goes on by the
+    momentum's part of the last move, adds the change's product with the probabilities, and raises what is too low to
+    ``lowest``."""
     if not steps:
-        return F.greatest(F.lit(1.0), lowest)
+        return F.col("rate")
     all_steps = F.array(*[F.array(*[F.lit(float(x)) for x in (m, *g)]) for m, g in steps])
     change = lambda g: sum((F.get(g, F.lit(d + 1)) * F.get(F.col("p"), F.lit(d)) for d in range(n)), F.lit(0.0))
     pair = lambda now, last: F.struct(now.alias("now"), last.alias("last"))
@@ -105,40 +106,46 @@ def _rate(steps: list[tuple[float, np.ndarray]], n: int, lowest: Column) -> Colu
     def move(acc: Column, g: Column) -> Column:
         return pair(F.greatest(lowest, acc["now"] + F.get(g, F.lit(0)) * (acc["now"] - acc["last"]) + change(g)), acc["now"])
 
-    return F.aggregate(all_steps, pair(F.greatest(F.lit(1.0), lowest), F.greatest(F.lit(1.0), lowest)), move, lambda acc: acc["now"])
+    return F.aggregate(all_steps, F.col("rate"), move)
 
 
-def fit_rates(rows: DataFrame, targets: np.ndarray, lowest: Column, most_steps: int = 60, tolerance: float = 3e-4) -> tuple[Column, np.ndarray]:
-    """The rates as an expression of ``p``, and the totals that they give.
+def fit_rates(rows: DataFrame, targets: np.ndarray, lowest: Column, tolerance: float = 3e-4, patience: int = 10, gain: float = 0.02) -> tuple[DataFrame, np.ndarray]:
+    """The rows (n_tokens, p and more) with ``rate``, and the totals that the rates give.
 
     Projected gradient with momentum: distances between rates are weighted by tokens, the step is 1 over the largest
     eigenvalue of the domains' Gram matrix. Stops when all totals are within ``tolerance`` of the targets' sum; where the
-    bounds keep some from it, at the least squared distance met, once ten steps came no closer or after ``most_steps``.
+    bounds keep some from it, at the least squared distance met, once ``patience`` steps together brought it down by less
+    than ``gain`` of itself. Rates are written down after every ``patience`` steps, so that a pass folds over few.
     """
     n = len(targets)
     p = [F.get("p", F.lit(d)) for d in range(n)]
     sums = rows.agg(*[F.coalesce(F.sum(p[a] * p[b] * F.col("n_tokens")), F.lit(0.0)).alias(f"g{a}_{b}") for a in range(n) for b in range(a, n)]).first()
     gram = np.array([[sums[f"g{min(a, b)}_{max(a, b)}"] for b in range(n)] for a in range(n)])
     size = max(float(np.linalg.eigvalsh(gram).max()), 1e-12)
+    start = F.greatest(F.lit(1.0), lowest)
+    held = rows.withColumn("rate", F.struct(start.alias("now"), start.alias("last")))
     steps: list[tuple[float, np.ndarray]] = []
-    best, best_steps, best_totals, before, pace = np.inf, 0, None, None, 1.0
+    best, best_at, best_totals, before, pace, met = np.inf, (held, []), None, None, 1.0, []
     while True:
-        rated = rows.select("p", (_rate(steps, n, lowest) * F.col("n_tokens")).alias("_rn"))
+        rated = held.select("p", (_rate(steps, n, lowest)["now"] * F.col("n_tokens")).alias("_rn"))
         r = rated.agg(*[F.coalesce(F.sum(p[d] * F.col("_rn")), F.lit(0.0)).alias(f"t{d}") for d in range(n)]).first()
         totals = np.array([r[f"t{d}"] for d in range(n)])
         off = float(((totals - targets) ** 2).sum())
-        if off < best * 0.998 or best_totals is None:
-            best, best_steps, best_totals = off, len(steps), totals
-        elif len(steps) - best_steps >= 10:
-            break
-        if np.abs(totals - targets).max() <= tolerance * max(targets.sum(), 1.0) or len(steps) >= most_steps:
+        if off < best or best_totals is None:
+            best, best_at, best_totals = off, (held, list(steps)), totals
+        met.append(best)
+        stalled = len(met) > patience and best > (1 - gain) * met[-1 - patience]
+        if stalled or np.abs(totals - targets).max() <= tolerance * max(targets.sum(), 1.0):
             break
+        if len(steps) >= patience:
+            held, steps = cut(held.withColumn("rate", _rate(steps, n, lowest))), []
         faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         momentum, pace = (0.0, 1.0) if before is None else ((pace - 1) / faster, faster)
         ahead = totals if before is None else totals + momentum * (totals - before)
         steps.append((momentum, -(ahead - targets) / size))
         before = totals
-    return _rate(steps[:best_steps], n, lowest), best_totals
+    held, steps = best_at
+    return held.withColumn("rate", _rate(steps, n, lowest)["now"]), best_totals
 
 
 def mix(
@@ -155,8 +162,9 @@ def mix(
     keep_anchor: bool = False,
     seed: int = 11,
 ) -> DataFrame:
-    """One row per input row: id, n_tokens, p (probabilities of the domains of ``weights``, in their order), rate and
-    copies, the rate rounded up or down by a hash of the id so that its expectation is the rate.
+    """One row per input row: id, n_tokens, p (probabilities of the domains of ``weights``, in their order), rate, copies,
+    the rate rounded up or down by a hash of the id so that its expectation is the rate, and ``off``, by how much of all
+    target tokens the domain that is furthest from its target misses it, the same for all rows.
 
     ``labels``: id and ``domain_col``; rows of other domains are left out. The classifier is fitted on at most
     ``most_labelled`` of them, the first in the order of a hash. Targets share out all tokens by the weights, or, with an
@@ -180,10 +188,12 @@ def mix(
     budget = totals.sum() if anchor is None else totals[domains.index(anchor)] / share[domains.index(anchor)]
     keeps = F.lit(keep_anchor) & (p[domains.index(anchor or domains[0])] >= F.array_max("p"))
     lowest = F.when(keeps, 1.0).otherwise(0.0)
-    rate = F.lit(1.0) if marks.isEmpty() else fit_rates(placed, share * budget, lowest)[0]
+    targets = share * budget
+    rated, reached = (placed.withColumn("rate", F.lit(1.0)), totals) if marks.isEmpty() else fit_rates(placed, targets, lowest)
+    off = float(np.abs(reached - targets).max() / max(targets.sum(), 1.0))
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    rated = placed.select("_id", "n_tokens", "p", rate.alias("rate"))
-    return rated.select(F.col("_id").alias(id_col), "n_tokens", "p", "rate", F.floor(F.col("rate") + chance).cast("long").alias("copies"))
+    copies = F.floor(F.col("rate") + chance).cast("long")
+    return rated.select(F.col("_id").alias(id_col), "n_tokens", "p", "rate", copies.alias("copies"), F.lit(off).alias("off"))
 
 
 def label_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
