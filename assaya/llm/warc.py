@@ -1,8 +1,9 @@
 """WARC archives with a two-level capture index.
 
 Writing: records go to gzip members of archive files in the shared folder. Index entries, sorted by reversed-host url
-key, are packed into compressed blocks; a directory holds each block's first key. Reading: a sorted batch of keys finds
-its index file, then by binary search its block and entry, then reads the record's byte range.
+key, id and place, are packed into compressed blocks; a directory holds each block's first key. Reading: a sorted batch of
+keys finds its index files, then by binary search its blocks and all entries of the key, then reads the records' byte
+ranges. A revisit takes its payload's size and digest from the response that it refers to.
 
 Files are written by tasks under names of their own attempt, and only those that a finished job lists count, so a task
 that is run again does no harm.
@@ -25,6 +26,14 @@ from assaya.shared import cut, scratch_path
 
 ENTRY = "surt string, id long, file string, offset long, length long, digest string, record_type string, refers_to long"
 RECORD = "id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+PLACE = "id long, file string, offset long, length long"
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """The rows in the schema's columns; numbers stay whole beside nulls."""
+    kinds = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pd.DataFrame({name: pd.array(values, dtype="Int64" if kind == "long" else object) for (name, kind), values in zip(kinds, columns)})
 
 
 def _open(uri: str):
@@ -100,28 +109,33 @@ def write(pages: DataFrame, folder: str, id_col="page_id", url_col="url", html_c
                         out.close()
                     name, at, no = f"{stem}-{no:04d}.warc.gz", 0, no + 1
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                refers = None if pd.isna(r.refers_to) else int(r.refers_to)
+                refers = None if r.refers_to is None else int(r.refers_to)
                 digest = base64.b32encode(bytes.fromhex(r.sha1)).decode()
-                page = None if pd.isna(r.id) else int(r.id)
-                raw = _record(r.url or "", r.payload, digest, refers, str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page}|{r.url}")))
+                page = None if r.id is None else int(r.id)
+                raw = _record(r.url or "", r.payload, digest, refers, str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}|{at}")))
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                 packed = packer.compress(raw) + packer.flush()
                 out.write(packed)
                 entries.append((r.surt, page, name, at, len(packed), digest, "response" if refers is None else "revisit", refers))
                 at += len(packed)
-            frame = pd.DataFrame(entries, columns=[x.split()[0] for x in ENTRY.split(", ")])
-            yield frame.astype({"id": "Int64", "refers_to": "Int64"})
+            yield _frame(entries, ENTRY)
         if out is not None:
             out.close()
 
-    return cut(rows.select("id", "url", "payload", "sha1", "refers_to", "surt").mapInPandas(archive, ENTRY))
+    # ids as texts: a column of numbers with a null would come as floats
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return cut(rows.select(text("id"), "url", "payload", "sha1", text("refers_to"), "surt").mapInPandas(archive, ENTRY))
+
+
+def _id(value: str | None) -> int:
+    return -1 if value is None else int(value)
 
 
 def build_index(entries: DataFrame, folder: str, block: int = 512) -> list[dict]:
-    """Writes index files of compressed blocks; returns the top level: each file's first and last key, block directory
-    and name. Its length is the number of index files, that is of partitions, however many captures there are.
+    """Writes index files of compressed blocks; returns the top level: each file's first key and name. Its length is the
+    number of index files, that is of partitions, however many captures there are.
 
-    Entries are sorted by (key, id) over ranges, so a host with a third of the captures takes many ranges.
+    Entries are sorted by (key, id, file, offset) over ranges, so a host or page with a third of the captures takes many.
     """
 
     def pack(batches):
@@ -129,7 +143,7 @@ def build_index(entries: DataFrame, folder: str, block: int = 512) -> list[dict]
         fs, base = _open(folder)
         fs.create_dir(base, recursive=True)
         name = f"{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.idx"
-        out, at, directory, lines, first, last = None, 0, [], [], None, None
+        out, at, directory, lines, first = None, 0, [], [], None
 
         def flush():
             nonlocal at, lines
@@ -141,9 +155,8 @@ def build_index(entries: DataFrame, folder: str, block: int = 512) -> list[dict]
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 out = out or fs.open_output_stream(f"{base}/{name}", compression=None)
-                last = [row.surt, -1 if pd.isna(row.id) else int(row.id)]
-                first = first or last
-                lines.append(json.dumps([*last, row.file, row.offset, row.length]))
+                first = first or [row.surt, _id(row.id)]
+                lines.append(json.dumps([row.surt, _id(row.id), row.file, row.offset, row.length]))
                 if len(lines) >= block:
                     flush()
         if out is not None:
@@ -152,34 +165,38 @@ def build_index(entries: DataFrame, folder: str, block: int = 512) -> list[dict]
             out.close()
             with fs.open_output_stream(f"{base}/{name}.dir", compression=None) as f:
                 f.write(zlib.compress(json.dumps(directory).encode()))
-            yield pd.DataFrame({"first": [json.dumps(first)], "last": [json.dumps(last)], "name": [name]})
+            yield pd.DataFrame({"first": [json.dumps(first)], "part": [context.partitionId()], "name": [name]})
+
+    order = [F.asc_nulls_first(c) for c in ("surt", "id", "file", "offset")]
+    spread = entries.repartitionByRange(*order).sortWithinPartitions(*order)
+    listed = spread.select("surt", F.col("id").cast("string").alias("id"), "file", "offset", "length").mapInPandas(pack, "first string, part int, name string").collect()
+    return [{"first": json.loads(r["first"]), "name": r["name"]} for r in sorted(listed, key=lambda r: r["part"])]
 
-    spread = entries.repartitionByRange(F.asc_nulls_first("surt"), F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("surt"), F.asc_nulls_first("id"))
-    listed = spread.select("surt", "id", "file", "offset", "length").mapInPandas(pack, "first string, last string, name string").collect()
-    top = [{"first": json.loads(r["first"]), "last": json.loads(r["last"]), "name": r["name"]} for r in listed]
-    return sorted(top, key=lambda r: r["first"])
+
+def _holding(firsts: list[tuple], key: tuple) -> range:
+    """Which of the sorted stretches that begin with ``firsts`` can hold the key."""
+    return range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key))
 
 
 def lookup(wanted: DataFrame, top: list[dict], folder: str) -> DataFrame:
-    """``wanted``: ``surt`` and ``id``. Returns (id, file, offset, length) of each capture found.
+    """``wanted``: ``surt`` and ``id``. Returns (id, file, offset, length) of every capture of each, in whatever row it was
+    written; a key asked for twice has its captures twice.
 
-    Keys are dealt to the index files that hold their range; there, in order, each finds its block in the directory by
-    binary search, and its entry in the block. A block is read once for neighbouring keys.
+    Keys are dealt to the index files that can hold them; there, in order, each finds its blocks in the directory by binary
+    search, and its entries in them. A block is read once for neighbouring keys.
     """
     firsts = [tuple(r["first"]) for r in top]
 
-    def file_of(batches):
+    def files_of(batches):
         for pdf in batches:
-            ids = pdf["id"].astype("Int64").fillna(-1)
-            at = [max(0, bisect.bisect_right(firsts, (k, int(i))) - 1) for k, i in zip(pdf["surt"], ids)]
-            yield pdf.assign(at=at)
+            held = [list(_holding(firsts, (k, _id(i)))) for k, i in zip(pdf["surt"], pdf["id"])]
+            yield pdf.assign(at=held).explode("at").dropna(subset=["at"]).astype({"at": "int32"})
 
     def find(batches):
         fs, base = _open(folder)
-        source, opened, directory, keys, held, entries, entry_keys = None, None, [], [], None, [], []
+        source, opened, directory, keys, held, entries, entry_keys, waiting = None, None, [], [], None, [], [], []
         for pdf in batches:
-            found = []
-            for key, page, at in zip(pdf["surt"], pdf["id"].astype("Int64").fillna(-1), pdf["at"]):
+            for key, page, at in zip(pdf["surt"], pdf["id"], pdf["at"]):
                 if opened != at:
                     if source is not None:
                         source.close()
@@ -187,29 +204,36 @@ def lookup(wanted: DataFrame, top: list[dict], folder: str) -> DataFrame:
                     with fs.open_input_stream(f"{base}/{top[at]['name']}.dir", compression=None) as f:
                         directory = json.loads(zlib.decompress(f.read()))
                     keys = [tuple(d[0]) for d in directory]
-                want = (key, int(page))
-                b = max(0, bisect.bisect_right(keys, want) - 1)
-                if held != b:
-                    held = b
-                    source.seek(directory[b][1])
-                    entries = [json.loads(x) for x in zlib.decompress(source.read(directory[b][2])).decode().split("\n")]
-                    entry_keys = [tuple(e[:2]) for e in entries]
-                e = bisect.bisect_left(entry_keys, want)
-                if e < len(entries) and entry_keys[e] == want:
-                    found.append((None if page == -1 else int(page), *entries[e][2:]))
-            yield pd.DataFrame(found, columns=["id", "file", "offset", "length"]).astype({"id": "Int64", "offset": "int64", "length": "int64"})
+                want = (key, _id(page))
+                for b in _holding(keys, want):
+                    if held != b:
+                        held = b
+                        source.seek(directory[b][1])
+                        entries = [json.loads(x) for x in zlib.decompress(source.read(directory[b][2])).decode().split("\n")]
+                        entry_keys = [tuple(e[:2]) for e in entries]
+                    waiting += entries[bisect.bisect_left(entry_keys, want) : bisect.bisect_right(entry_keys, want)]
+                    if len(waiting) >= 10_000:
+                        yield frame(waiting)
+                        waiting = []
+        if waiting:
+            yield frame(waiting)
         if source is not None:
             source.close()
 
-    placed = wanted.select("surt", "id").mapInPandas(file_of, "surt string, id long, at int")
-    placed = placed.repartition(len(top), "at").sortWithinPartitions("at", F.asc_nulls_first("surt"), F.asc_nulls_first("id"))
-    return placed.mapInPandas(find, "id long, file string, offset long, length long")
+    def frame(found):
+        return _frame([(None if e[1] == -1 else e[1], *e[2:]) for e in found], PLACE)
+
+    placed = wanted.select("surt", F.col("id").cast("string").alias("id")).mapInPandas(files_of, "surt string, id string, at int")
+    placed = placed.repartition(max(1, len(top)), "at").sortWithinPartitions("at", "surt", F.col("id").cast("long"))
+    return placed.mapInPandas(find, PLACE)
 
 
 def read(ranges: DataFrame, folder: str, stripe: int = 1 << 24) -> DataFrame:
-    """The records (``RECORD``) at the given byte ranges; each payload's digest is checked.
+    """The records (``RECORD``) at the given byte ranges; each payload's digest is checked. A revisit has no payload: its
+    size is null, and its digest that which its header names.
 
-    Ranges are dealt by file and stripe and read in order of their offset.
+    Ranges are dealt by file and stripe over all shuffle partitions, as they are few bytes for much work, and read in order
+    of their offset.
     """
 
     def fetch(batches):
@@ -223,30 +247,40 @@ def read(ranges: DataFrame, folder: str, stripe: int = 1 << 24) -> DataFrame:
                         source.close()
                     opened, source = r.file, fs.open_input_file(f"{base}/{r.file}")
                 source.seek(r.offset)
-                warc, http, payload = parse_record(zlib.decompress(source.read(r.length), 31))
-                digest = warc["warc-payload-digest"].removeprefix("sha1:")
-                if warc["warc-type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                warc, _, payload = parse_record(zlib.decompress(source.read(r.length), 31))
+                digest, response = warc["warc-payload-digest"].removeprefix("sha1:"), warc["warc-type"] == "response"
+                if response and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                     raise ValueError(f"{r.file} at {r.offset}: the payload doesn't have its digest")
-                rows.append((r.id, int(http["content-length"]), digest, warc["warc-type"], int(x) if (x := warc.get("warc-refers-to-capture")) else None))
-            frame = pd.DataFrame(rows, columns=["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-            yield frame.astype({"id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+                rows.append((None if r.id is None else int(r.id), len(payload) if response else None, digest, warc["warc-type"], int(x) if (x := warc.get("warc-refers-to-capture")) else None))
+            yield _frame(rows, RECORD)
         if source is not None:
             source.close()
 
-    dealt = ranges.repartition("file", F.expr(f"offset div {stripe}")).sortWithinPartitions("file", "offset")
-    return dealt.mapInPandas(fetch, RECORD)
+    n = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ranges.repartition(n, "file", F.expr(f"offset div {stripe}")).sortWithinPartitions("file", "offset")
+    return dealt.withColumn("id", F.col("id").cast("string")).mapInPandas(fetch, RECORD)
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """Records with every revisit's payload size taken from the response with the id and digest that it names. A revisit
+    without one is an error."""
+    responses = records.filter("record_type = 'response'").groupBy(F.col("id").alias("_id"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
+    rows = records.join(responses, (F.col("refers_to") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    lost = F.raise_error(F.concat(F.lit("no response with the payload of a revisit: "), "payload_digest")).cast("long")
+    size = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.coalesce("_bytes", lost))
+    return rows.select("id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", least: int = 0) -> DataFrame:
-    """Writes all rows as records, indexes them, finds each by key in the index and reads it back: one row per capture.
+    """Writes all rows as records, indexes them, finds each url and id in the index and reads all of their captures back:
+    one row per capture, so one for each input row.
 
-    A null html is an empty payload, a null url an empty target. Rows that repeat an id and url share one index entry;
-    each then reads the first of their records. Of rows with the payload's largest id all are responses. A null id is
-    never the largest unless no row of the payload has one; then all are responses.
+    A null html is an empty payload, a null url an empty target. Rows that repeat an id and url are captures each, with
+    their own payloads. Of rows with the payload's largest id all are responses. A null id is never the largest unless no
+    row of the payload has one; then all are responses. Columns besides these three aren't read.
     """
     folder = scratch_path(pages.sparkSession, "warc")
     entries = write(pages, folder, id_col, url_col, html_col, least)
     top = build_index(entries, folder)
-    if not top:
-        return entries.sparkSession.createDataFrame([], RECORD.replace("id long", f"{id_col} long", 1))
-    return read(lookup(entries, top, folder), folder).withColumnRenamed("id", id_col)
+    records = cut(read(lookup(entries.select("surt", "id").distinct(), top, folder), folder))
+    return resolved(records).withColumnRenamed("id", id_col)
