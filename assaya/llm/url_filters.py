@@ -6,6 +6,8 @@ labelled shares don't differ more than chance explains. Each url so gets a templ
 labelled purity, smoothed towards that of all labels, is too low.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,34 +65,54 @@ def shape(segment: Column) -> Column:
     return F.concat(kind, extension)
 
 
-def templates(
-    urls: DataFrame, max_depth: int = 6, many: int = 16, few: float = 0.05, z_limit: float = 1.96
-) -> DataFrame:
+def _common(rows: DataFrame) -> DataFrame:
+    """Moves the segments that all rows of a node share from the rest to the template, as no choice is made there. What is
+    least and largest in a node share what all of it does."""
+    ends = cut(rows.groupBy("host", "template").agg(F.min("_rest").alias("_lo"), F.max("_rest").alias("_hi")))
+    differs = F.transform(F.arrays_zip("_lo", "_hi"), lambda x: ~x["_lo"].eqNullSafe(x["_hi"]))
+    first = F.array_position(differs, True).cast("int")
+    shared = F.when(first > 0, first - 1).otherwise(F.size("_lo"))
+    ends = ends.select(F.col("host").alias("_h"), F.col("template").alias("_t"), shared.alias("_shared"))
+    joined = rows.join(ends, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")))
+    template = F.concat_ws("/", "template", F.slice("_rest", F.lit(1), F.col("_shared")))
+    rest = F.slice("_rest", F.col("_shared") + 1, F.size("_rest"))
+    return joined.select(*[c for c in rows.columns if c not in ("template", "_rest")], template.alias("template"), rest.alias("_rest"))
+
+
+def templates(urls: DataFrame, many: int = 16, few: float = 0.05, z_limit: float = 1.96) -> DataFrame:
     """``urls``: ``host``, ``path``, ``n`` urls, ``labelled`` and ``good`` counts, one row per host and path.
 
     Adds ``template``. At each level a child is variable if its parent has over ``many`` children and it has less than
     ``few`` of the parent's urls, or if it is a number or hexadecimal and has a sibling of its shape. Variable children
     become their shape. Of the rest, children of one shape that are not the only one are merged into their shape if
     their good share is within ``z_limit`` standard errors of the shape's other children and both sides have labels;
-    unlabelled ones stay apart. Segments beyond ``max_depth`` become one tail ``**``.
+    unlabelled ones stay apart. Levels at which a node has one child are passed in one go; each round works on the paths
+    that aren't at their end, down to the deepest branch.
     """
     trimmed = F.filter(F.split("path", "/", -1), lambda s: s != "")
-    rows = cut(urls.select("*", trimmed.alias("_segments"), F.lit("").alias("template")))
-    depth = min(max_depth, rows.agg(F.coalesce(F.max(F.size("_segments")), F.lit(0))).first()[0])
-    for level in range(depth):
-        at = rows.withColumn("_seg", F.get("_segments", F.lit(level)))
-        children = (
-            at.filter(F.col("_seg").isNotNull())
-            .groupBy("host", "template", "_seg")
+    columns = [*urls.columns, "template"]
+    rows = cut(urls.select("*", F.lit("").alias("template"), trimmed.alias("_rest")))
+    done = []
+    while True:
+        rows = cut(_common(rows))
+        done.append(rows.filter(F.size("_rest") == 0).select(columns))
+        rows = rows.filter(F.size("_rest") > 0)
+        if rows.isEmpty():
+            return reduce(DataFrame.union, done)
+        at = rows.withColumn("_seg", F.get("_rest", F.lit(0)))
+        children = cut(
+            at.groupBy("host", "template", "_seg")
             .agg(F.sum("n").alias("_n"), F.sum("labelled").alias("_l"), F.sum("good").alias("_g"))
             .withColumn("_shape", shape(F.col("_seg")))
         )
-        children = cut(children)
-        parents = children.groupBy("host", "template").agg(F.count("*").alias("_kids"), F.sum("_n").alias("_pn"))
+        # a row for each shape of a node, with the node's totals: written down, so that a node with very many children can
+        # be dealt anew in the join
         kinds = children.groupBy("host", "template", "_shape").agg(
-            F.count("*").alias("_like"), F.sum("_l").alias("_kl"), F.sum("_g").alias("_kg")
+            F.count("*").alias("_like"), F.sum("_n").alias("_kn"), F.sum("_l").alias("_kl"), F.sum("_g").alias("_kg")
         )
-        judged = children.join(parents, ["host", "template"]).join(kinds, ["host", "template", "_shape"])
+        parents = kinds.groupBy("host", "template").agg(F.sum("_like").alias("_kids"), F.sum("_kn").alias("_pn"))
+        kinds = cut(kinds.join(parents, ["host", "template"]))
+        judged = children.join(kinds, ["host", "template", "_shape"])
         variable = ((F.col("_kids") > many) & (F.col("_n") < few * F.col("_pn"))) | (
             F.col("_shape").rlike("^<(num|hex|date)>") & (F.col("_like") > 1)
         )
@@ -100,14 +122,10 @@ def templates(
         apart = F.abs(F.try_divide(F.col("_g"), F.col("_l")) - F.try_divide(rest_g, rest_l))
         similar = F.coalesce(apart <= z_limit * spread, F.lit(False))
         token = F.when(variable | similar, F.col("_shape")).otherwise(F.col("_seg"))
-        named = judged.select("host", "template", "_seg", token.alias("_token"))
-        rows = cut(
-            at.join(named, ["host", "template", "_seg"], "left")
-            .withColumn("template", F.when(F.col("_token").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", "_token")))
-            .select(*rows.columns)
-        )
-    tail = F.when(F.size("_segments") > max_depth, F.lit("/**")).otherwise(F.lit(""))
-    return rows.withColumn("template", F.concat("template", tail)).drop("_segments")
+        named = cut(judged.select("host", "template", "_seg", token.alias("_token")))
+        deeper = F.concat_ws("/", "template", "_token")
+        moved = at.join(named, ["host", "template", "_seg"])
+        rows = cut(moved.select(*urls.columns, deeper.alias("template"), F.slice("_rest", F.lit(2), F.size("_rest")).alias("_rest")))
 
 
 def judge(
@@ -140,7 +158,7 @@ def judge(
     total = tree_rows.agg(F.sum("labelled").alias("l"), F.sum("good").alias("g")).first()
     prior = total["g"] / total["l"] if total["l"] else 1.0
     purity = (F.sum("good") + F.lit(weight * prior)) / (F.sum("labelled") + F.lit(weight))
-    pure = tree_rows.groupBy("host", "template").agg(purity.alias("purity"))
+    pure = cut(tree_rows.groupBy("host", "template").agg(purity.alias("purity")))  # so that the join can deal a hot template anew
     per_path = tree_rows.join(pure, ["host", "template"]).select("host", "path", "template", "purity")
     out = rows.join(per_path, ["host", "path"], "left")
     host, path = F.col("host"), F.col("path")
