@@ -318,7 +318,8 @@ def group(
     apart = F.coalesce("root", "node") != F.coalesce("pivot_root", "pivot")
     placed = cut(placed.select("key", "band", "node", "weight_of", F.coalesce("root", "node").alias("comp"), apart.alias("apart")))
     weigh = lambda c: F.ceil(F.sum(F.when(c, F.col("weight_of")).otherwise(0)) / CHUNK).cast("int")
-    open_keys = placed.groupBy("key").agg(weigh(F.col("apart")).alias("s"), weigh(~F.col("apart")).alias("m")).filter("s > 0")
+    # written down, so that a bucket with very many members can be dealt anew in the join
+    open_keys = cut(placed.groupBy("key").agg(weigh(F.col("apart")).alias("s"), weigh(~F.col("apart")).alias("m")).filter("s > 0"))
     left = placed.join(open_keys, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("apart"), F.col("s")).otherwise(F.col("m"))).cast("int"))
     block = lambda a, b, side: F.struct(F.xxhash64("key", a, b).alias("block"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)

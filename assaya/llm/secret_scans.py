@@ -230,10 +230,10 @@ def redact(docs: DataFrame, rules=BASE_RULES + MORE_RULES, id_col: str = "doc_id
     """The rows and columns, with every span that the scan finds in a row's text replaced by its kind in brackets; spans that
     overlap are replaced as one. Other texts, null ones too, stay as they are."""
     found = merged(_scanned(docs, rules, id_col, text_col), ["_id", "_hash"])
-    found = stored(found.withColumnsRenamed({"_id": "_found", "_hash": "_found_hash"}), "secret-found")
+    found = stored(found.withColumnsRenamed({"_id": "_found", "_hash": "_found_hash", "parts": "_parts"}), "secret-found")
     same = F.col(id_col).eqNullSafe(F.col("_found")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_found_hash"))
     rows = docs.join(found, same, "left")
-    text = F.when(F.col("parts").isNotNull(), without(F.col(text_col), F.col("parts"))).otherwise(F.col(text_col))
+    text = F.when(F.col("_parts").isNotNull(), without(F.col(text_col), F.col("_parts"))).otherwise(F.col(text_col))
     return rows.withColumn(text_col, text).select(*docs.columns)
 
 
