@@ -1,5 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns."""
 
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +113,49 @@ def test_vectors_that_take_no_part(spark):
     found = {q: [(r["rank"], r["vec_id"], r["score"]) for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 20)}
     assert found == {0: [(1, 1, 1.0), (2, 2, 0.0), (3, 20, 0.0)], 20: [(1, 2, 2.0), (2, 0, 0.0), (3, 1, 0.0)]}
     assert ann.search(v.limit(0), v.limit(0)).collect() == []
+
+
+def test_clashing_columns_and_long_pages(spark):
+    """Columns that the operators name inside themselves, and urls and pages far longer than usual."""
+    long_url, long_page = "http://a.org/" + "seg-ment/" * 3000 + "?q=" + "z" * 50_000, "<p>é</p>" * 200_000
+    data = [(1, "http://a.org/x", "<p>1</p>"), (2, long_url, long_page), (3, "http://a.org/x", long_page)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    clash = {c: F.lit(c) for c in ("_id", "host", "path", "template", "rule", "_n", "_good", "_rest", "surt", "payload", "sha1", "size", "id", "file", "refers_to", "_last")}
+    judged = {r["page_id"]: r for r in url_filters.judge(pages.withColumns(clash), pages.select("url", F.lit(1).alias("good"), F.lit("x").alias("host"))).collect()}
+    assert {k: r["verdict"] for k, r in judged.items()} == {1: "allow", 2: "allow", 3: "allow"} and judged[2]["path"] == "/" + "seg-ment/" * 3000
+    back = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages.withColumns(clash)).collect()}
+    size = len(long_page.encode())
+    assert back == {1: (8, "response", None), 2: (size, "revisit", 3), 3: (size, "response", None)}
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(1, 60)] + [(20, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    clash = {c: F.lit(c) for c in ("id", "vec", "part", "own", "v", "q", "rank", "score", "query_id", "size")}
+    v = vectors.withColumns(clash)
+    out = ann.search(v, v.filter("vec_id % 20 = 0"), k=70).collect()
+    assert Counter(r["query_id"] for r in out) == {20: 58, 40: 59}  # all candidates, where there are fewer than asked for
+
+
+def test_few_in_the_probed_parts(spark):
+    """Further parts are searched until there are enough candidates."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 8)) + 40 * np.eye(8)[rng.integers(0, 8, 400)]
+    v = spark.createDataFrame([(i, [float(t) for t in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann.search(v, v.filter("vec_id % 20 = 0"), k=150, parts=8, recall=0.01).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in out} == {i: 150 for i in range(0, 400, 20)}
+
+
+def test_stages_of_the_pipeline_on_edge_rows(spark, docs):
+    import corpus_pipeline
+
+    columns = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").columns
+    shaped = docs.withColumn("n_chars", F.length("text").cast("long")).select(columns)
+    for start in (shaped, shaped.limit(0)):
+        rows = start
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, rows, "/root/testdata/sf0.001").checkpoint()
+            if name != "pieces":
+                assert rows.columns == columns
+        assert rows.count() >= (4 if start is shaped else 0)
+        if start is shaped:
+            ids = [r["doc_id"] for r in rows.collect()]
+            assert {0, 5, 7} <= set(ids) and not {1, 2, 3, 4, 6} & set(ids)  # 6 is a copy of 0, the others have no letter
+        else:
+            assert rows.count() == 0
