@@ -18,8 +18,6 @@ SPACE = r"[ \t-\r]+"
 WINDOW = 8
 #: Signals with cutoffs: a row is rejected if its value is above.
 SIGNALS = ("symbol_share", "dup_line_share", "repeat_word_share", "upper_share", "mark_share", "word_length")
-#: Strata are few (such as languages); their cutoffs become literals of the plan.
-MOST_STRATA = 2000
 
 
 def _let(value: Column, body) -> Column:
@@ -197,12 +195,13 @@ def judge(
     rows = cut(signals(docs.withColumn("_stratum", F.col(stratum_col)), id_col, text_col, ("_stratum",)))
     marks = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_lid")).agg(F.min(label_col).alias("_good"))
     labelled = rows.filter(~base_failed()).join(marks, F.col("_id") == F.col("_lid")).select("_id", "_stratum", "_good", *SIGNALS)
-    found = thresholds(labelled, allowed, error, grid).limit(MOST_STRATA * len(SIGNALS) + 1).collect()
-    if len(found) > MOST_STRATA * len(SIGNALS):
-        raise ValueError(f"{stratum_col} has more than {MOST_STRATA} values with cutoffs")
+    cutoff = lambda signal: F.max(F.when(F.col("signal") == signal, F.col("cutoff"))).alias(f"_over_{signal}")
+    found = thresholds(labelled, allowed, error, grid).withColumnRenamed("_stratum", "_of")
+    found = stored(found.groupBy("_of").agg(*[cutoff(signal) for signal in SIGNALS]), "certified")
+    rows = rows.join(found, F.col("_stratum").eqNullSafe(F.col("_of")), "left")
     rejected = F.lit(False)
-    for r in found:
-        rejected = rejected | (F.col("_stratum").eqNullSafe(F.lit(r["_stratum"])) & (F.col(r["signal"]) > F.lit(r["cutoff"])))
+    for signal in SIGNALS:
+        rejected = rejected | F.coalesce(F.col(signal) > F.col(f"_over_{signal}"), F.lit(False))
     return rows.select(
         F.col("_id").alias(id_col),
         "n_words",
