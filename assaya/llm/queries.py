@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from assaya.llm import ann, language_id, mixing, near_dedup, quality_rules, secret_scans, sentencepiece_codec, token_counts, url_filters, warc
+from assaya.llm import ann, bpe_codec, language_id, mixing, near_dedup, quality_rules, secret_scans, sentencepiece_codec, token_counts, url_filters, warc
 from assaya.shared import table
 
 #: Where the public vocabulary files lie; a library folder on every machine.
@@ -67,13 +67,18 @@ def op10_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.round_trip(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op13_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_codec.round_trip(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_near_dedup, op4_quality_rules, op5_secret_scans, op6_mixing, op7_warc, op8_ann, op9_language_id, op10_sentencepiece, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_near_dedup, op4_quality_rules, op5_secret_scans, op6_mixing, op7_warc, op8_ann, op9_language_id, op10_sentencepiece, op13_bpe, pipeline)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLES = {
     "op3_near_dedup": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
