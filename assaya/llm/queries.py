@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from assaya.llm import ann, bpe_codec, language_id, mixing, near_dedup, periodic_runs, quality_rules, secret_scans, sentencepiece_codec, token_counts, url_filters, warc
+from assaya.llm import alignment, ann, bpe_codec, language_id, mixing, near_dedup, periodic_runs, quality_rules, secret_scans, sentencepiece_codec, token_counts, url_filters, warc
 from assaya.shared import table
 
 #: Where the public vocabulary files lie; a library folder on every machine.
@@ -67,6 +67,11 @@ def op10_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.round_trip(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op11_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op12_periodic_runs(spark, sf_dir):
     """Runs in the documents' words, a tenth of the documents made periodic first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -84,7 +89,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_near_dedup, op4_quality_rules, op5_secret_scans, op6_mixing, op7_warc, op8_ann, op9_language_id, op10_sentencepiece, op12_periodic_runs, op13_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_near_dedup, op4_quality_rules, op5_secret_scans, op6_mixing, op7_warc, op8_ann, op9_language_id, op10_sentencepiece, op11_alignment, op12_periodic_runs, op13_bpe, pipeline)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLES = {
     "op3_near_dedup": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
