@@ -2,35 +2,64 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-PAYLOAD = "sample_ids array<string>, sample_id string, sample_1 string, sample_2 string, affected_samples array<string>"
+#: The shapes of a payload in which samples are shown, in the order in which they are tried.
+SHAPES = ("sample_ids", "file_names", "affected_samples", "sample_id")
+
+
+def _items(payload: Column, key: str) -> Column:
+    """The elements of a list, as variants; none where the key holds anything else."""
+    return F.coalesce(F.try_variant_get(payload, f"$.{key}", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _text(value: Column, path: str = "$") -> Column:
+    return F.try_variant_get(value, path, "string")
 
 
 def referenced(data_json: Column) -> Column:
-    """The distinct sample ids that a payload names in any of its five shapes, in their order."""
-    p = F.from_json(data_json, PAYLOAD)
-    none = F.array().cast("array<string>")
-    single = F.array_compact(F.array(p["sample_id"], p["sample_1"], p["sample_2"]))
-    return F.array_distinct(F.concat(F.coalesce(p["sample_ids"], none), F.coalesce(single, none), F.coalesce(p["affected_samples"], none)))
+    """The distinct sample ids that a payload names, in the order of its shapes: all of ``sample_ids``, ``sample_id``, and
+    those inside the objects ``sample_1``, ``sample_2`` and of ``affected_samples``. Ids may be strings or numbers; a payload
+    that isn't JSON names none."""
+    p = F.try_parse_json(data_json)
+    single = F.array(_text(p, "$.sample_id"), _text(p, "$.sample_1.sample_id"), _text(p, "$.sample_2.sample_id"))
+    listed = F.transform(_items(p, "sample_ids"), lambda x: _text(x))
+    affected = F.transform(_items(p, "affected_samples"), lambda x: _text(x, "$.sample_id"))
+    return F.array_distinct(F.array_compact(F.concat(listed, single, affected)))
 
 
 def shown(data_json: Column, most: int = 8) -> Column:
-    """The ids to show: the first shape that has any, ``most`` of them."""
-    p = F.from_json(data_json, PAYLOAD)
-    filled = lambda a: F.when(F.size(a) > 0, a)
-    pair = F.array_compact(F.array(p["sample_1"], p["sample_2"]))
-    return F.slice(F.coalesce(filled(p["sample_ids"]), filled(p["affected_samples"]), filled(pair), filled(F.array_compact(F.array(p["sample_id"]))), F.array().cast("array<string>")), 1, most)
+    """What a payload offers to show, ``most`` of each shape, in order: (shape, position, id, file). ``file_names`` has names
+    only, ``sample_id`` counts if it is a string, and an affected sample may have both an id and a name."""
+    p = F.try_parse_json(data_json)
+
+    def offers(shape: int, items: Column, sample, file) -> Column:
+        row = lambda x, i: F.struct(F.lit(shape).alias("shape"), i.alias("position"), sample(x).alias("id"), file(x).alias("file"))
+        return F.transform(F.slice(items, 1, most), row)
+
+    none = lambda x: F.lit(None).cast("string")
+    own = F.try_variant_get(p, "$.sample_id", "variant")
+    alone = F.when(F.schema_of_variant(own) == "STRING", F.array(own)).otherwise(F.array().cast("array<variant>"))
+    return F.concat(
+        offers(0, _items(p, "sample_ids"), _text, none),
+        offers(1, _items(p, "file_names"), none, _text),
+        offers(2, _items(p, "affected_samples"), lambda x: F.nullif(_text(x, "$.sample_id"), F.lit("")), lambda x: _text(x, "$.file_name")),
+        offers(3, alone, _text, none),
+    )
 
 
 def shown_samples(evidence: DataFrame, samples: DataFrame, most: int = 8) -> DataFrame:
-    """(evidence_id, position, name, sample_id): what each piece of evidence shows, in order, ``most`` of them, with the sample
-    that has the name as its id or, failing that, as its file name in the evidence's dataset (the least such id); null
-    without one. ``evidence``: evidence_id, dataset_id, data_json; ``samples``: sample_id, dataset_id, file_name."""
-    named = evidence.select("evidence_id", "dataset_id", F.posexplode(shown(F.col("data_json"), most)).alias("position", "name"))
+    """(evidence_id, shape, position, sample_id): the samples that each piece of evidence shows, in order. They are those of
+    the first shape of which any is found: by id or, failing that, by file name in the evidence's dataset (the least such
+    id). ``evidence``: evidence_id, dataset_id, data_json; ``samples``: sample_id, dataset_id, file_name."""
+    offers = evidence.select("evidence_id", "dataset_id", F.inline(F.coalesce(shown(F.col("data_json"), most), F.array().cast("array<struct<shape:int,position:int,id:string,file:string>>"))))
     by_id = samples.select(F.col("sample_id").alias("_id")).distinct()
     by_file = samples.groupBy(F.col("dataset_id").alias("_d"), F.col("file_name").alias("_f")).agg(F.min("sample_id").alias("_file_id"))
-    rows = named.join(by_id, F.col("name") == F.col("_id"), "left").join(by_file, (F.col("dataset_id") == F.col("_d")) & (F.col("name") == F.col("_f")), "left")
-    return rows.select("evidence_id", "position", "name", F.coalesce("_id", "_file_id").alias("sample_id"))
+    rows = offers.join(by_id, F.col("id") == F.col("_id"), "left").join(by_file, (F.col("dataset_id") == F.col("_d")) & (F.col("file") == F.col("_f")), "left")
+    found = rows.select("evidence_id", "shape", "position", F.coalesce("_id", "_file_id").alias("sample_id")).filter("sample_id is not null")
+    first = F.min("shape").over(Window.partitionBy("evidence_id"))  # a piece of evidence has few offers
+    names = F.array(*map(F.lit, SHAPES))
+    return found.withColumn("_first", first).filter("shape = _first").select("evidence_id", F.get(names, "shape").alias("shape"), "position", "sample_id")
 
 
 def evidence_of(findings: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -12,26 +12,39 @@ from assaya.plans.bindings import HASHES_SQL, samples
 from assaya.shared import cut, table
 
 
-def _payloads(spark, sf_dir) -> DataFrame:
-    """Lines as evidence: the shape of a payload follows the line number."""
-    items = table(spark, sf_dir, "lineitem")
-    a, b = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
-    shapes = [F.struct(F.array(a, b, a).alias("sample_ids")), F.struct(a.alias("sample_id")), F.struct(a.alias("sample_1"), b.alias("sample_2")), F.struct(F.array(b).alias("affected_samples"), a.alias("sample_id")), F.struct(F.lit(1).alias("other"))]
-    data = F.to_json(shapes[4])
-    for i in range(4):
-        data = F.when(F.col("l_linenumber") % 5 == i, F.to_json(shapes[i])).otherwise(data)
+#: What each line's payload is, by its number: strings, numbers and objects under the same keys.
+_PAYLOAD_SQL = """CASE l_linenumber % 7
+ WHEN 0 THEN '{"sample_ids":["' || l_partkey || '",' || l_suppkey || ',{"sample_id":"' || l_partkey || '"}]}'
+ WHEN 1 THEN '{"sample_id":"' || l_partkey || '"}'
+ WHEN 2 THEN '{"sample_1":{"sample_id":"' || l_partkey || '","label":"x"},"sample_2":{"sample_id":' || l_suppkey || '},"file_names":["f' || l_suppkey || '"]}'
+ WHEN 3 THEN '{"affected_samples":[{"sample_id":"s' || l_suppkey || '","file_name":"f' || l_suppkey || '"},{"file_name":"f' || l_partkey || '"},"' || l_partkey || '"],"sample_id":"' || l_suppkey || '"}'
+ WHEN 4 THEN '{"file_names":["f' || l_partkey || '","none","f' || l_suppkey || '"],"affected_samples":[{"sample_id":' || l_suppkey || '}]}'
+ WHEN 5 THEN '{"sample_ids":["none"],"file_names":["none"],"affected_samples":{"sample_id":"1"},"sample_id":' || l_partkey || '}'
+ ELSE '{"sample_1":"' || l_partkey || '","affected_samples":["' || l_suppkey || '"],"sample_ids":["none"],"sample_id":"' || l_suppkey || '"}' END"""
+
+
+def payloads(spark, sf_dir) -> DataFrame:
+    """Lines as evidence, in a set of parts."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.expr(_PAYLOAD_SQL).alias("data_json"))
     code = F.concat(F.lit("DI-0"), F.col("l_linenumber") % 5 + 1)
-    return items.select("l_orderkey", "l_linenumber", code.alias("detector_id"), data.alias("data_json"))
+    return rows.select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id"), (F.col("l_suppkey") % 3).alias("dataset_id"), code.alias("detector_id"), "data_json")
 
 
 def flagged_samples(spark, sf_dir) -> DataFrame:
     """Parts that evidence refers to, by check."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("sample_id"))
-    return ev.flagged_samples(_payloads(spark, sf_dir), parts)
+    return ev.flagged_samples(payloads(spark, sf_dir), parts)
 
 
 def evidence_shown(spark, sf_dir) -> DataFrame:
-    return _payloads(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join(ev.shown(F.col("data_json")), ",").alias("shown"))
+    """All that payloads offer to show."""
+    return payloads(spark, sf_dir).select("evidence_id", F.inline(ev.shown(F.col("data_json"))))
+
+
+def evidence_samples(spark, sf_dir) -> DataFrame:
+    """What payloads show, as parts: by key, or by file name in the supplier's set."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("sample_id"), (F.col("p_partkey") % 3).alias("dataset_id"), F.concat(F.lit("f"), "p_partkey").alias("file_name"))
+    return ev.shown_samples(payloads(spark, sf_dir), parts)
 
 
 def detector_applicability(spark, sf_dir) -> DataFrame:
@@ -112,11 +125,18 @@ def geometry_features(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", aspect.alias("aspect"), density.alias("density"))
 
 
-QUERIES = {f.__name__: f for f in (flagged_samples, evidence_shown, detector_applicability, scenario_scores, assessment_list, limitation_lists, finding_facets, first_rows_per_key, hash_distances, event_positions, contributor_overlap, model_files, geometry_features)}
+QUERIES = {f.__name__: f for f in (flagged_samples, evidence_shown, evidence_samples, detector_applicability, scenario_scores, assessment_list, limitation_lists, finding_facets, first_rows_per_key, hash_distances, event_positions, contributor_overlap, model_files, geometry_features)}
+_EVIDENCE = f"e AS (SELECT l_orderkey * 10 + l_linenumber AS evidence_id, l_suppkey % 3 AS dataset_id, 'DI-0' || (l_linenumber % 5 + 1) AS issue, ({_PAYLOAD_SQL})::JSON AS d FROM lineitem)"
+_OFFERS = f"""{_EVIDENCE}, o AS (SELECT *, CASE WHEN json_type(d, '$.sample_ids') = 'ARRAY' THEN (d -> '$.sample_ids[*]')[:8] END AS a0, CASE WHEN json_type(d, '$.file_names') = 'ARRAY' THEN (d -> '$.file_names[*]')[:8] END AS a1, CASE WHEN json_type(d, '$.affected_samples') = 'ARRAY' THEN (d -> '$.affected_samples[*]')[:8] END AS a2 FROM e),
+c AS (SELECT evidence_id, dataset_id, 0 AS shape, unnest(range(len(a0)))::INT AS position, unnest(a0) ->> '$' AS id, NULL AS file FROM o UNION ALL SELECT evidence_id, dataset_id, 1, unnest(range(len(a1)))::INT, NULL, unnest(a1) ->> '$' FROM o
+ UNION ALL SELECT evidence_id, dataset_id, 2, position, x ->> '$.sample_id', x ->> '$.file_name' FROM (SELECT *, unnest(range(len(a2)))::INT AS position, unnest(a2) AS x FROM o) UNION ALL SELECT evidence_id, dataset_id, 3, 0, d ->> '$.sample_id', NULL FROM o WHERE json_type(d, '$.sample_id') = 'VARCHAR')"""
 ORACLES = {
-    "flagged_samples": """WITH e AS (SELECT 'DI-0' || (l_linenumber % 5 + 1) AS issue, unnest(CASE l_linenumber % 5 WHEN 0 THEN [l_partkey, l_suppkey] WHEN 1 THEN [l_partkey] WHEN 2 THEN [l_partkey, l_suppkey] WHEN 3 THEN [l_suppkey, l_partkey] ELSE [] END) AS p FROM lineitem)
-SELECT DISTINCT p::VARCHAR AS sample_id, issue FROM e WHERE issue <> 'DI-05' AND p IN (SELECT p_partkey FROM part)""",
-    "evidence_shown": "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN l_partkey || ',' || l_suppkey || ',' || l_partkey WHEN 1 THEN l_partkey::VARCHAR WHEN 2 THEN l_partkey || ',' || l_suppkey WHEN 3 THEN l_suppkey::VARCHAR ELSE '' END AS shown FROM lineitem",
+    "flagged_samples": f"""WITH {_EVIDENCE}, r AS (SELECT issue, CASE WHEN json_type(d, '$.sample_ids') = 'ARRAY' THEN unnest(d ->> '$.sample_ids[*]') END AS id FROM e UNION ALL SELECT issue, d ->> '$.sample_id' FROM e UNION ALL SELECT issue, d ->> '$.sample_1.sample_id' FROM e UNION ALL SELECT issue, d ->> '$.sample_2.sample_id' FROM e
+ UNION ALL SELECT issue, unnest(d ->> '$.affected_samples[*].sample_id') FROM e)
+SELECT DISTINCT id AS sample_id, issue FROM r WHERE issue <> 'DI-05' AND id IN (SELECT p_partkey::VARCHAR FROM part)""",
+    "evidence_shown": f"WITH {_OFFERS} SELECT evidence_id, shape, position, id, file FROM c",
+    "evidence_samples": f"""WITH {_OFFERS}, f AS (SELECT evidence_id, shape, position, coalesce(a.p_partkey, b.p_partkey)::VARCHAR AS sample_id FROM c LEFT JOIN part a ON a.p_partkey::VARCHAR = id LEFT JOIN part b ON 'f' || b.p_partkey = file AND b.p_partkey % 3 = dataset_id)
+SELECT evidence_id, ['sample_ids', 'file_names', 'affected_samples', 'sample_id'][1 + shape] AS shape, position, sample_id FROM f WHERE sample_id IS NOT NULL QUALIFY shape = min(shape) OVER (PARTITION BY evidence_id)""",
     "detector_applicability": """WITH c AS (SELECT concat_ws('/', source, lang) AS dataset, count(*) AS s, count(quality) AS l, count(nullif(trim(source), '')) AS c FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)
 SELECT dataset, 'DI-01' AS code, s >= 1 AS applicable, CASE WHEN s < 1 THEN 'no samples' END AS reason FROM c UNION ALL SELECT dataset, 'DI-02', l >= 2, CASE WHEN l < 2 THEN 'fewer than 2 labelled samples' END FROM c
 UNION ALL SELECT dataset, 'DI-03', s >= 3, CASE WHEN s < 3 THEN 'fewer than 3 samples' END FROM c UNION ALL SELECT dataset, 'DI-04', s >= 5, CASE WHEN s < 5 THEN 'fewer than 5 samples' END FROM c

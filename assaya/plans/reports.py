@@ -93,16 +93,6 @@ def recent_uploads(spark, sf_dir) -> DataFrame:
     return search.newest(rows, "upload", "_k", 50, ["o_orderkey"], most=50)
 
 
-def evidence_samples(spark, sf_dir) -> DataFrame:
-    """What lines show, as parts: by key, or by brand in the supplier's number."""
-    items = table(spark, sf_dir, "lineitem").filter("l_linenumber < 4")
-    name, size = F.concat(F.lit("f"), "l_partkey"), F.col("l_quantity").cast("int").cast("string")
-    data = F.when(F.col("l_linenumber") == 1, F.to_json(F.struct(F.array(F.col("l_partkey").cast("string"), name).alias("sample_ids")))).when(F.col("l_linenumber") == 2, F.to_json(F.struct(name.alias("sample_1"), size.alias("sample_2")))).otherwise(F.to_json(F.struct(name.alias("sample_id"))))
-    shown = items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id"), (F.col("l_suppkey") % 3).alias("dataset_id"), data.alias("data_json"))
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("sample_id"), (F.col("p_partkey") % 3).alias("dataset_id"), F.concat(F.lit("f"), "p_partkey").alias("file_name"))
-    return ev.shown_samples(shown, parts)
-
-
 def evidence_in_order(spark, sf_dir) -> DataFrame:
     """Lines of the most urgent orders, as evidence of these."""
     findings = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("finding_id"), F.col("o_orderdate").alias("created_at"))
@@ -161,7 +151,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         detector_plan, coverage_gap_rows, limiting_factors, provenance_statuses, manifests_shown, contributor_overview, audit_export, assessment_export, findings_by_run, keyed_events,
-        recent_uploads, evidence_samples, evidence_in_order, severities, tensors_shown, sidecar_records, annotation_keys, class_names,
+        recent_uploads, evidence_in_order, severities, tensors_shown, sidecar_records, annotation_keys, class_names,
     )
 }
 
@@ -199,9 +189,6 @@ UNION ALL SELECT l_orderkey, 2, 'evidence', l_linenumber, '{"data":[' || l_partk
     "findings_by_run": "SELECT l_orderkey AS assessment_id, 'di-0' || l_linenumber AS detector_id FROM lineitem QUALIFY l_linenumber >= 4 OR max(l_tax) OVER (PARTITION BY l_orderkey, l_linenumber) > 0.04",
     "keyed_events": "SELECT event_id, user_id, value FROM events WHERE user_id = 7 AND event_type = 'click'",
     "recent_uploads": "SELECT 'upload' AS category, o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 50",
-    "evidence_samples": """WITH i AS (SELECT l_orderkey * 10 + l_linenumber AS e, l_suppkey % 3 AS d, unnest(CASE l_linenumber WHEN 1 THEN [l_partkey::VARCHAR, 'f' || l_partkey] WHEN 2 THEN ['f' || l_partkey, (l_quantity::INT)::VARCHAR] ELSE ['f' || l_partkey] END) AS name,
- unnest(CASE WHEN l_linenumber = 3 THEN [0] ELSE [0, 1] END) AS position FROM lineitem WHERE l_linenumber < 4)
-SELECT e AS evidence_id, position, name, coalesce(a.p_partkey, b.p_partkey)::VARCHAR AS sample_id FROM i LEFT JOIN part a ON a.p_partkey::VARCHAR = name LEFT JOIN part b ON 'f' || b.p_partkey = name AND b.p_partkey % 3 = d""",
     "evidence_in_order": "SELECT l_orderkey AS finding_id, l_linenumber AS seq, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'",
     "severities": "SELECT ['NONE', 'low', 'MEDIUM', 'HIGH', 'CRITICAL', 'odd'][1 + l_partkey % 6] AS risk, count(*) AS n, ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL', 'MEDIUM'][1 + l_partkey % 6] AS severity FROM lineitem GROUP BY ALL",
     "tensors_shown": f"WITH {TENSORS_SQL} SELECT model_id, tensor_name, count(*) AS numel FROM tensors GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY tensor_name) <= 2",

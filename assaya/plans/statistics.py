@@ -255,9 +255,9 @@ SELECT contributor, total, flagged, round(flagged / total, 6) AS rate, issues, c
 CASE WHEN contributor <> 'unattributed' AND flagged >= 2 AND flagged / total >= 0.3 THEN CASE WHEN flagged / total >= 0.5 AND flagged >= 3 THEN 'HIGH' ELSE 'MEDIUM' END END AS severity FROM c""",
     "assessment_summaries": """WITH r AS (SELECT l_orderkey AS assessment_id, CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'FAILED' ELSE 'NOT_APPLICABLE' END WHEN l_linestatus = 'F' THEN 'PARTIAL' ELSE 'SUCCESS' END AS status,
  CASE WHEN l_discount > 0.08 THEN 3 WHEN l_discount > 0.05 THEN 2 WHEN l_discount > 0.02 THEN 1 ELSE 0 END AS risk, l_tax > 0.07 AS low FROM lineitem),
-s AS (SELECT assessment_id, max(CASE WHEN status IN ('SUCCESS', 'PARTIAL') THEN risk END) AS risk, count_if(status <> 'NOT_APPLICABLE') AS applicable, count_if(status IN ('SUCCESS', 'PARTIAL')) AS executed, bool_or(status = 'FAILED') AS failed, bool_or(status = 'PARTIAL') AS part, bool_or(status IN ('SUCCESS', 'PARTIAL') AND low) AS low FROM r GROUP BY 1),
+s AS (SELECT assessment_id, max(CASE WHEN status IN ('SUCCESS', 'PARTIAL') THEN risk END) AS risk, count_if(status <> 'NOT_APPLICABLE') AS applicable, count_if(status IN ('SUCCESS', 'PARTIAL')) AS executed, bool_or(status = 'FAILED') AS failed, bool_or(status = 'PARTIAL') AS part, bool_or(status IN ('SUCCESS', 'PARTIAL') AND low) AS low, count_if(status NOT IN ('SKIPPED', 'NOT_APPLICABLE', 'UNAVAILABLE')) AS ran FROM r GROUP BY 1),
 c AS (SELECT *, CASE WHEN applicable = 0 THEN 1.0 ELSE executed / applicable END AS coverage FROM s),
-v AS (SELECT *, CASE WHEN coverage = 1 AND NOT failed AND NOT low AND NOT part THEN 'HIGH' WHEN coverage > 0.5 AND NOT failed AND NOT low THEN 'MODERATE' ELSE 'LOW' END AS conf FROM c)
+v AS (SELECT *, CASE WHEN ran = 0 THEN 'LOW' WHEN coverage = 1 AND NOT failed AND NOT low AND NOT part THEN 'HIGH' WHEN coverage > 0.5 AND NOT failed AND NOT low THEN 'MODERATE' ELSE 'LOW' END AS conf FROM c)
 SELECT assessment_id, CASE risk WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 1 THEN 'LOW' WHEN 0 THEN 'NONE' END AS overall_risk, applicable, executed, round(coverage, 6) AS coverage, conf AS overall_confidence,
 CASE WHEN assessment_id % 50 = 0 THEN 'REJECT / AUDIT CHAIN COMPROMISED' WHEN risk = 3 THEN 'QUARANTINE / REJECT ARTIFACT' WHEN risk = 2 THEN 'INVESTIGATE / ANALYST REVIEW REQUIRED' WHEN risk = 1 THEN 'ACCEPT WITH MONITORING' WHEN coverage < 0.6 OR conf IN ('LOW', 'MODERATE') THEN 'PROVISIONAL ACCEPTANCE / INCOMPLETE COVERAGE' ELSE 'ACCEPT / NO INTEGRITY ANOMALY DETECTED' END AS disposition FROM v""",
 }

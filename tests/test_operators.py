@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaya.functions import canonical, hashes, text
-from assaya.operators import battery, ledger, models, provenance, reports, search, similarity, statistics, verdicts
+from assaya.operators import battery, evidence, ledger, models, provenance, reports, search, similarity, statistics, verdicts
 from assaya.operators.graph import components
 from assaya.sources import annotations, images
 
@@ -220,9 +220,42 @@ def test_contributors(spark):
 
 
 def test_coverage_and_confidence(spark):
+    """Confidence is LOW where nothing ran, whatever the coverage; so the disposition isn't an acceptance."""
     rows = [("a", "SUCCESS", "LOW", "HIGH", True), ("a", "SKIPPED", None, None, False), ("b", "FAILED", "HIGH", "LOW", True), ("b", "SUCCESS", "MEDIUM", "HIGH", True), ("c", "SKIPPED", None, None, False), ("d", "PARTIAL", "NONE", "HIGH", True)]
-    out = {r[0]: (r["overall_risk"], r["coverage"], r["overall_confidence"]) for r in verdicts.assessment_summary(spark.createDataFrame(rows, "assessment_id string, status string, risk_level string, confidence_level string, applicable boolean")).collect()}
-    assert out == {"a": ("LOW", 1.0, "HIGH"), "b": ("MEDIUM", 0.5, "LOW"), "c": (None, 1.0, "HIGH"), "d": ("NONE", 1.0, "MODERATE")}
+    rows += [("e", "NOT_APPLICABLE", None, None, False)] * 2 + [("f", "FAILED", None, None, True), ("g", "UNAVAILABLE", None, None, True), ("h", "SUCCESS", "NONE", "LOW", True), ("i", "SUCCESS", "NONE", "HIGH", True), ("j", None, None, None, None)]
+    rows += [("k", "SUCCESS", "NONE", "HIGH", True), ("k", "UNAVAILABLE", None, None, True)]
+    sums = verdicts.assessment_summary(spark.createDataFrame(rows, "assessment_id string, status string, risk_level string, confidence_level string, applicable boolean"))
+    advice = verdicts.disposition(F.col("overall_risk"), F.col("overall_confidence"), F.col("coverage"), F.lit(True))
+    out = {r[0]: (r["overall_risk"], r["coverage"], r["overall_confidence"], r["advice"]) for r in sums.withColumn("advice", advice).collect()}
+    watch, part, review, accept = verdicts.DISPOSITIONS[3], verdicts.DISPOSITIONS[4], verdicts.DISPOSITIONS[2], verdicts.DISPOSITIONS[5]
+    assert out == {
+        "a": ("LOW", 1.0, "HIGH", watch), "b": ("MEDIUM", 0.5, "LOW", review), "c": (None, 1.0, "LOW", part), "d": ("NONE", 1.0, "MODERATE", part), "e": (None, 1.0, "LOW", part), "f": (None, 0.0, "LOW", part),
+        "g": (None, 0.0, "LOW", part), "h": ("NONE", 1.0, "LOW", part), "i": ("NONE", 1.0, "HIGH", accept), "j": (None, 1.0, "LOW", part), "k": ("NONE", 0.5, "LOW", part),
+    }
+
+
+def test_payloads_of_every_shape(spark):
+    """Strings, numbers and objects under the same keys; what isn't of the shape is passed over."""
+    cases = {
+        '{"sample_ids": ["a", 5, null]}': ["a", "5"], '{"sample_id": 7}': ["7"], '{"sample_1": {"sample_id": "a"}, "sample_2": {"sample_id": "b", "x": 1}}': ["a", "b"],
+        '{"sample_1": "a", "sample_2": ["b"]}': [], '{"affected_samples": [{"sample_id": "s1", "file_name": "f"}, "s2", {"file_name": "g"}], "sample_id": "s3"}': ["s3", "s1"],
+        '{"sample_ids": {"sample_id": "a"}}': [], "[1, 2]": [], "no json": [], "{}": [],
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "j string").select("j", evidence.referenced(F.col("j")).alias("r"))
+    assert {r["j"]: r["r"] for r in df.collect()} == {**cases, None: None} or {r["j"]: r["r"] or [] for r in df.collect()} == {**cases, None: []}
+
+
+def test_samples_shown_fall_to_the_next_shape(spark):
+    samples = spark.createDataFrame([("s1", 1, "a.png"), ("s2", 1, "b.png"), ("s3", 2, "a.png")], "sample_id string, dataset_id int, file_name string")
+    cases = [
+        (1, 1, '{"sample_ids": ["gone"], "file_names": ["a.png", "gone.png"]}'), (2, 2, '{"file_names": ["a.png"]}'), (3, 1, '{"file_names": ["gone"], "affected_samples": [{"sample_id": "gone", "file_name": "b.png"}, {"sample_id": "s3"}, "s1"]}'),
+        (4, 1, '{"sample_1": {"sample_id": "s1"}, "sample_2": {"sample_id": "s2"}}'), (5, 1, '{"sample_id": "s2"}'), (6, 1, '{"sample_id": 2}'), (7, 1, "no json"), (8, 1, None), (9, 1, '{"sample_ids": ["s1", "gone", "s1"], "sample_id": "s2"}'),
+        (10, 1, '{"sample_ids": [' + ", ".join(['"gone"'] * 8) + ', "s1"]}'),
+    ]
+    out = evidence.shown_samples(spark.createDataFrame(cases, "evidence_id int, dataset_id int, data_json string"), samples).collect()
+    assert sorted(tuple(r) for r in out) == [
+        (1, "file_names", 0, "s1"), (2, "file_names", 0, "s3"), (3, "affected_samples", 0, "s2"), (3, "affected_samples", 1, "s3"), (5, "sample_id", 0, "s2"), (9, "sample_ids", 0, "s1"), (9, "sample_ids", 2, "s1"),
+    ]
 
 
 def test_limitations_keep_their_order(spark):

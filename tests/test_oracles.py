@@ -44,6 +44,5 @@ def test_every_query_is_registered_once():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_queries_without_sql_run(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_its_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
