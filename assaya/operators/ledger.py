@@ -1,4 +1,4 @@
-"""Hash chains of audit events: building, and verification with windows."""
+"""Hash chains of audit events: building, and verification in ranges."""
 
 import hashlib
 
@@ -6,7 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
-from pyspark.sql.window import Window
+
+from assaya.operators.ranges import running
+from assaya.shared import cut
 
 #: Fixed value: what the first event of a chain names as its predecessor.
 GENESIS = "0" * 64
@@ -54,21 +56,23 @@ def build_chain(events: DataFrame, key: str = "chain_id") -> DataFrame:
     return rows.mapInArrow(walk, schema)
 
 
+def _checked(events: DataFrame, key: str, *more: Column) -> DataFrame:
+    """(key, position, failure, more): each event with its place from 0 and what is wrong with it, if anything. A chain is
+    checked in ranges of its order, each handed the last hash of the range before."""
+    rows = events.select(key, "seq", "previous_hash", "current_hash", (event_hash() != F.col("current_hash")).alias("_forged"), *more)
+    rows = running(rows, [key], ["seq"], sums={"position": F.lit(1).cast("long")}, lasts={"_last": F.col("current_hash")})
+    expected = F.when(F.col("_last").isNull(), GENESIS).otherwise(F.col("_last.v"))
+    failure = F.when(F.col("_forged"), "hash_mismatch").when(~F.col("previous_hash").eqNullSafe(expected), "linkage_broken")
+    return rows.withColumn("failure", failure).drop("seq", "previous_hash", "current_hash", "_forged", "_last")
+
+
 def verify_chain(events: DataFrame, key: str = "chain_id") -> DataFrame:
     """One row per chain: events_checked, valid, first_failure (its position from 0), failure_type.
 
     At each event a wrong hash is tested before a wrong link; the first failure ends the chain's check.
     """
-    order = Window.partitionBy(key).orderBy("seq")
-    rows = events.select(
-        key,
-        (F.row_number().over(order) - 1).alias("position"),
-        F.when(event_hash() != F.col("current_hash"), "hash_mismatch")
-        .when(~F.col("previous_hash").eqNullSafe(F.lag("current_hash", 1, GENESIS).over(order)), "linkage_broken")
-        .alias("failure"),
-    )
     first = F.min(F.when(F.col("failure").isNotNull(), F.struct("position", "failure")))
-    return rows.groupBy(key).agg(F.count("*").alias("events_checked"), first.alias("_f")).select(
+    return _checked(events, key).groupBy(key).agg(F.count("*").alias("events_checked"), first.alias("_f")).select(
         key, "events_checked", F.col("_f").isNull().alias("valid"), F.col("_f.position").alias("first_failure"), F.col("_f.failure").alias("failure_type")
     )
 
@@ -76,15 +80,10 @@ def verify_chain(events: DataFrame, key: str = "chain_id") -> DataFrame:
 def payload_failures(events: DataFrame, key: str = "chain_id") -> DataFrame:
     """(key, position) of events whose payload doesn't have its digest, before the chain's first break or, where that
     chain has none, anywhere. Needs a ``payload`` column of canonical text."""
-    order = Window.partitionBy(key).orderBy("seq")
-    rows = events.select(
-        key,
-        (F.row_number().over(order) - 1).alias("position"),
-        ((event_hash() != F.col("current_hash")) | ~F.col("previous_hash").eqNullSafe(F.lag("current_hash", 1, GENESIS).over(order))).alias("broken"),
-        (F.sha2("payload", 256) != F.col("payload_digest")).alias("forged"),
-    )
-    stop = F.min(F.when(F.col("broken"), F.col("position"))).over(Window.partitionBy(key))
-    return rows.withColumn("_stop", stop).filter("forged and (_stop is null or position < _stop)").select(key, "position")
+    rows = cut(_checked(events, key, (F.sha2("payload", 256) != F.col("payload_digest")).alias("_payload")))
+    stops = rows.filter("failure is not null").groupBy(key).agg(F.min("position").alias("_stop")).withColumnRenamed(key, "_key")
+    forged = rows.filter("_payload").join(stops, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return forged.filter("_stop is null or position < _stop").select(key, "position")
 
 
 def verify_subset(events: DataFrame, key: str = "assessment_id") -> DataFrame:

@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from assaya.operators.ranges import running
 
 
 def replays(candidates: DataFrame, known: DataFrame) -> DataFrame:
@@ -19,8 +20,8 @@ def sequence_anomalies(arrivals: DataFrame) -> DataFrame:
     """(manifest_id, anomaly, gap_size) over arrivals (stream, arrival, sequence, manifest_id): in order of arrival each is
     held against 1 plus the largest sequence before it; below is ``sequence_regression``, above ``sequence_gap``. The
     first arrival of a stream, and one without a sequence, is neither."""
-    before = Window.partitionBy("stream").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    rows = arrivals.withColumn("_expected", F.max("sequence").over(before) + 1)
+    rows = running(arrivals.select("stream", "arrival", "sequence", "manifest_id"), ["stream"], ["arrival"], maxima={"_most": F.col("sequence")})
+    rows = rows.withColumn("_expected", F.col("_most") + 1)
     kind = F.when(F.col("sequence") < F.col("_expected"), "sequence_regression").when(F.col("sequence") > F.col("_expected"), "sequence_gap")
     gap = F.when(F.col("sequence") > F.col("_expected"), F.col("sequence") - F.col("_expected"))
     return rows.select("manifest_id", kind.alias("anomaly"), gap.alias("gap_size")).filter("anomaly is not null")
@@ -28,9 +29,8 @@ def sequence_anomalies(arrivals: DataFrame) -> DataFrame:
 
 def nonce_reuse(arrivals: DataFrame) -> DataFrame:
     """(manifest_id, first_manifest) of arrivals whose nonce an earlier one had."""
-    order = Window.partitionBy("nonce").orderBy("arrival")
-    rows = arrivals.select("manifest_id", F.row_number().over(order).alias("_n"), F.first("manifest_id").over(order).alias("first_manifest"))
-    return rows.filter("_n > 1").select("manifest_id", "first_manifest")
+    rows = running(arrivals.select("nonce", "arrival", "manifest_id"), ["nonce"], ["arrival"], firsts={"_first": F.col("manifest_id")})
+    return rows.filter("_first is not null").select("manifest_id", F.col("_first.v").alias("first_manifest"))
 
 
 def bindings(manifests: DataFrame, actual: DataFrame) -> DataFrame:

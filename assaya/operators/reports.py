@@ -5,10 +5,11 @@ Exports are rows, one JSON document for each part, sorted so that a reader meets
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from assaya.functions.canonical import sanitized
 from assaya.operators.ledger import GENESIS, event_hash
+from assaya.operators.ranges import running
+from assaya.shared import cut
 
 #: For each check in the order of its plan, the asset that it needs, then what a gap in it says: the capability
 #: it asks for, what isn't assessed without it, and what to do.
@@ -115,9 +116,9 @@ def audit_export(events: DataFrame, payload: Column, key: str = "assessment_id")
     """(key, sequence, part, document): per assessment a ``summary`` with sequence 0, and each event with its sequence from 1,
     all sanitized. ``events``: key, seq, the hashed fields and current_hash; ``payload``: each one's as JSON text, null for
     none."""
-    order = Window.partitionBy(key).orderBy("seq")
     fields = ["event_id", "event_type", "timestamp_utc", "actor", "current_hash", "previous_hash", "payload_digest"]
-    rows = events.select(key, *[f for f in fields if f != key], "seq", payload.alias("payload"), F.row_number().over(order).cast("long").alias("sequence"), (event_hash() != F.col("current_hash")).alias("_bad"))
+    rows = events.select(key, *[f for f in fields if f != key], "seq", payload.alias("payload"), (event_hash() != F.col("current_hash")).alias("_bad"))
+    rows = cut(running(rows, [key], ["seq"], sums={"_before": F.lit(1).cast("long")})).withColumn("sequence", F.col("_before") + 1)
     plain = F.to_json(F.struct(*sorted([*fields, "sequence"])), {"ignoreNullFields": "false"})
     document = F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), F.lit(',"payload":'), F.coalesce("payload", F.lit("null")), F.lit("}"))
     each = rows.select(key, "sequence", F.lit("event").alias("part"), sanitized(document).alias("document"))

@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 
 from assaya.functions.hashes import simhash
 from assaya.operators.ledger import build_chain
+from assaya.operators.ranges import running
 from assaya.shared import cut, table
 
 
@@ -84,9 +85,8 @@ features AS (UNPIVOT wide ON n_chars, bytes_per_char, space_share, digit_share,
 def manifests(spark, sf_dir) -> DataFrame:
     """(manifest_id, stream, arrival, nonce, sequence, three digests): events; ``error`` events aren't numbered, so their
     neighbours show gaps."""
-    events = table(spark, sf_dir, "events")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = events.withColumn("_n", F.row_number().over(order))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "props")
+    rows = running(events, ["user_id"], ["ts", "event_id"], sums={"_before": F.lit(1).cast("long")}).withColumn("_n", F.col("_before") + 1)
     return rows.filter("event_type <> 'error'").select(
         F.col("event_id").alias("manifest_id"), F.col("user_id").alias("stream"), F.struct("ts", "event_id").alias("arrival"),
         F.md5(F.concat_ws("|", "user_id", "props")).alias("nonce"), F.col("_n").cast("long").alias("sequence"),

@@ -8,6 +8,7 @@ from assaya.functions import text as tx
 from assaya.functions.hashes import hamming
 from assaya.operators import evidence as ev
 from assaya.operators import search, similarity, verdicts
+from assaya.operators.ranges import running
 from assaya.plans.bindings import HASHES_SQL, samples
 from assaya.shared import cut, table
 
@@ -99,9 +100,8 @@ def hash_distances(spark, sf_dir) -> DataFrame:
 
 def event_positions(spark, sf_dir) -> DataFrame:
     """Position from 0, sequence from 1 and whether it is the first, of each user's events."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    n = F.row_number().over(order)
-    return table(spark, sf_dir, "events").select("event_id", (n - 1).cast("long").alias("position"), n.cast("long").alias("sequence"), (n == 1).alias("genesis"))
+    rows = running(table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], sums={"position": F.lit(1).cast("long")})
+    return rows.select("event_id", "position", (F.col("position") + 1).alias("sequence"), (F.col("position") == 0).alias("genesis"))
 
 
 def contributor_overlap(spark, sf_dir) -> DataFrame:

@@ -7,9 +7,10 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from assaya.functions import canonical, hashes, text
-from assaya.operators import battery, evidence, ledger, models, provenance, reports, search, similarity, statistics, verdicts
+from assaya.operators import battery, evidence, ledger, models, provenance, ranges, reports, search, similarity, statistics, verdicts
 from assaya.operators.graph import components
 from assaya.sources import annotations, images
 
@@ -447,3 +448,61 @@ def test_search(spark):
     assert df.filter(search.contains_any([F.col("t")], " 50% ")).count() == 1
     assert df.filter(search.contains_any([F.col("t")], "  ")).count() == 0
     assert search.facet(df, {"t": "50 off", "x": "all"}).count() == 1
+
+
+@pytest.fixture
+def many_tasks(spark):
+    """Small inputs stay in as many tasks as there are shuffle partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_hot_key_is_split_over_tasks(spark, many_tasks):
+    rows = spark.range(4000).select(F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, F.concat(F.lit("k"), F.col("id") % 70)).alias("k"), ((F.col("id") * 7919) % 4001).alias("at"), F.when(F.col("id") % 7 > 0, (F.col("id") * 31) % 1009).alias("x"))
+    sizes = [r["count"] for r in ranges.ranged(rows, ["k"], ["at"]).groupBy("_range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * 4000 / 8
+    out = ranges.running(rows, ["k"], ["at"], sums={"n": F.lit(1), "s": F.col("x")}, maxima={"m": F.col("x")}, firsts={"f": F.col("x")}, lasts={"l": F.col("x")})
+    order = Window.partitionBy("k").orderBy("at")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    want = rows.select(
+        "k", "at", "x", (F.row_number().over(order) - 1).alias("n"), F.coalesce(F.sum("x").over(before), F.lit(0)).alias("s"), F.max("x").over(before).alias("m"),
+        F.first(F.struct(F.col("x").alias("v"))).over(before).alias("f"), F.lag(F.struct(F.col("x").alias("v"))).over(order).alias("l"),
+    )
+    assert sorted(map(str, map(tuple, out.select(*want.columns).collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert ranges.running(rows.limit(0), ["k"], ["at"], sums={"n": F.lit(1)}).collect() == []
+
+
+def test_one_chain_over_many_tasks(spark, many_tasks):
+    """A single chain of all assessments: forged, cut and missing events are found at their places, across ranges."""
+    rows = spark.range(2000).select(F.lit("all").alias("chain_id"), F.col("id").alias("position"), *[F.concat(F.lit(f[:2]), F.col("id")).alias(f) for f in ledger.FIELDS if f not in ("previous_hash", "payload_digest")], F.concat(F.lit('{"n":'), "id", F.lit("}")).alias("payload"))
+    built = ledger.build_chain(rows.withColumn("payload_digest", F.sha2("payload", 256)))
+    chain = built.withColumn("payload", F.concat(F.lit('{"n":'), "seq", F.lit("}"))).checkpoint()
+
+    def check(events):
+        return tuple(ledger.verify_chain(events).first())[1:]
+
+    assert check(chain) == (2000, True, None, None)
+    assert check(chain.filter("seq <> 777")) == (1999, False, 777, "linkage_broken")
+    assert check(chain.filter("seq > 0")) == (1999, False, 0, "linkage_broken")
+    forged = chain.withColumn("actor", F.when(F.col("seq").isin(1500, 300), "x").otherwise(F.col("actor")))
+    assert check(forged) == (2000, False, 300, "hash_mismatch")
+    bad = forged.withColumn("payload", F.when(F.col("seq").isin(5, 299, 300, 301, 1999), "{}").otherwise(F.col("payload")))
+    assert sorted(r["position"] for r in ledger.payload_failures(bad).collect()) == [5, 299]
+
+
+def test_a_hot_stream_is_split(spark, many_tasks):
+    n = 3000
+    rows = [(i, "hot" if i % 10 else None, (i * 7) % n, (i * 13) % 500 if i % 11 else None, f"n{i % 40}") for i in range(n)]
+    arrivals = spark.createDataFrame(rows, "manifest_id long, stream string, arrival long, sequence long, nonce string")
+    most, first, odd, again = {}, {}, set(), set()
+    for m, stream, _, sequence, nonce in sorted(rows, key=lambda r: r[2]):
+        if sequence is not None:
+            if stream in most and sequence != most[stream] + 1:
+                odd.add((m, "sequence_gap" if sequence > most[stream] + 1 else "sequence_regression", sequence - most[stream] - 1 if sequence > most[stream] + 1 else None))
+            most[stream] = max(most.get(stream, -1), sequence)
+        if nonce in first:
+            again.add((m, first[nonce]))
+        first.setdefault(nonce, m)
+    assert {tuple(r) for r in provenance.sequence_anomalies(arrivals).collect()} == odd
+    assert {tuple(r) for r in provenance.nonce_reuse(arrivals).collect()} == again
