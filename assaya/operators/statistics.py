@@ -118,8 +118,9 @@ def convergence(clean_diversity: Column, perturbed_diversity: Column, shift: Col
     return ratio, (clean_diversity >= 0.05) & (ratio < 0.15) & (shift > 2 * F.greatest(control_shift, F.lit(0.01)))
 
 
-def quantiles(rows: DataFrame, key: str, value: str, shares: tuple[float, ...]) -> DataFrame:
-    """(key, q0, q1, ...): exact quantiles of each key's non-null values, with linear interpolation between ranks.
+def quantiles(rows: DataFrame, key: str, value: str, shares: tuple[float, ...], between: bool = True) -> DataFrame:
+    """(key, q0, q1, ...): exact quantiles of each key's non-null values, with linear interpolation between ranks, or
+    (not ``between``) the least value that has at least the share of all at or below it.
 
     Equal values are counted first, then ranges of (key, value) are dealt over tasks; the ranges' totals, a row for each key
     in each, give every range its first rank. No task holds a key's values but those of its range.
@@ -137,10 +138,10 @@ def quantiles(rows: DataFrame, key: str, value: str, shares: tuple[float, ...])
     def at(rank):
         return F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col("_v")))
 
-    ranks = [F.lit(q) * (F.col("_total") - 1) for q in shares]
+    ranks = [F.lit(q) * (F.col("_total") - 1) if between else F.greatest(F.ceil(F.lit(q) * F.col("_total")) - 1, F.lit(0)) for q in shares]
     found = placed.groupBy("_k").agg(F.max("_total").alias("_total"), *[x for i, r in enumerate(ranks) for x in (at(F.floor(r)).alias(f"_lo{i}"), at(F.ceil(r)).alias(f"_hi{i}"))])
-    between = [F.col(f"_lo{i}") + (r - F.floor(r)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i, r in enumerate(ranks)]
-    return found.select(F.col("_k").alias(key), *[b.alias(f"q{i}") for i, b in enumerate(between)])
+    values = [F.col(f"_lo{i}") + (r - F.floor(r)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i, r in enumerate(ranks)]
+    return found.select(F.col("_k").alias(key), *[v.alias(f"q{i}") for i, v in enumerate(values)])
 
 
 QUARTILES = (0.25, 0.5, 0.75)
