@@ -153,7 +153,7 @@ def search(
     """(query_id, rank, vec_id, score): for each query id the ``k`` nearest others found, by inner product in doubles.
 
     ``queries`` are rows of the same kind; a query's candidates are all rows with another id. Equal scores go by the
-    smaller id. Rows that repeat an id are candidates each; a query id is searched once, by one of its vectors. Unusable
+    smaller id. Rows that repeat an id are candidates each; a query id is searched once, by the least of its vectors (the first component counts most). Unusable
     rows (see ``usable``) take no part. The router is fitted on at most ``most`` rows, all rows are indexed. Parts are
     searched in the order of their probability: those that ``recall`` asks for, and further ones until they hold ``k``
     candidates; so fewer than ``k`` rows come back only where there are fewer candidates.
@@ -165,7 +165,7 @@ def search(
         return spark.createDataFrame([], result)
     router, scale, probes = fit(rows, parts, most, recall, **settings)
     parts = len(router.b2)
-    asked = usable(queries, id_col, vec_col).dropDuplicates(["id"])
+    asked = usable(queries, id_col, vec_col).groupBy("id").agg(F.min("vec").alias("vec"))
     own = rows.join(asked.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("own"))
     asked = cut(asked.join(own, "id", "left").select("id", "vec", F.coalesce("own", F.lit(0)).alias("own")))
 

@@ -178,8 +178,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         parts = [many(texts.iloc[lo : lo + 512]) for lo in range(0, len(texts), 512)]
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": [], "score": []})
 
-    named = docs.select(F.col(id_col), *keep, guess(F.col(text_col)).alias("_g"))
-    return named.select(id_col, *keep, "_g.lang_pred", "_g.score")
+    named = docs.select(F.struct(F.col(id_col), *keep).alias("_kept"), guess(F.col(text_col)).alias("_g"))
+    return named.select("_kept.*", "_g.lang_pred", "_g.score")
 
 
 #: ASCII letters and bytes of longer characters.

@@ -171,12 +171,13 @@ def mix(
     ``anchor``, so many that this domain's expected total stays as it is. With ``keep_anchor`` documents whose most
     probable domain is the anchor have a rate of 1 or more, and the fit is made within these bounds. Without labels of the domains every rate is 1.
     A null or empty text has no tokens, so no bearing on totals, and gets its probabilities' rate like any other. Rows
-    that repeat an id are alike. A null id has copies by the same rule.
+    that repeat an id are judged each by its own text; of an id's labels the domain first by name counts. A null id has
+    copies by the same rule.
     """
     domains = list(weights)
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     marks = labels.filter(F.col(domain_col).isin(domains)).select(F.col(id_col).alias("_id"), F.col(domain_col).alias("domain"))
-    marks = marks.filter(F.col("_id").isNotNull()).dropDuplicates(["_id"])
+    marks = marks.filter(F.col("_id").isNotNull()).groupBy("_id").agg(F.min("domain").alias("domain"))
     marks = first_by_hash(marks, F.xxhash64(F.lit(seed), "_id"), most_labelled, "_id")
     marks = stored(marks, "labelled")
     rows = cut(features(docs, lexicon(docs, marks, words, least)))
@@ -203,8 +204,8 @@ def label_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", **settings) -> DataFrame:
-    """The input's rows and columns, each row as often as its copies say."""
-    copies = mix(docs, labels, weights, id_col, **settings).select(F.col(id_col).alias("_copied"), F.col("copies").alias("_copies"))
-    copies = copies.filter("_copies > 0").dropDuplicates(["_copied"])
-    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_copied")))
-    return joined.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*docs.columns)
+    """The input's rows and columns, each row as often as its copies say; of rows that repeat an id, as the most of theirs."""
+    copies = mix(docs, labels, weights, id_col, **settings).groupBy(F.col(id_col).alias("_copied")).agg(F.max("copies").alias("_copies"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.struct("*").alias("_row"))
+    joined = rows.join(copies.filter("_copies > 0"), F.col("_id").eqNullSafe(F.col("_copied")))
+    return joined.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select("_row.*")

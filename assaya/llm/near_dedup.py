@@ -358,8 +358,10 @@ def _likely(pairs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The input's rows and columns, one row of each group: that of the least id. Rows that repeat a kept id are one; rows
-    with a null id stay."""
+    """The input's rows and columns, one row of each group: that of the least id. Of rows that repeat a kept id that stays
+    whose text has the least hash (ties: whose other columns come first as JSON); rows with a null id all stay."""
     kept = group(docs, id_col, text_col, **settings).filter(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_kept")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
+    rows = docs.select(F.col(id_col).alias("_id"), F.struct(F.xxhash64(text_col).alias("hash"), others.alias("others")).alias("_order"), F.struct("*").alias("_row"))
+    named = rows.filter("_id is not null").join(kept, F.col("_id") == F.col("_kept"), "left_semi").groupBy("_id").agg(F.min_by("_row", "_order").alias("_row"))
+    return named.select("_row").unionByName(rows.filter("_id is null").select("_row")).select("_row.*")

@@ -10,6 +10,7 @@ together hold it.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaya.operators.statistics import quantiles
 from assaya.shared import cut, stored
 
 #: Fixed values of the base rule.
@@ -132,13 +133,9 @@ def thresholds(labelled: DataFrame, allowed: float, error: float, grid: int) ->
         part.alias("_half"),
         F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("value")) for s in SIGNALS])).alias("_s"),
     ).select("_stratum", "_good", "_half", "_s.*")
-    ranks = F.array(*[F.lit(0.5 + 0.5 * i / grid) for i in range(grid)])
-    proposed = (
-        long.filter("_half = 0")
-        .groupBy("_stratum", "signal")
-        .agg(F.percentile_approx("value", ranks, F.lit(10000)).alias("_cuts"))
-        .select("_stratum", "signal", F.array_distinct("_cuts").alias("_cuts"))
-    )
+    first_half = long.filter("_half = 0").select(F.struct("_stratum", "signal").alias("_of"), "value")
+    cuts = quantiles(first_half, "_of", "value", tuple(0.5 + 0.5 * i / grid for i in range(grid)), between=False)
+    proposed = cuts.select("_of.*", F.array_distinct(F.array(*[f"q{i}" for i in range(grid)])).alias("_cuts"))
     proposed = stored(proposed, "cutoffs")
     tests = proposed.agg(F.coalesce(F.sum(F.size("_cuts")), F.lit(1))).first()[0]
     over = long.withColumnRenamed("_stratum", "_s2").withColumnRenamed("signal", "_g2")

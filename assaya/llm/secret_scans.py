@@ -190,6 +190,7 @@ def _scanned(docs: DataFrame, rules, id_col: str, text_col: str) -> DataFrame:
         F.xxhash64("_text").alias("_hash"),
         F.flatten(F.array(*[matches(n, r) for n, r in enumerate(rules)])).alias("_found"),
     )
+    rows = stored(rows, "secret-matches")  # the numbers hold from here on, whichever task is run again
     rows = rows.select("_row", "_id", "_hash", F.posexplode_outer("_found").alias("_pos", "_m")).select("_row", "_id", "_hash", "_pos", "_m.*")
     so_far = Window.partitionBy("_row", "kind_no").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     kinds = F.array(*[F.lit(r.kind) for r in rules])
@@ -231,10 +232,10 @@ def redact(docs: DataFrame, rules=BASE_RULES + MORE_RULES, id_col: str = "doc_id
     overlap are replaced as one. Other texts, null ones too, stay as they are."""
     found = merged(_scanned(docs, rules, id_col, text_col), ["_id", "_hash"])
     found = stored(found.withColumnsRenamed({"_id": "_found", "_hash": "_found_hash", "parts": "_parts"}), "secret-found")
-    same = F.col(id_col).eqNullSafe(F.col("_found")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_found_hash"))
-    rows = docs.join(found, same, "left")
-    text = F.when(F.col("_parts").isNotNull(), without(F.col(text_col), F.col("_parts"))).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).select(*docs.columns)
+    same = F.col("_id").eqNullSafe(F.col("_found")) & (F.xxhash64(F.coalesce(F.col("_text"), F.lit(""))) == F.col("_found_hash"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct("*").alias("_row")).join(found, same, "left")
+    text = F.when(F.col("_parts").isNotNull(), without(F.col("_text"), F.col("_parts"))).otherwise(F.col("_text"))
+    return rows.select(*[(text if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def digest(scanned: DataFrame, rules=BASE_RULES + MORE_RULES, id_col: str = "doc_id") -> DataFrame:

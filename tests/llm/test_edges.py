@@ -142,20 +142,52 @@ def test_few_in_the_probed_parts(spark):
     assert {r["query_id"]: r["count"] for r in out} == {i: 150 for i in range(0, 400, 20)}
 
 
+CLASHES = ("score", "lang_pred", "_g", "_kept", "_found", "_parts", "_copies", "_copied", "_row", "_id", "_text", "_order", "row", "held", "a.b")
+
+
 def test_stages_of_the_pipeline_on_edge_rows(spark, docs):
+    """Columns of any name pass through every stage with their values."""
     import corpus_pipeline
 
-    columns = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").columns
-    shaped = docs.withColumn("n_chars", F.length("text").cast("long")).select(columns)
+    shaped = docs.withColumn("n_chars", F.length("text").cast("long")).select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id")).alias(c) for c in CLASHES])
+    columns, settings = shaped.columns, {k: spark.conf.get(k) for k in corpus_pipeline.BATCH}
     for start in (shaped, shaped.limit(0)):
         rows = start
         for name, stage in corpus_pipeline.STAGES:
             rows = stage(spark, rows, "/root/testdata/sf0.001").checkpoint()
             if name != "pieces":
                 assert rows.columns == columns
+                assert all(r[c] is None and r["doc_id"] is None or r[c] == f"{c} {r['doc_id']}" for r in rows.collect() for c in CLASHES)
         assert rows.count() >= (4 if start is shaped else 0)
         if start is shaped:
             ids = [r["doc_id"] for r in rows.collect()]
             assert {0, 5, 7} <= set(ids) and not {1, 2, 3, 4, 6} & set(ids)  # 6 is a copy of 0, the others have no letter
         else:
             assert rows.count() == 0
+    for setting, value in settings.items():
+        spark.conf.set(setting, value)
+
+
+def test_a_run_leaves_no_setting_changed(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    before = {k: spark.conf.get(k) for k in corpus_pipeline.BATCH}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert {k: spark.conf.get(k) for k in corpus_pipeline.BATCH} == before
+
+
+def test_conflicting_repeats_have_one_outcome(spark):
+    """Of rows that repeat an id, and of an id's labels, the stated one counts, however rows are dealt."""
+    texts = [(1, "one two three four five six", "x"), (1, "seven eight nine ten eleven twelve", "y"), (1, "one two three four five six", "w"), (2, "a b c d e f g", "z")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, other string")
+    kept = {tuple(sorted(map(tuple, near_dedup.deduplicated(docs.repartition(n).orderBy(F.rand(n))).collect()))) for n in (1, 2, 3)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 2 and not any("y" == r[2] and "w" == r[1] for r in next(iter(kept)))
+    labels = spark.createDataFrame([(1, "low"), (1, "clean"), (2, "low")], "doc_id long, domain string")
+    rates = {tuple(sorted((r["doc_id"], round(r["rate"], 6)) for r in mixing.mix(docs, labels.repartition(n), {"clean": 0.5, "low": 0.5}, least=1).collect())) for n in (1, 2, 3)}
+    assert len(rates) == 1
+    vectors = spark.createDataFrame([(20, [0.0, 1.0]), (20, [1.0, 0.0]), (3, [5.0, 0.0]), (4, [0.0, 3.0])], "vec_id long, embedding array<double>")
+    found = {tuple((r["vec_id"], r["score"]) for r in sorted(ann.search(vectors, vectors.filter("vec_id = 20").repartition(n), k=2).collect(), key=lambda r: r["rank"])) for n in (1, 2)}
+    assert found == {((4, 3.0), (3, 0.0))}
