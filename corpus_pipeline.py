@@ -13,21 +13,23 @@ TOKENIZERS = os.environ.get("ASSAYA_TOKENIZERS", "/opt/tokenizers")
 WEIGHTS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
 
 
-#: Rows that go to a Python worker at once. They are whole texts, so Spark's own number would be many megabytes.
-BATCH_ROWS = "1000"
+#: What goes to a Python worker at once, at most. Spark takes it from the session when a stage runs, so a stage that is
+#: called alone leaves it set; ``run`` puts it back.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def _bounded(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for setting, value in BATCH.items():
+        spark.conf.set(setting, value)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told (``und``: no text, or no letter in it); ``lang`` is what was found."""
     _bounded(spark)
-    rows = docs.withColumn("_held", language_id.held_out("doc_id"))
-    model = language_id.fit(rows.filter("not _held"))
-    named = language_id.predict(docs, model, keep=tuple(c for c in docs.columns if c not in ("doc_id", "lang")))
-    return named.filter("lang_pred <> 'und'").withColumnRenamed("lang_pred", "lang").select(*docs.columns)
+    model = language_id.fit(docs.select("text", "lang", language_id.held_out("doc_id").alias("held")).filter("not held"))
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    named = language_id.predict(rows, model, keep=("row",)).filter("lang_pred <> 'und'")
+    return named.select(*[F.col("lang_pred" if c == "lang" else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +68,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    before = {setting: spark.conf.get(setting) for setting in BATCH}
+    try:
+        for name, stage in STAGES:
+            path = scratch_path(spark, f"stage-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        for setting, value in before.items():
+            spark.conf.set(setting, value)
     return docs
