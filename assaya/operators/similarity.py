@@ -3,6 +3,8 @@
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +13,8 @@ from assaya.functions.hashes import bits, hamming
 from assaya.operators.graph import components
 from assaya.shared import cut
 
+#: Hashes that a task packs by their keys at a time.
+PACK = 4096
 #: Centroids in one row that each doubtful sample is held against.
 CENTROIDS = 256
 
@@ -62,6 +66,104 @@ def near_hashes(hashes: DataFrame, threshold: int) -> DataFrame:
     return pairs.filter(first).select("a", "b", F.bit_count(differs).alias("distance")).filter(F.col("distance") <= threshold)
 
 
+def near_forest(hashes: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, distance): links that join what pairs within ``threshold`` bits join, without the pairs; ``distance`` is the
+    largest of a pair among the hashes that a task linked with them. Input: column ``h``.
+
+    As in ``near_hashes``, each hash probes the keys near its own in every band. But a task first packs its hashes by key,
+    ``PACK`` at a time; packs of one key meet, and the task that compares them keeps a spanning star of each component it
+    sees. So a family of n near hashes is n / PACK packs for a key and some n links, and skewed keys are split between
+    packs by adaptive execution.
+    """
+    distinct = cut(hashes.select("h").filter("h is not null").distinct())
+    bands, radius = _bands(threshold, distinct.count())
+    masks = [np.array([sum(1 << x for x in c) for r in range(radius + 1) for c in combinations(range(width), r)], np.uint64) for _, width in bands]
+
+    def packs(probe: bool):
+        def work(batches):
+            for batch in batches:
+                every = np.asarray(batch.column(0)).astype(np.int64)
+                for lo in range(0, len(every), PACK):
+                    h = every[lo : lo + PACK]
+                    for i, (at, width) in enumerate(bands):
+                        key = (h.view(np.uint64) >> np.uint64(at)) & np.uint64((1 << width) - 1)
+                        keys = (key[:, None] ^ (masks[i] if probe else masks[i][:1])[None, :]).ravel()
+                        order = np.argsort(keys, kind="stable")
+                        firsts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+                        owners = np.repeat(h, len(keys) // len(h))[order]
+                        lists = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(keys)).astype(np.int32)), pa.array(owners))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(firsts), i, np.int32)), pa.array(keys[order][firsts].view(np.int64)), lists], names=["band", "key", "hs"])
+
+        return distinct.mapInArrow(work, "band int, key long, hs array<long>")
+
+    met = packs(True).withColumnRenamed("hs", "left").join(packs(False).withColumnRenamed("hs", "right"), ["band", "key"])
+
+    def link(batches):
+        for batch in batches:
+            a, b, d = spanning_stars(*(batch.column(i) for i in range(2)), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "distance"])
+
+    # a pair of one and the same hash is no link, and most packs hold one hash
+    some = met.filter("size(left) > 1 or size(right) > 1 or left[0] <> right[0]")
+    return some.select("left", "right").mapInArrow(link, "a long, b long, distance int")
+
+
+def spanning_stars(left: pa.ListArray, right: pa.ListArray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, distance) of stars that join what near pairs between each left pack and its right one join."""
+    nodes, edges, reach = np.unique(np.append(left.flatten().to_numpy(), right.flatten().to_numpy())), [], []
+    sizes = [np.diff(x.offsets.to_numpy()).astype(np.int64) for x in (left, right)]
+    starts = [x.offsets.to_numpy().astype(np.int64)[:-1] - int(x.offsets[0].as_py()) if len(x) else np.zeros(0, np.int64) for x in (left, right)]
+    places = [np.searchsorted(nodes, x.flatten().to_numpy()) for x in (left, right)]
+    bits_of = nodes.view(np.uint64)
+    small = sizes[0] * sizes[1] <= 4096
+    rows = np.flatnonzero(small)
+    for part in np.array_split(rows, max(1, int((sizes[0] * sizes[1])[rows].sum() >> 21))):
+        n = sizes[0][part] * sizes[1][part]
+        own = np.repeat(np.arange(len(part)), n)
+        i, j = np.divmod(np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), sizes[1][part][own])
+        u, v = places[0][starts[0][part][own] + i], places[1][starts[1][part][own] + j]
+        d = np.bitwise_count(bits_of[u] ^ bits_of[v]).astype(np.int32)
+        near = (d <= threshold) & (u != v)
+        edges.append((u[near], v[near]))
+        reach.append((u[near], d[near]))
+    for r in np.flatnonzero(~small):
+        us, vs = (places[s][starts[s][r] : starts[s][r] + sizes[s][r]] for s in range(2))
+        for lo in range(0, len(us), 512):
+            u = us[lo : lo + 512]
+            d = np.bitwise_count(bits_of[u][:, None] ^ bits_of[vs][None, :]).astype(np.int32)
+            near = (d <= threshold) & (u[:, None] != vs[None, :])
+            reach.append((u, np.where(near, d, -1).max(axis=1)))
+            label_u, label_v = np.arange(len(u)), len(u) + np.arange(len(vs))
+            while near.any():  # each side picks a neighbour, then only what still lies apart counts
+                i, j = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                picked = np.append(i, near[:, j].argmax(axis=0)), np.append(near[i].argmax(axis=1), j)
+                edges.append((u[picked[0]], vs[picked[1]]))
+                labels = _labels(len(u) + len(vs), np.append(label_u[picked[0]], np.arange(len(u) + len(vs))), np.append(label_v[picked[1]], np.append(label_u, label_v)))
+                label_u, label_v = labels[: len(u)], labels[len(u) :]
+                near &= label_u[:, None] != label_v[None, :]
+    u, v = (np.concatenate([e[k] for e in edges] or [np.zeros(0, np.int64)]) for k in range(2))
+    label = _labels(len(nodes), u, v)
+    most = np.full(len(nodes), -1, np.int32)
+    for at, d in reach:
+        np.maximum.at(most, label[at], d)
+    inner = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[inner]], nodes[inner], most[label[inner]]
+
+
+def _labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node that each of n nodes reaches by the edges (u, v)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def near_clusters(samples: DataFrame, threshold: int = 10) -> DataFrame:
     """(cluster, size, max_distance, representative) over ``samples`` (seq, sha256, h): single-link clusters of samples
     whose hashes are within ``threshold`` bits and whose content differs. ``cluster`` is the least seq, whose hash is the
@@ -75,15 +177,15 @@ def near_groups(samples: DataFrame, threshold: int = 10) -> tuple[DataFrame, Dat
     """The rows of ``near_clusters``, and (cluster, sample_id) for every sample in one."""
     rows = samples.filter("h is not null").select("seq", "sha256", "h")
     groups = cut(rows.groupBy("h").agg(F.min("seq").alias("first"), F.min("sha256").alias("s0"), F.max("sha256").alias("s1")))
-    pairs = cut(near_hashes(groups.select("h"), threshold))
+    links = cut(near_forest(groups.select("h"), threshold))
     firsts = groups.select("h", "first")
-    across = pairs.join(firsts.withColumnsRenamed({"h": "a", "first": "fa"}), "a").join(firsts.withColumnsRenamed({"h": "b", "first": "fb"}), "b")
+    across = links.join(firsts.withColumnsRenamed({"h": "a", "first": "fa"}), "a").join(firsts.withColumnsRenamed({"h": "b", "first": "fb"}), "b")
     within = groups.filter("s0 <> s1").select(F.col("first").alias("a"), F.col("first").alias("b"))
     roots = components(across.select(F.col("fa").alias("a"), F.col("fb").alias("b")).union(within))
     of_hash = firsts.join(roots, F.col("first") == F.col("node")).select("h", "root")
     placed = rows.join(of_hash, "h")
     sizes = placed.groupBy("root").agg(F.count("*").alias("size"), F.min_by("h", "seq").alias("representative"))
-    reach = pairs.join(of_hash, F.col("a") == F.col("h")).groupBy("root").agg(F.max("distance").alias("d"))
+    reach = links.join(of_hash, F.col("a") == F.col("h")).groupBy("root").agg(F.max("distance").alias("d"))
     clusters = sizes.join(reach, "root", "left").select(F.col("root").alias("cluster"), "size", F.coalesce("d", F.lit(0)).alias("max_distance"), "representative")
     return clusters, placed.select(F.col("root").alias("cluster"), F.col("seq").alias("sample_id"))
 

@@ -14,9 +14,8 @@ def samples(spark, sf_dir) -> DataFrame:
     """(seq, sha256, h, labels, class, contributor, file_size_bytes): documents, hashed by their tokens."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.array(F.concat(F.lit("q"), "quality"), F.concat(F.lit("t"), "toxic")).alias("labels"))
-    hashes = simhash(docs, "doc_id", "text")
-    rows = docs.select("doc_id", F.sha2("text", 256).alias("sha256"), "lang", "source", F.octet_length("text").alias("file_size_bytes"))
-    rows = rows.join(hashes, "doc_id", "left").join(labels, "doc_id", "left")
+    rows = docs.select("doc_id", F.sha2("text", 256).alias("sha256"), "lang", "source", F.octet_length("text").alias("file_size_bytes"), "text")
+    rows = simhash(rows, "text", ["doc_id", "sha256", "lang", "source", "file_size_bytes"]).join(labels, "doc_id", "left")
     return rows.select(
         F.col("doc_id").alias("seq"), "sha256", F.col("simhash").alias("h"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"),
         F.col("lang").alias("class"), F.col("source").alias("contributor"), "file_size_bytes",
@@ -42,9 +41,9 @@ def patches(spark, sf_dir) -> DataFrame:
     corner = lambda name, line: F.struct(F.lit(name).alias("location"), line.alias("line"))
     corners = F.explode(F.array(corner("first", F.get(lines, F.lit(0))), corner("last", F.element_at(lines, -1)))).alias("c")
     rows = docs.select("doc_id", F.sha2("text", 256).alias("sha256"), "lang", corners).select("doc_id", "sha256", "lang", "c.*")
-    rows = cut(rows.withColumn("key", F.concat_ws(":", "doc_id", "location")))
-    variance = F.size(F.array_distinct(F.split("line", " "))).cast("double")
-    return rows.join(simhash(rows, "key", "line"), "key").select("location", F.col("doc_id").alias("seq"), "sha256", F.col("lang").alias("class"), F.col("simhash").alias("h"), variance.alias("variance"))
+    rows = rows.withColumn("variance", F.size(F.array_distinct(F.split("line", " "))).cast("double"))
+    rows = simhash(rows, "line", ["doc_id", "location", "sha256", "lang", "variance"]).filter("simhash is not null")
+    return rows.select("location", F.col("doc_id").alias("seq"), "sha256", F.col("lang").alias("class"), F.col("simhash").alias("h"), "variance")
 
 
 PATCHES_SQL = r"""

@@ -506,3 +506,55 @@ def test_a_hot_stream_is_split(spark, many_tasks):
         first.setdefault(nonce, m)
     assert {tuple(r) for r in provenance.sequence_anomalies(arrivals).collect()} == odd
     assert {tuple(r) for r in provenance.nonce_reuse(arrivals).collect()} == again
+
+
+def test_near_families_are_linked_without_their_pairs(spark, monkeypatch):
+    """5,000 hashes of one family, in a chain and around it, and others apart: the pairs' components and largest distances,
+    from some links for each hash."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    family = {rng.getrandbits(64)}
+    while len(family) < 5000:
+        base = rng.choice(tuple(family)) if len(family) % 50 == 0 else next(iter(family))
+        for b in rng.sample(range(64), rng.randint(1, 6)):
+            base ^= 1 << b
+        family.add(base)
+    every = sorted(family | {rng.getrandbits(64) for _ in range(1000)} | {(rng.getrandbits(48) << 16) | x for x in (0, 3, 255)})
+    signed = sorted(h - (1 << 64) if h >> 63 else h for h in every)
+    x = np.array(signed, np.int64)
+    near = np.array([np.bitwise_count(x.view(np.uint64) ^ v) for v in x.view(np.uint64)])
+    label, most = np.arange(len(x)), {}
+    while True:
+        new = np.minimum.reduce(np.where(near <= 6, label[None, :], len(x)), axis=1)
+        if (new == label).all():
+            break
+        label = new
+    for i in range(len(x)):
+        own = near[i][(near[i] <= 6) & (np.arange(len(x)) != i)]
+        most[label[i]] = max(most.get(label[i], 0), int(own.max(initial=0)))
+    want = {(signed[k], int((label == k).sum()), most[k]) for k in set(label.tolist()) if (label == k).sum() > 1}
+    df = spark.createDataFrame([(h, f"c{h}", h) for h in signed], "seq long, sha256 string, h long").repartition(4)
+    assert similarity.near_forest(df, 6).count() < 20 * len(x)
+    for pack in (4096, 200):
+        monkeypatch.setattr(similarity, "PACK", pack)
+        out = similarity.near_clusters(df, 6).collect()
+        assert {(r["cluster"], r["size"], r["max_distance"]) for r in out} == want
+
+
+def test_hashes_of_tokens(spark):
+    """Repeated rows have a hash each; blanks of every kind part tokens, and case doesn't count."""
+    texts = ["a b c", "A\tb\x0bC a", "", None, "  ", "日本 é" + "x" * 200, "a b c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    out = [r["simhash"] for r in hashes.simhash(df, "text", ["id"]).orderBy("id").collect()]
+
+    def plain(text):
+        tokens = {t for t in text.lower().split()}
+        words = [int(hashlib.md5(t.encode()).hexdigest()[:16], 16) for t in tokens]
+        value = sum(1 << i for i in range(64) if 2 * sum(w >> i & 1 for w in words) > len(words))
+        return value - (1 << 64) if value >> 63 else value
+
+    assert out == [plain(t) if t and t.strip() else None for t in texts]
+    assert out[0] == out[1] == out[6]
