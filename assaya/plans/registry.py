@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("batteries", "duplicates", "ledgers", "listings", "records", "reports", "statistics", "streams")
+MODULES = ("batteries", "duplicates", "images", "ledgers", "listings", "records", "reports", "statistics", "streams")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -9,15 +9,21 @@ COCO = (
 )
 
 
-def read_coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """``images``, ``categories`` and ``annotations`` of COCO files, each with its ``file``."""
-    raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(COCO).json(path).withColumn("file", F.col("_metadata.file_path"))
+def read_coco(spark: SparkSession, path: str, skip: bool = False) -> dict[str, DataFrame]:
+    """``images``, ``categories`` and ``annotations`` of COCO files, each with its ``file``, and ``errors`` (file, code): a file
+    that isn't JSON (``not_json``) or has a field of another type (``bad_field``). Fails closed: without ``skip`` the first
+    error raises; with it such files give no rows."""
+    read = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True)
+    every = read.schema(f"{COCO}, _corrupt string").json(path).withColumn("file", F.col("_metadata.file_path"))
+    code = F.when(F.col("_corrupt").isNotNull(), F.when(F.col("images").isNull() & F.col("annotations").isNull() & F.col("categories").isNull(), "not_json").otherwise("bad_field"))
+    raw, errors = split_valid(every.withColumn("code", code), "code", skip)
     image = raw.select("file", F.col("info.contributor").alias("_info"), F.explode("images").alias("x")).select("file", "_info", "x.*")
     first = [F.nullif(F.trim(c), F.lit("")) for c in ("contributor", "source", "user_id", "annotator", "_info")]
     return {
         "images": image.select("file", "id", "file_name", "width", "height", F.coalesce(*first).alias("contributor")),
         "categories": raw.select("file", F.explode("categories").alias("x")).select("file", "x.*"),
         "annotations": raw.select("file", F.explode("annotations").alias("x")).select("file", "x.*"),
+        "errors": errors.select("file", "code"),
     }
 
 

@@ -1,4 +1,8 @@
-"""Image directories: bytes and pixels by Spark's readers, hashes and features in batches of numpy."""
+"""Image directories: bytes and pixels by Spark's two readers, hashes and features in batches of numpy.
+
+Files are read by bytes for digests, types and guards, and by Spark's image reader for what needs pixels. Either is a scan
+without a shuffle; what is joined of the two is a few numbers for each file.
+"""
 
 import numpy as np
 import pandas as pd
@@ -12,17 +16,43 @@ READ_TYPES = ("image/png", "image/jpeg", "image/bmp", "image/webp")
 GLOB = "*.{png,jpg,jpeg,bmp,webp,PNG,JPG,JPEG,BMP,WEBP}"
 
 
-def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_name, relative_path, sha256, size, content_type, width, height, channels, data): every image below ``folder``. Pixels are blue,
-    green, red (or one grey) by row; an undecodable file has a width of -1."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(folder)
-    pixels = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).option("dropInvalid", False).load(folder)
+def _below(path, folder: str):
+    """The path without its scheme and the folder."""
     plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    raw = files.select(plain(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), content_type(F.col("content")).alias("content_type"))
-    seen = pixels.select(plain(F.col("image.origin")).alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
-    base = F.regexp_replace(plain(F.lit(folder)), "/*$", "/")
-    both = raw.join(seen, "path", "left")
-    return both.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file_name"), F.replace("path", base, F.lit("")).alias("relative_path"), "sha256", "size", "content_type", "width", "height", "channels", "data")
+    return F.replace(plain(path), F.regexp_replace(plain(F.lit(folder)), "/*$", "/"), F.lit(""))
+
+
+def _scan(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    return spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).option("dropInvalid", False).load(folder)
+
+
+def header_size(content):
+    """(width, height) that the first bytes of a PNG, GIF or BMP state, as a struct; nulls for other types."""
+    head = F.hex(F.substring(content, 1, 26))
+    number = lambda at, n, little: F.conv(F.concat(*[F.substring(head, 2 * i + 1, 2) for i in (range(at + n - 1, at - 1, -1) if little else range(at, at + n))]), 16, 10).cast("long")
+    kind = content_type(content)
+    pick = lambda png, gif, bmp: F.when(kind == "image/png", number(png, 4, False)).when(kind == "image/gif", number(gif, 2, True)).when(kind == "image/bmp", number(bmp, 4, True))
+    return F.struct(pick(16, 6, 18).alias("width"), pick(20, 8, 22).alias("height"))
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_name, relative_path, sha256, size, content_type, stated_width, stated_height): every image file below ``folder``,
+    by its bytes, which go no further than the scan. Guards on the stated sides need no decoding."""
+    files = _scan(spark, folder, "binaryFile")
+    rows = files.select(_below(F.col("path"), folder).alias("relative_path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), content_type(F.col("content")).alias("content_type"), header_size(F.col("content")).alias("_stated"))
+    return rows.select(F.regexp_extract("relative_path", "([^/]*)$", 1).alias("file_name"), "relative_path", "sha256", "size", "content_type", F.col("_stated.width").alias("stated_width"), F.col("_stated.height").alias("stated_height"))
+
+
+def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
+    """(relative_path, width, height, channels, data) of every image below ``folder``: blue, green, red (or one grey) by row.
+    An undecodable file has a width of -1. Features are worked out where a file is decoded; pixels aren't shuffled."""
+    return _scan(spark, folder, "image").select(_below(F.col("image.origin"), folder).alias("relative_path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
+
+
+def read_images(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of ``read_files`` with width, height and channels as decoded. Only these few numbers are joined."""
+    seen = read_pixels(spark, folder).select("relative_path", "width", "height", "channels")
+    return read_files(spark, folder).join(seen, "relative_path", "left").select("file_name", "relative_path", "sha256", "size", "content_type", "stated_width", "stated_height", "width", "height", "channels")
 
 
 def image_code(most_bytes: int = 50 << 20, most_side: int = 8192, most_pixels: int = 8192 * 8192):
@@ -111,8 +141,8 @@ def photometric(images: DataFrame) -> DataFrame:
 
 
 def corner_patches(images: DataFrame) -> DataFrame:
-    """(relative_path, sha256, location, dhash, variance): four rows for each image of 16 pixels a side or more; a patch has
-    an eighth of each side, 8 to 48 pixels."""
+    """(relative_path, location, dhash, variance): four rows for each image of 16 pixels a side or more; a patch has an eighth
+    of each side, 8 to 48 pixels."""
 
     def one(a):
         if a is None or min(a.shape[:2]) < 16:
@@ -122,4 +152,4 @@ def corner_patches(images: DataFrame) -> DataFrame:
         corners = {"top_left": g[:h, :w], "top_right": g[:h, -w:], "bottom_left": g[-h:, :w], "bottom_right": g[-h:, -w:]}
         return [(name, dhash(c), float(c.var())) for name, c in corners.items()]
 
-    return _mapped(images, ["relative_path", "sha256"], one, "relative_path string, sha256 string, location string, dhash string, variance double")
+    return _mapped(images, ["relative_path"], one, "relative_path string, location string, dhash string, variance double")

@@ -347,6 +347,13 @@ def test_annotations(spark, tmp_path):
     assert {r["file_name"]: r["contributor"] for r in parts["images"].collect()} == {"a.png": "me", "b.png": "me", "c.png": "you"}
     got = {tuple(r) for r in annotations.coco_violations(parts["images"], parts["categories"], parts["annotations"]).collect()}
     assert got == {("duplicate_image", 1), ("blank_name", 6), ("unknown_image", 2), ("unknown_category", 3), ("bad_box", 3)}
+    (tmp_path / "broken.json").write_text('{"images": [')
+    (tmp_path / "odd.json").write_text('{"images": [], "categories": "x", "annotations": []}')
+    with pytest.raises(ValueError, match="invalid record"):
+        annotations.read_coco(spark, str(tmp_path))
+    parts = annotations.read_coco(spark, str(tmp_path), skip=True)
+    assert {(r["file"].rsplit("/", 1)[1], r["code"]) for r in parts["errors"].collect()} == {("broken.json", "not_json"), ("odd.json", "bad_field")}
+    assert parts["images"].count() == 3
     lines = {"0 0.5 0.5 0.1 0.1": None, "# x": None, "": None, "0 1 1": "too_few_tokens", "x 0 0 1 1": "bad_class", "-1 0 0 1 1": "negative_class", "9 0 0 1 1": "unknown_class", "1 a 0 1 1": "bad_number", "1 nan 0 1 1": "not_finite", "1 2 0 1 1": "centre_out_of_bounds", "1 0 0 0 1": "size_out_of_bounds"}
     assert {k: one(spark, annotations.yolo_code(F.lit(k), F.lit(3))) for k in lines} == lines
     (tmp_path / "l").mkdir()
@@ -375,8 +382,12 @@ def test_images(spark, tmp_path):
     png(tmp_path / "who" / "a.png", ramp)
     png(tmp_path / "b.png", [[(4 * x, 2 * y, 12) for x in range(64)] for y in range(64)])
     (tmp_path / "c.png").write_bytes(b"not an image")
-    df = images.read_images(spark, str(tmp_path)).cache()
+    df = images.read_images(spark, str(tmp_path))
+    stated = {r["relative_path"]: (r["file_name"], r["content_type"], r["stated_width"], r["stated_height"], r["sha256"]) for r in df.collect()}
+    of = lambda name: hashlib.sha256((tmp_path / name).read_bytes()).hexdigest()
+    assert stated == {"who/a.png": ("a.png", "image/png", 64, 64, of("who/a.png")), "b.png": ("b.png", "image/png", 64, 64, of("b.png")), "c.png": ("c.png", "application/octet-stream", None, None, of("c.png"))}
     assert {r["relative_path"]: r["code"] for r in df.select("relative_path", images.image_code().alias("code")).collect()} == {"who/a.png": None, "b.png": None, "c.png": "not_an_image"}
+    df = images.read_pixels(spark, str(tmp_path))
     prints = {r["relative_path"]: r for r in images.fingerprints(df).collect()}
     assert prints["c.png"]["phash"] is None and len(prints["b.png"]["phash"]) == 16
     assert prints["who/a.png"]["dhash"] == prints["b.png"]["dhash"] == "f" * 16
