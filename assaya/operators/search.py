@@ -41,6 +41,16 @@ def facet(rows: DataFrame, wanted: dict[str, str | None]) -> DataFrame:
     return rows
 
 
+def assessment_facets(rows: DataFrame, term: str = "", risk: str = "all", status: str = "all") -> DataFrame:
+    """Assessments (title, assessment_id, status, overall_risk, ...) whose title, id or status has the term, in any case, and
+    whose risk (none where there is none) and status are the wanted ones; a blank term and ``all`` ask nothing."""
+    if term_of(term):
+        rows = rows.filter(contains_any([F.col("title"), F.col("assessment_id").cast("string"), F.col("status")], term))
+    if risk != "all":
+        rows = rows.filter(F.coalesce(F.nullif(F.lower("overall_risk"), F.lit("")), F.lit("none")) == risk)
+    return rows if status == "all" else rows.filter(F.lower("status") == status)
+
+
 def keyed(rows: DataFrame, key: dict, order: list) -> DataFrame:
     """The rows with these values, in order; a null value asks for null. Filters on them reach the files."""
     for column, value in key.items():

@@ -21,7 +21,7 @@ def detector_plan(spark, sf_dir) -> DataFrame:
     return reports.plan(assets).groupBy("position", "code", "applicable", "reason").agg(F.count("*").alias("n"))
 
 
-def _results(spark, sf_dir) -> DataFrame:
+def results(spark, sf_dir) -> DataFrame:
     """Lines as results of the first checks."""
     codes = F.array(*[F.lit(c[0]) for c in reports.CHECKS])
     status = F.when(F.col("l_returnflag") == "R", "SKIPPED").when(F.col("l_returnflag") == "A", F.when(F.col("l_suppkey") % 2 == 0, "UNAVAILABLE").otherwise("FAILED")).otherwise(F.when(F.col("l_suppkey") % 3 == 0, "PARTIAL").otherwise("SUCCESS"))
@@ -32,11 +32,11 @@ def _results(spark, sf_dir) -> DataFrame:
 
 
 def coverage_gap_rows(spark, sf_dir) -> DataFrame:
-    return reports.gaps(_results(spark, sf_dir))
+    return reports.gaps(results(spark, sf_dir))
 
 
 def limiting_factors(spark, sf_dir) -> DataFrame:
-    return reports.limiting_factors(_results(spark, sf_dir))
+    return reports.limiting_factors(results(spark, sf_dir))
 
 
 def provenance_statuses(spark, sf_dir) -> DataFrame:
@@ -156,17 +156,17 @@ QUERIES = {
 }
 
 _q = lambda text: "'" + text.replace("'", "''") + "'"
-_CHECKS = "(VALUES " + ", ".join(f"({i}, {_q(c)}, {_q(req)}, {_q(imp)}, {_q(act)})" for i, (c, _, req, imp, act) in enumerate(reports.CHECKS)) + ") t(position, code, required, impact, action)"
+CHECKS_SQL = "(VALUES " + ", ".join(f"({i}, {_q(c)}, {_q(req)}, {_q(imp)}, {_q(act)})" for i, (c, _, req, imp, act) in enumerate(reports.CHECKS)) + ") t(position, code, required, impact, action)"
 _RESULTS = """r AS (SELECT l_orderkey AS assessment_id, l_linenumber - 1 AS position, CASE l_returnflag WHEN 'R' THEN 'SKIPPED' WHEN 'A' THEN CASE WHEN l_suppkey % 2 = 0 THEN 'UNAVAILABLE' ELSE 'FAILED' END ELSE CASE WHEN l_suppkey % 3 = 0 THEN 'PARTIAL' ELSE 'SUCCESS' END END AS status,
  l_partkey % 9 <> 0 AS applicable, CASE WHEN l_partkey % 4 = 0 THEN 'no such file' END AS error, l_tax > 0.05 AS low FROM lineitem)"""
-_GAPS = f"""{_RESULTS}, g AS (SELECT assessment_id, position, code, CASE status WHEN 'SKIPPED' THEN 'detector_skipped' ELSE 'detector_unavailable' END AS reason, required, error, impact, action FROM r JOIN {_CHECKS} USING (position) WHERE applicable AND status IN ('SKIPPED', 'UNAVAILABLE'))"""
+GAPS_SQL = f"""{_RESULTS}, g AS (SELECT assessment_id, position, code, CASE status WHEN 'SKIPPED' THEN 'detector_skipped' ELSE 'detector_unavailable' END AS reason, required, error, impact, action FROM r JOIN {CHECKS_SQL} USING (position) WHERE applicable AND status IN ('SKIPPED', 'UNAVAILABLE'))"""
 ORACLES = {
     "detector_plan": f"""WITH o AS (SELECT o_orderkey % 2 = 0 AS d, o_orderkey % 3 <> 0 AS m, o_orderkey % 5 = 0 AS ref, o_orderkey % 7 <> 1 AS p FROM orders),
 x AS (SELECT position, code, CASE WHEN code LIKE 'DI%' THEN d WHEN code = 'MI-04' THEN m AND ref WHEN code LIKE 'MI%' THEN m ELSE p END AS applicable,
- CASE WHEN code LIKE 'DI%' THEN 'no_dataset_provided' WHEN code = 'PI-01' THEN 'no_provenance_manifest_provided' WHEN code = 'MI-04' AND m THEN 'no_reference_model_provided' ELSE 'no_model_provided' END AS reason FROM o, {_CHECKS})
+ CASE WHEN code LIKE 'DI%' THEN 'no_dataset_provided' WHEN code = 'PI-01' THEN 'no_provenance_manifest_provided' WHEN code = 'MI-04' AND m THEN 'no_reference_model_provided' ELSE 'no_model_provided' END AS reason FROM o, {CHECKS_SQL})
 SELECT position, code, applicable, CASE WHEN NOT applicable THEN reason END AS reason, count(*) AS n FROM x GROUP BY ALL""",
-    "coverage_gap_rows": f"WITH {_GAPS} SELECT assessment_id, code, reason, required, coalesce(error, reason) AS observed, impact, action FROM g",
-    "limiting_factors": f"""WITH {_GAPS}, s AS (SELECT assessment_id, count_if(status NOT IN ('SKIPPED', 'UNAVAILABLE')) AS ran, count_if(status = 'PARTIAL') AS p, count_if(status = 'FAILED') AS f, count_if(status NOT IN ('SKIPPED', 'UNAVAILABLE') AND low) AS l FROM r GROUP BY 1)
+    "coverage_gap_rows": f"WITH {GAPS_SQL} SELECT assessment_id, code, reason, required, coalesce(error, reason) AS observed, impact, action FROM g",
+    "limiting_factors": f"""WITH {GAPS_SQL}, s AS (SELECT assessment_id, count_if(status NOT IN ('SKIPPED', 'UNAVAILABLE')) AS ran, count_if(status = 'PARTIAL') AS p, count_if(status = 'FAILED') AS f, count_if(status NOT IN ('SKIPPED', 'UNAVAILABLE') AND low) AS l FROM r GROUP BY 1)
 SELECT assessment_id, 0 AS source, 0 AS seq, 'All applicable detectors were unavailable or skipped.' AS text FROM s WHERE ran = 0
 UNION ALL SELECT assessment_id, 1, position + 1, CASE WHEN ran = 0 THEN code || ': ' || reason ELSE code || ' could not run (' || reason || '): ' || impact END FROM g JOIN s USING (assessment_id)
 UNION ALL SELECT assessment_id, 2, 0, 'One or more detectors completed with partial coverage (framework limitations or missing optional capabilities).' FROM s WHERE ran > 0 AND p > 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assaya.functions import canonical, hashes, text
-from assaya.operators import battery, evidence, ledger, models, provenance, ranges, reports, search, similarity, statistics, verdicts
+from assaya.operators import battery, context, evidence, ledger, models, provenance, ranges, reports, search, similarity, statistics, verdicts
 from assaya.operators.graph import components
 from assaya.sources import annotations, images
 
@@ -569,3 +569,19 @@ def test_hashes_of_tokens(spark):
 
     assert out == [plain(t) if t and t.strip() else None for t in texts]
     assert out[0] == out[1] == out[6]
+
+
+def test_contexts_end_at_their_bound(spark):
+    """Lines in their order, cut in the middle of one with a mark; a text of just the bound isn't cut; empty parts have no
+    lines; secrets and paths are hidden."""
+    lines = [("a", 0, 0, "x" * 10), ("a", 1, 5, "y" * 10), ("a", 1, 4, "z" * 10), ("b", 0, 0, "x" * 25), ("c", 0, 0, "x" * 26), ("d", 0, 0, None), ("d", 0, 1, "end"), (None, 0, 0, "no key")]
+    out = {r["k"]: r["context"] for r in context.bounded(spark.createDataFrame(lines, "k string, part int, seq long, line string"), "k", 25).collect()}
+    assert out == {"a": "x" * 10 + "\n" + "z" * 10 + "\n" + "y" * 3 + context.CUT, "b": "x" * 25, "c": "x" * 25 + context.CUT, "d": "\nend", None: "no key"}
+    own = spark.createDataFrame([("a1", "t", "done", 2, "high", None, "low", "few", 0.125, 1, 9)], "assessment_id string, title string, status string, n_assets int, risk string, risk_text string, confidence string, confidence_text string, coverage double, n_findings int, n_evidence int")
+    runs = spark.createDataFrame([("a1", 1, "DI-02", "labels", "FAILED", 0, 0, "in /home/me/x/y.csv"), ("a1", 0, "DI-01", "copies", "SUCCESS", 1, 9, "")], "assessment_id string, seq int, detector_id string, name string, status string, n_findings int, n_evidence int, error string")
+    gaps = spark.createDataFrame([], "assessment_id string, seq int, detector_id string, reason string, impact string, action string")
+    limits = spark.createDataFrame([("a1", 0, "password='abcdefghijklmnop'")], "assessment_id string, seq int, text string")
+    found = spark.createDataFrame([("a1", i, f"f{i:02}", "low", "copy", "DI-01") for i in range(30)], "assessment_id string, seq int, finding_id string, severity string, title string, detector_id string")
+    [text] = [r["context"] for r in context.assessment_context(own, runs, gaps, limits, found).collect()]
+    assert "3. Coverage: 12.5%\n   Total Findings: 1, Total Evidence Items: 9\n\n=== DETECTOR BATTERY EXECUTION STATUS ===\n - [DI-01] copies: status=SUCCESS, findings=1, evidence=9\n - [DI-02] labels: status=FAILED, findings=0, evidence=0, error=in [artifact: x/y.csv]\n\n=== ASSESSMENT SCOPE LIMITATIONS ===\n - secret=[REDACTED_SECRET]\n\n=== FINDINGS SUMMARY (Top 25) ===\n - [f00] [LOW] copy (Detector: DI-01)\n" in text
+    assert text.endswith("[f24] [LOW] copy (Detector: DI-01)") and "COVERAGE GAPS" not in text and "   Risk Qualitative: \n" in text
