@@ -9,12 +9,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from assaya.operators.ledger import GENESIS, event_hash
-from assaya.operators.provenance import admit
 
 
 def _timeout(ttl_ms: int | None) -> str:
@@ -87,36 +86,48 @@ def chain_failures(events: DataFrame) -> DataFrame:
     return rows.groupBy("chain_id").applyInPandasWithState(step, "chain_id string, position long, failure_type string", "last string, at long, broken boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def ingest_new(path: str, digest: str = "sha256") -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: appends the contents that the Parquet table at ``path`` doesn't have. A batch that is run again
-    adds nothing, as its contents are there already."""
+#: Parts of a store of which a batch reads those that its own keys fall into.
+PARTS = 256
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates([digest])
-        stored = _table(batch, path)
-        if stored is not None:
-            fresh = fresh.join(stored.select(digest), digest, "left_anti")
-        fresh.withColumn("prefix", F.substring(digest, 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)
 
-    return write
+def ingest_new(path: str, digest: str = "sha256") -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: adds the contents that the Parquet table at ``path`` doesn't have, of equal ones in a batch the
+    least row as JSON. See ``_added_once``; ``part`` is the first two digits of the digest."""
+    return _added_once(path, digest, F.substring(digest, 1, 2), lambda batch: batch)
 
 
 def admit_verified(path: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: appends verified manifests whose id the registry at ``path`` doesn't have."""
+    """For ``foreachBatch``: adds verified manifests whose id the registry at ``path`` doesn't have. See ``_added_once``."""
+    part = F.pmod(F.xxhash64("manifest_id"), F.lit(PARTS)).cast("string")
+    return _added_once(path, "manifest_id", part, lambda batch: batch.filter("verified"))
+
+
+def _added_once(path: str, key: str, part: Column, wanted: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Adds the wanted rows of a batch whose key isn't stored, one for each key, in folders ``part=../batch=..``.
+
+    The batch's number is the ledger: rows count as stored if another batch wrote them, and a batch replaces its own
+    folders. So one that was stopped half way, or is run again, leaves what a single run leaves. Only the parts that
+    the batch's keys fall into are read."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = _table(batch, path)
-        fresh = batch.filter("verified").dropDuplicates(["manifest_id"]) if stored is None else admit(batch, stored)
-        fresh.write.mode("append").parquet(path)
+        batch = wanted(batch)
+        first = F.min_by(F.struct("*"), F.to_json(F.struct("*")))
+        fresh = batch.groupBy(F.col(key).alias("_key")).agg(first.alias("_row")).select("_row.*").withColumn("part", part).persist()
+        parts = [r["part"] for r in fresh.select("part").distinct().collect()]  # some hundreds at most
+        schema = fresh.select(key, "part").schema.add("batch", "long")
+        try:
+            stored = batch.sparkSession.read.schema(schema).parquet(path).filter(F.col("part").isin(parts) & (F.col("batch") != batch_id))
+            fresh_rows = fresh.join(stored.select(F.col(key).alias("_stored")).distinct(), F.col(key) == F.col("_stored"), "left_anti")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            fresh_rows = fresh
+        fresh_rows.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(path)
+        fresh.unpersist()
 
     return write
 
 
-def _table(batch: DataFrame, path: str) -> DataFrame | None:
-    """The table at ``path``, or None where there is none yet."""
-    try:
-        return batch.sparkSession.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
+def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows that were added at ``path``, with ``part`` and ``batch``."""
+    return spark.read.schema(f"{schema}, part string, batch long").parquet(path)

@@ -21,8 +21,26 @@ def test_contents_are_stored_once(spark, tmp_path):
     run(spark, [("aa1", "x"), ("aa1", "y"), ("bb2", "z")], *args, sink=sink)
     out = run(spark, [("bb2", "again"), ("cc3", "w")], *args, sink=sink)
     assert sorted(r["sha256"] for r in out.collect()) == ["aa1", "bb2", "cc3"]
-    sink(spark.createDataFrame([("cc3", "w")], args[0]), 99)  # a batch that is run again
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+    sink(spark.createDataFrame([("cc3", "w")], args[0]), 99)  # what another batch has
+    stored = checks.read_store(spark, f"{tmp_path}/out", args[0])
+    assert stored.count() == 3
+    assert {(r["sha256"], r["name"]) for r in stored.collect()} == {("aa1", "x"), ("bb2", "z"), ("cc3", "w")}
+
+
+def test_a_batch_run_again_adds_nothing_twice(spark, tmp_path):
+    """Stopped half way, a batch has written some of its folders; run again it replaces them. Only its parts are read."""
+    sink, schema = checks.ingest_new(f"{tmp_path}/out"), "sha256 string, name string"
+    batch = spark.createDataFrame([("aa1", "x"), ("bb2", "y"), ("bb2", "y")], schema)
+    sink(batch.filter("sha256 = 'aa1'"), 0)  # what was written before the stop
+    for _ in range(2):
+        sink(batch, 0)
+        assert sorted(map(tuple, checks.read_store(spark, f"{tmp_path}/out", schema).collect())) == [("aa1", "x", "aa", 0), ("bb2", "y", "bb", 0)]
+    sink(spark.createDataFrame([("aa1", "again"), ("cc3", "z")], schema), 1)
+    sink(batch, 0)
+    assert sorted(r["sha256"] for r in checks.read_store(spark, f"{tmp_path}/out", schema).collect()) == ["aa1", "bb2", "cc3"]
+    (tmp_path / "out" / "part=zz" / "batch=7").mkdir(parents=True)
+    (tmp_path / "out" / "part=zz" / "batch=7" / "part-0.parquet").write_bytes(b"not a file that can be read")
+    sink(spark.createDataFrame([("cc3", "z"), ("dd4", "w")], schema), 2)  # reads no part but its own
 
 
 def test_only_verified_manifests_are_admitted(spark, tmp_path):
@@ -31,6 +49,8 @@ def test_only_verified_manifests_are_admitted(spark, tmp_path):
     run(spark, [(1, True), (2, False)], *args, sink=sink)
     out = run(spark, [(1, True), (2, True), (3, False)], *args, sink=sink)
     assert sorted(r["manifest_id"] for r in out.collect()) == [1, 2]
+    checks.admit_verified(f"{tmp_path}/out")(spark.createDataFrame([(3, True), (1, True)], args[0]), 5)
+    assert sorted(r["manifest_id"] for r in checks.read_store(spark, f"{tmp_path}/out", args[0]).collect()) == [1, 2, 3]
 
 
 def test_state_outlives_a_restart(spark, tmp_path):
