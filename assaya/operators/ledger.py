@@ -104,3 +104,8 @@ def chain_ends(events: DataFrame, key: str = "chain_id") -> DataFrame:
         F.max_by("current_hash", "seq").alias("last_hash"),
         F.count("*").alias("length"),
     )
+
+
+def first_events(events: DataFrame, key: str = "assessment_id", most: int = 20) -> DataFrame:
+    """The first ``most`` events of each key in the order of ``seq``, with their ``position`` from 0."""
+    return running(events, [key], ["seq"], sums={"position": F.lit(1).cast("long")}).filter(F.col("position") < most)

@@ -1,5 +1,8 @@
 """Manifests: bindings to artifacts, replay and sequence checks, admission and verdicts."""
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +63,24 @@ def verdicts(manifests: DataFrame, bound: DataFrame, anomalies: DataFrame, signa
     )
 
 
+def signature_verdicts(manifests: DataFrame, keys: DataFrame, verify: Callable[[pd.Series, pd.Series, pd.Series], pd.Series]) -> DataFrame:
+    """(manifest_id, signature_valid) by the caller's verifier: ``verify(digest, signature, key)`` gives a boolean, or null for
+    what it can't judge, for each of a batch of rows that have all three. ``manifests``: manifest_id, digest, signature,
+    key_id; ``keys``: key_id, key. Without a signature or a known key the verdict is null, a gap and no pass."""
+
+    @F.pandas_udf("boolean")
+    def judged(digest: pd.Series, signature: pd.Series, key: pd.Series) -> pd.Series:
+        whole = digest.notna() & signature.notna() & key.notna()
+        out = pd.Series(pd.NA, index=digest.index, dtype="boolean")
+        if whole.any():
+            out[whole] = pd.array(list(verify(digest[whole], signature[whole], key[whole])), dtype="boolean")
+        return out
+
+    known = keys.select(F.col("key_id").alias("_key_id"), "key")
+    rows = manifests.select("manifest_id", "digest", "signature", "key_id").join(known, F.col("key_id") == F.col("_key_id"), "left")
+    return rows.select("manifest_id", judged("digest", "signature", "key").alias("signature_valid"))
+
+
 def admit(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     """The verified candidates that the registry doesn't have yet, each id once."""
     return candidates.filter("verified").join(registry.select("manifest_id"), "manifest_id", "left_anti").dropDuplicates(["manifest_id"])

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("batteries", "contexts", "duplicates", "images", "ledgers", "listings", "records", "reports", "statistics", "streams")
+MODULES = ("batteries", "contexts", "duplicates", "identities", "images", "ledgers", "listings", "records", "reports", "statistics", "streams")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -585,3 +585,19 @@ def test_contexts_end_at_their_bound(spark):
     [text] = [r["context"] for r in context.assessment_context(own, runs, gaps, limits, found).collect()]
     assert "3. Coverage: 12.5%\n   Total Findings: 1, Total Evidence Items: 9\n\n=== DETECTOR BATTERY EXECUTION STATUS ===\n - [DI-01] copies: status=SUCCESS, findings=1, evidence=9\n - [DI-02] labels: status=FAILED, findings=0, evidence=0, error=in [artifact: x/y.csv]\n\n=== ASSESSMENT SCOPE LIMITATIONS ===\n - secret=[REDACTED_SECRET]\n\n=== FINDINGS SUMMARY (Top 25) ===\n - [f00] [LOW] copy (Detector: DI-01)\n" in text
     assert text.endswith("[f24] [LOW] copy (Detector: DI-01)") and "COVERAGE GAPS" not in text and "   Risk Qualitative: \n" in text
+
+
+def test_signatures_by_the_callers_verifier(spark):
+    """It sees only rows that have all three; what it can't judge, and rows without a signature or key, are gaps."""
+    import pandas as pd
+
+    rows = [(1, "d", "good", 1), (2, "d", "bad", 1), (3, "d", None, 1), (4, "d", "good", 9), (5, "d", "odd", 1), (6, None, "good", 1), (7, "d", "good", None)]
+    seen = "manifest_id long, digest string, signature string, key_id int"
+    keys = spark.createDataFrame([(1, "k")], "key_id int, key string")
+
+    def verify(digest, signature, key):
+        assert digest.notna().all() and signature.notna().all() and key.notna().all()
+        return pd.Series([None if s == "odd" else s == "good" for s in signature])
+
+    out = {r["manifest_id"]: r["signature_valid"] for r in provenance.signature_verdicts(spark.createDataFrame(rows, seen), keys, verify).collect()}
+    assert out == {1: True, 2: False, 3: None, 4: None, 5: None, 6: None, 7: None}
