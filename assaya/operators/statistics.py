@@ -48,6 +48,13 @@ def parameter_totals(stats: DataFrame, key: str = "model_id") -> DataFrame:
     return sums.withColumn("std_value", F.when(F.col("_squares").isNotNull(), deviation)).drop("_squares")
 
 
+def dtype_counts(values: DataFrame, key: str = "model_id") -> DataFrame:
+    """(key, dtype, tensors, parameters) beside a model's totals, over values (key, tensor_name, dtype). Tensors are counted
+    after their values are summed up, so a large one is no burden."""
+    per_tensor = values.groupBy(key, "tensor_name", "dtype").agg(F.count("*").alias("_n"))
+    return per_tensor.groupBy(key, "dtype").agg(F.count("*").alias("tensors"), F.sum("_n").alias("parameters"))
+
+
 def parameter_verdict(stats: DataFrame, key: str = "model_id") -> DataFrame:
     """Per model the first that holds: non-finite values (HIGH, CRITICAL from 100), extreme ones (bounds of all values beyond
     1e4 or their deviation beyond 1e3; MEDIUM), a tensor of 1000 elements or more with zeros from 0.999 (LOW), NONE. The

@@ -26,6 +26,12 @@ def parameter_totals(spark, sf_dir) -> DataFrame:
     return found.select("model_id", "parameters", "tensors", "non_finite", *_R6("sparsity", "min_value", "max_value"), F.round("mean_value", 4).alias("mean_value"), F.round("std_value", 3).alias("std_value"))
 
 
+def tensor_types(spark, sf_dir) -> DataFrame:
+    """Quantities stand for whole numbers."""
+    dtype = F.when(F.col("tensor_name") == "l_quantity", "int8").when(F.col("tensor_name") == "l_extendedprice", "float64").otherwise("float32")
+    return st.dtype_counts(tensors(spark, sf_dir).withColumn("dtype", dtype))
+
+
 def activations(spark, sf_dir) -> DataFrame:
     """Event values: a type is a layer, a user's last digit a probe, values under 1 count as 0."""
     events = table(spark, sf_dir, "events")
@@ -178,7 +184,7 @@ def assessment_summaries(spark, sf_dir) -> DataFrame:
     return sums.select("assessment_id", "overall_risk", "applicable", "executed", *_R6("coverage"), "overall_confidence", advice.alias("disposition"))
 
 
-QUERIES = {f.__name__: f for f in (tensor_statistics, parameter_verdicts, parameter_totals, activation_verdicts, output_comparison, comparison_verdict, output_diversity, trigger_evaluations, trigger_verdicts, structural_fingerprint, behavioural_fingerprint, fingerprint_diff, fingerprint_verdicts, file_comparisons, feature_profiles, language_drift, outside_shares, reference_outliers, distribution_outliers, contributor_rates, assessment_summaries)}
+QUERIES = {f.__name__: f for f in (tensor_statistics, parameter_verdicts, parameter_totals, tensor_types, activation_verdicts, output_comparison, comparison_verdict, output_diversity, trigger_evaluations, trigger_verdicts, structural_fingerprint, behavioural_fingerprint, fingerprint_diff, fingerprint_verdicts, file_comparisons, feature_profiles, language_drift, outside_shares, reference_outliers, distribution_outliers, contributor_rates, assessment_summaries)}
 
 _STATS = f"""{TENSORS_SQL},
 stats AS (SELECT model_id, tensor_name, count(value) AS numel, count_if(isnan(value)) AS nan_count, count_if(isinf(value)) AS inf_count, count_if(value = 0) / count(value) AS zero_fraction,
@@ -200,6 +206,7 @@ d AS (SELECT a.m AS model_id, a.section, a.field, a.v AS reference, b.v AS obser
 _PROFILE = "SELECT feature, quantile_cont(value, 0.5) AS median, CASE WHEN quantile_cont(value, 0.75) - quantile_cont(value, 0.25) <= 1e-4 THEN 1.0 ELSE quantile_cont(value, 0.75) - quantile_cont(value, 0.25) END AS iqr FROM"
 ORACLES = {
     "tensor_statistics": f"WITH {_STATS} SELECT model_id, tensor_name, numel, nan_count, inf_count, round(zero_fraction, 6) AS zero_fraction, round(min_value, 6) AS min_value, round(max_value, 6) AS max_value, round(mean_value, 6) AS mean_value, round(std_value, 4) AS std_value FROM stats",
+    "tensor_types": f"""WITH {TENSORS_SQL} SELECT model_id, CASE tensor_name WHEN 'l_quantity' THEN 'int8' WHEN 'l_extendedprice' THEN 'float64' ELSE 'float32' END AS dtype, count(DISTINCT tensor_name) AS tensors, count(*) AS parameters FROM tensors GROUP BY 1, 2""",
     "parameter_totals": f"""WITH {TENSORS_SQL} SELECT model_id, count(value) AS parameters, count(DISTINCT tensor_name) AS tensors, count_if(isnan(value) OR isinf(value)) AS non_finite, round(count_if(value = 0) / count(value), 6) AS sparsity,
  round(min(value), 6) AS min_value, round(max(value), 6) AS max_value, round(avg(value), 4) AS mean_value, round(stddev_pop(value), 3) AS std_value FROM tensors GROUP BY 1""",
     "parameter_verdicts": f"""WITH {_STATS}, s AS (SELECT model_id, count_if(numel >= 1000 AND zero_fraction >= 0.999) AS sparse_tensors FROM stats GROUP BY 1),
