@@ -14,6 +14,7 @@ import hashlib
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from assaya.llm.slices import by_slice
 from assaya.shared import stored
 
 #: Units that a task remembers, and the most characters of one.
-_REMEMBERED, _SHORT = 200_000, 64
+_REMEMBERED, _SHORT = 300_000, 64
 #: Characters of units that are encoded in one call.
 _CALL = 1 << 16
 #: Bytes of the texts of a block, whose pairs are counted together.
@@ -79,15 +80,27 @@ class Aligner:
         self._forget()
 
     def _forget(self) -> None:
-        """``number`` of each known unit; by number its group text, packed links, and (n_a, n_b, n_groups, sound)."""
+        """``number`` of each known unit; by number its group text, packed links, and n_a, n_b, n_groups, sound (1 or 0)."""
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
         self.links: list[bytes] = []
-        self.counts: list[tuple[int, int, int, bool]] = []
+        self.counts = np.zeros((0, 4), np.int64)
+        self._more: list[np.ndarray] = []
+        self.again: set[str] = set()
+
+    def _forget_most(self) -> None:
+        """Keeps the units that came again, if they aren't many themselves."""
+        kept = [(u, k) for u, k in self.number.items() if u in self.again]
+        old = self.groups, self.links, self.counts
+        self._forget()
+        if len(kept) <= _REMEMBERED // 2:
+            self.number = {u: i for i, (u, _) in enumerate(kept)}
+            at = [k for _, k in kept]
+            self.groups, self.links, self.counts = [old[0][k] for k in at], [old[1][k] for k in at], old[2][at]
 
     def _tokens_a(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         found = self.a.encode(text, add_special_tokens=False)
-        ids, spans = np.array(found.ids, np.int64), np.array(found.offsets, np.int64).reshape(-1, 2)
+        ids, spans = np.array(found.ids, np.int64), np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(found.ids)).reshape(-1, 2)
         if not text.isascii():
             code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             at = np.append(0, np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)))
@@ -98,9 +111,10 @@ class Aligner:
         """B puts the first blank itself, and its spans don't count it."""
         if text == " ":
             return np.array([self.blank]), np.array([0])
-        rows = [(p.id, p.begin, p.end) for p in self.b.encode(text[1:], return_type="proto").pieces]
-        ids, begin, end = np.array(rows, np.int64).reshape(-1, 3).T
-        begin, end = begin + 1, end + 1
+        pieces = self.b.encode(text[1:], return_type="proto").pieces
+        n = len(pieces)
+        ids = np.fromiter((p.id for p in pieces), np.int64, n)
+        begin, end = np.fromiter((p.begin + 1 for p in pieces), np.int64, n), np.fromiter((p.end + 1 for p in pieces), np.int64, n)
         begin[:1] = 0
         return ids, edges(begin, end, self.b_size[ids])
 
@@ -114,24 +128,26 @@ class Aligner:
                 for unit in units:
                     self._align([unit])
                 return
-            self._add(units[0], "", b"", (0, 0, 0, False))
+            self._add(units[0], "", b"")
+            self._more.append(np.zeros((1, 4), np.int64))
             return
         sizes = [len(u) for u in units] if len(data) == len(text) else [len(u.encode()) for u in units]
         bases = np.append(0, np.cumsum(sizes))
-        shared = np.intersect1d(a_at, b_at, assume_unique=True)
-        parts = np.union1d(a_at, b_at)
-        pairs = a[np.searchsorted(a_at, parts, "right") - 1] * self.n_b + b[np.searchsorted(b_at, parts, "right") - 1]
-        packed = pairs.astype("<i8").tobytes()
-        texts = self._group_texts(a, a_at, b, b_at, shared)
-        a_to, b_to, shared_to, parts_to = (np.searchsorted(x, bases).tolist() for x in (a_at, b_at, shared, parts))
+        in_a, in_b = np.zeros(len(data), bool), np.zeros(len(data), bool)
+        in_a[a_at], in_b[b_at] = True, True
+        upto_a, upto_b, upto_both, upto_any = (np.append(0, np.cumsum(x)) for x in (in_a, in_b, in_a & in_b, in_a | in_b))
+        parts = np.flatnonzero(in_a | in_b) + 1
+        packed = (a[upto_a[parts] - 1] * self.n_b + b[upto_b[parts] - 1]).astype("<i8").tobytes()
+        texts = self._group_texts(a, b, upto_both[a_at + 1], upto_both[b_at + 1])
+        to = np.stack([upto_a[bases], upto_b[bases], upto_both[bases]], axis=1)
+        self._more.append(np.append(np.diff(to, axis=0), np.ones((len(units), 1), np.int64), axis=1))
+        texts_to, links_to = (to[:, 0] + to[:, 1]).tolist(), (8 * upto_any[bases]).tolist()
         for i, unit in enumerate(units):
-            n_a, n_b = a_to[i + 1] - a_to[i], b_to[i + 1] - b_to[i]
-            listed = "".join(texts[a_to[i] + b_to[i] : a_to[i + 1] + b_to[i + 1]])
-            self._add(unit, listed, packed[8 * parts_to[i] : 8 * parts_to[i + 1]], (n_a, n_b, shared_to[i + 1] - shared_to[i], True))
+            self._add(unit, "".join(texts[texts_to[i] : texts_to[i + 1]]), packed[links_to[i] : links_to[i + 1]])
 
-    def _group_texts(self, a, a_at, b, b_at, shared) -> list[str]:
+    def _group_texts(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> list[str]:
         """The decimal ids in the order of the groups, A's before B's, each with what follows it."""
-        group = np.append(np.searchsorted(shared, a_at, "right"), np.searchsorted(shared, b_at, "right"))
+        group = np.append(a_group, b_group)
         side = np.repeat([0, 1], [len(a), len(b)])
         order = np.argsort(2 * group + side, kind="stable")
         key = (2 * group + side)[order]
@@ -139,17 +155,22 @@ class Aligner:
         after = np.where(ends, 1 + side[order], 0)
         return [self._texts[k][i] for k, i in zip(after.tolist(), np.append(a, b)[order].tolist())]
 
-    def _add(self, unit: str, listed: str, links: bytes, counts: tuple[int, int, int, bool]) -> None:
+    def _add(self, unit: str, listed: str, links: bytes) -> None:
         self.number[unit] = len(self.groups)
         self.groups.append(listed)
         self.links.append(links)
-        self.counts.append(counts)
+
+    def _settle(self) -> None:
+        self.counts, self._more = np.concatenate([self.counts, *self._more]), []
 
     def _learn(self, units: set[str]) -> None:
-        if len(self.groups) + len(units - self.number.keys()) > _REMEMBERED:
-            self._forget()
+        new = units - self.number.keys()
+        self.again |= units - new
+        if len(self.groups) + len(new) > _REMEMBERED:
+            self._forget_most()
+            new = units - self.number.keys()
         held, size = [], 0
-        for unit in units - self.number.keys():
+        for unit in new:
             if unit[-1].isspace() or len(unit) > _CALL:
                 self._align([unit])
                 continue
@@ -160,6 +181,7 @@ class Aligner:
                 held, size = [], 0
         if held:
             self._align(held)
+        self._settle()
 
     def align(self, texts: list[str]) -> list[tuple[int, int, int, bytes, str]]:
         """Per text n_a, n_b, n_groups, the packed links (A id times the number of B's pieces, plus B id) in order, and the
@@ -169,15 +191,16 @@ class Aligner:
         out, passing = [], []
         for text, units in zip(texts, split):
             known = list(map(self.number.__getitem__, units))
-            if not all(self.counts[k][3] for k in known):
+            sums = self.counts[known]
+            if not sums[:, 3].all():
                 if len(units) > 1:  # parts differ; the whole might yet be the same
                     self._align([" " + text])
+                    self._settle()
                     known = [self.number.pop(" " + text)]
                     passing += known
-                if not self.counts[known[0]][3]:
-                    known = []
-            sums = np.array([self.counts[k][:3] for k in known], np.int64).reshape(-1, 3).sum(axis=0).tolist()
-            out.append((*sums, b"".join(map(self.links.__getitem__, known)), "".join(map(self.groups.__getitem__, known))[:-1]))
+                known = known if self.counts[known[0], 3] else []
+                sums = self.counts[known]
+            out.append((*sums[:, :3].sum(axis=0).tolist(), b"".join(map(self.links.__getitem__, known)), "".join(map(self.groups.__getitem__, known))[:-1]))
         passing += [self.number.pop(u) for u in set().union(*split) if len(u) > _SHORT]
         for k in passing:
             self.groups[k], self.links[k] = "", b""
