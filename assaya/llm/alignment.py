@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens, and how often token pairs go together over a corpus.
 
-Spans say where a token lies: the character offsets of the first library, the byte spans of the second's protos. They are
-coarse. A token that holds a part of a character has the whole character's span, and byte pieces before a character's last
+Spans say where a token lies: the character offsets of the first library, the byte spans of the second's mapping (those of
+its protos, as one list). They are coarse. A token that holds a part of a character has the whole character's span, and byte pieces before a character's last
 have none. So spans count only where no token before reaches further and neither side is empty; between such cuts the
 decoded bytes of the tokens say where each begins.
 
@@ -14,7 +14,7 @@ import hashlib
 import json
 import os
 import re
-from itertools import chain
+from itertools import chain, count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +77,7 @@ class Aligner:
         inner = any(b" " in x.lstrip(b" ") for x in self.b_bytes)
         self.units = None if inner or split.get("type") != "ByteLevel" or not split.get("use_regex") else _UNITS
         self._texts = [[f"{i}{end}" for i in range(max(n, len(self.a_bytes)))] for end in ",|;"]
+        self._text_size = np.fromiter(map(len, self._texts[0]), np.int64, len(self._texts[0]))
         self._forget()
 
     def _forget(self) -> None:
@@ -100,7 +101,8 @@ class Aligner:
 
     def _tokens_a(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         found = self.a.encode(text, add_special_tokens=False)
-        ids, spans = np.array(found.ids, np.int64), np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(found.ids)).reshape(-1, 2)
+        ids = np.array(found.ids, np.int64)
+        spans = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
         if not text.isascii():
             code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             at = np.append(0, np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)))
@@ -111,12 +113,11 @@ class Aligner:
         """B puts the first blank itself, and its spans don't count it."""
         if text == " ":
             return np.array([self.blank]), np.array([0])
-        pieces = self.b.encode(text[1:], return_type="proto").pieces
-        n = len(pieces)
-        ids = np.fromiter((p.id for p in pieces), np.int64, n)
-        begin, end = np.fromiter((p.begin + 1 for p in pieces), np.int64, n), np.fromiter((p.end + 1 for p in pieces), np.int64, n)
-        begin[:1] = 0
-        return ids, edges(begin, end, self.b_size[ids])
+        found = self.b.encode(text[1:], return_type="offset_mapping", return_bytes=True)
+        ids = np.array(found["ids"], np.int64)
+        spans = np.fromiter(chain.from_iterable(found["offsets"]), np.int64, 2 * len(ids)).reshape(-1, 2) + 1
+        spans[:1, 0] = 0
+        return ids, edges(spans[:, 0], spans[:, 1], self.b_size[ids])
 
     def _align(self, units: list[str]) -> None:
         """Adds units that can stand side by side: no one but the last ends in whitespace."""
@@ -128,7 +129,7 @@ class Aligner:
                 for unit in units:
                     self._align([unit])
                 return
-            self._add(units[0], "", b"")
+            self._add(units, [""], [b""])
             self._more.append(np.zeros((1, 4), np.int64))
             return
         sizes = [len(u) for u in units] if len(data) == len(text) else [len(u.encode()) for u in units]
@@ -138,27 +139,28 @@ class Aligner:
         upto_a, upto_b, upto_both, upto_any = (np.append(0, np.cumsum(x)) for x in (in_a, in_b, in_a & in_b, in_a | in_b))
         parts = np.flatnonzero(in_a | in_b) + 1
         packed = (a[upto_a[parts] - 1] * self.n_b + b[upto_b[parts] - 1]).astype("<i8").tobytes()
-        texts = self._group_texts(a, b, upto_both[a_at + 1], upto_both[b_at + 1])
+        listed, ends = self._group_texts(a, b, upto_both[a_at + 1], upto_both[b_at + 1])
         to = np.stack([upto_a[bases], upto_b[bases], upto_both[bases]], axis=1)
         self._more.append(np.append(np.diff(to, axis=0), np.ones((len(units), 1), np.int64), axis=1))
-        texts_to, links_to = (to[:, 0] + to[:, 1]).tolist(), (8 * upto_any[bases]).tolist()
-        for i, unit in enumerate(units):
-            self._add(unit, "".join(texts[texts_to[i] : texts_to[i + 1]]), packed[links_to[i] : links_to[i + 1]])
+        texts_to, links_to = ends[to[:, 0] + to[:, 1]].tolist(), (8 * upto_any[bases]).tolist()
+        self._add(units, [listed[i:j] for i, j in pairwise(texts_to)], [packed[i:j] for i, j in pairwise(links_to)])
 
-    def _group_texts(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> list[str]:
-        """The decimal ids in the order of the groups, A's before B's, each with what follows it."""
+    def _group_texts(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> tuple[str, np.ndarray]:
+        """The decimal ids in the order of the groups, A's before B's, each with what follows it; and where they end."""
         group = np.append(a_group, b_group)
         side = np.repeat([0, 1], [len(a), len(b)])
         order = np.argsort(2 * group + side, kind="stable")
         key = (2 * group + side)[order]
         ends = np.append(key[1:] != key[:-1], True)
         after = np.where(ends, 1 + side[order], 0)
-        return [self._texts[k][i] for k, i in zip(after.tolist(), np.append(a, b)[order].tolist())]
+        ids = np.append(a, b)[order]
+        texts = [self._texts[k][i] for k, i in zip(after.tolist(), ids.tolist())]
+        return "".join(texts), np.append(0, np.cumsum(self._text_size[ids]))
 
-    def _add(self, unit: str, listed: str, links: bytes) -> None:
-        self.number[unit] = len(self.groups)
-        self.groups.append(listed)
-        self.links.append(links)
+    def _add(self, units: list[str], listed: list[str], links: list[bytes]) -> None:
+        self.number.update(zip(units, count(len(self.groups))))
+        self.groups += listed
+        self.links += links
 
     def _settle(self) -> None:
         self.counts, self._more = np.concatenate([self.counts, *self._more]), []
@@ -187,21 +189,24 @@ class Aligner:
         """Per text n_a, n_b, n_groups, the packed links (A id times the number of B's pieces, plus B id) in order, and the
         groups' text. All zero and empty without text, and where the tokens don't give the text back."""
         split = [(self.units.findall(" " + t) if self.units else [" " + t]) if t else [] for t in texts]
-        self._learn(set().union(*split))
+        distinct = set().union(*split)
+        self._learn(distinct)
+        every = list(map(self.number.__getitem__, chain.from_iterable(split)))
+        ends = np.append(0, np.cumsum([len(units) for units in split], dtype=np.int64))
+        sums = np.diff(np.append(np.zeros((1, 4), np.int64), np.cumsum(self.counts[every], axis=0), axis=0)[ends], axis=0).tolist()
         out, passing = [], []
-        for text, units in zip(texts, split):
-            known = list(map(self.number.__getitem__, units))
-            sums = self.counts[known]
-            if not sums[:, 3].all():
+        for text, units, (lo, hi), (*counts, sound) in zip(texts, split, pairwise(ends.tolist()), sums):
+            known = every[lo:hi]
+            if sound < len(units):
                 if len(units) > 1:  # parts differ; the whole might yet be the same
                     self._align([" " + text])
                     self._settle()
                     known = [self.number.pop(" " + text)]
                     passing += known
                 known = known if self.counts[known[0], 3] else []
-                sums = self.counts[known]
-            out.append((*sums[:, :3].sum(axis=0).tolist(), b"".join(map(self.links.__getitem__, known)), "".join(map(self.groups.__getitem__, known))[:-1]))
-        passing += [self.number.pop(u) for u in set().union(*split) if len(u) > _SHORT]
+                counts = self.counts[known, :3].sum(axis=0).tolist()
+            out.append((*counts, b"".join(map(self.links.__getitem__, known)), "".join(map(self.groups.__getitem__, known))[:-1]))
+        passing += [self.number.pop(u) for u in distinct if len(u) > _SHORT]
         for k in passing:
             self.groups[k], self.links[k] = "", b""
         return out
@@ -230,7 +235,8 @@ def blocks(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "doc_i
             found = aligner.align([t or "" for t in texts.to_pylist()])
             links = np.frombuffer(b"".join(f[3] for f in found), "<i8")
             n_links = np.array([len(f[3]) // 8 for f in found], np.int64)
-            pairs, place = np.unique(links, return_inverse=True)
+            coded = pa.array(links).dictionary_encode()
+            pairs, place = coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
             own, times = np.unique(np.repeat(np.arange(len(found)), n_links) * max(1, len(pairs)) + place, return_counts=True)
             doc, at = np.divmod(own, max(1, len(pairs)))
             offsets = pa.array(np.append(np.searchsorted(doc, np.arange(len(found) + 1)), len(own)).astype(np.int32))
