@@ -48,7 +48,8 @@ def stream_sequence_anomalies(spark, sf_dir) -> DataFrame:
 
 
 def stream_nonce_reuse(spark, sf_dir) -> DataFrame:
-    return _streamed(_arrivals(spark, sf_dir), checks.nonce_reuse, ["manifest_id", "first_manifest"], F.col("arrival") <= 20)
+    with checks.state_store(spark):
+        return _streamed(_arrivals(spark, sf_dir), checks.nonce_reuse, ["manifest_id", "first_manifest"], F.col("arrival") <= 20)
 
 
 def stream_chain_failures(spark, sf_dir) -> DataFrame:

@@ -1,47 +1,106 @@
 """The stateful checks on streams. Each orders by arrival, never by sequence or time of the record, so that a late or
 reordered record shows as an anomaly, as it does in the batch form beside it (``assaya.operators``).
 
-The rows that a micro-batch has of one key are put in order in one worker, with the few columns that the check reads. Where
-one stream has most rows, the source's limit on a micro-batch (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``) bounds them.
+For sequences and chains the rows that a micro-batch has of one key are put in order in one worker, with the few columns that
+the check reads. Where one stream has most rows, the source's limit on a micro-batch (``maxFilesPerTrigger`` or
+``maxBytesPerTrigger``) bounds them. Reuse of nonces needs no order but the first, so its rows aren't joined.
 """
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from assaya.operators.ledger import GENESIS, event_hash
 
 
-def _timeout(ttl_ms: int | None) -> str:
-    return GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+#: ``nonce_reuse`` keeps several states for a key, which this state store alone can.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def nonce_reuse(arrivals: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """(manifest_id, first_manifest) for each arrival (manifest_id, nonce, arrival) whose nonce came before. State is a row
-    for each nonce; ``ttl_ms`` drops one that wasn't seen for so long, and with it the memory of it."""
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Within it, streams that are started keep their state in ``STATE_STORE``; then the session's setting is put back."""
+    name, value = STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
+
+class _NonceReuse(StatefulProcessor):
+    """Remembers the first manifest of a nonce. Of a nonce that is new, a micro-batch's arrivals of more than one frame
+    wait in the state until all are seen and the first of them is known; of a known one they pass as they come. So frames
+    aren't joined."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "manifest_id long", self.ttl_ms)
+        self.waiting = handle.getListState("waiting", "arrival long, manifest_id long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        known = self.first.get()
+        if known is not None:
+            for pdf in rows:
+                yield self._reused(pdf["manifest_id"].tolist(), known[0])
+            self.first.update(known)  # seen now, for its time to live
+            return
+        one, more = next(rows, None), next(rows, None)
+        if one is None:
+            return
+        if more is None:  # all of them in one frame
+            (_, first), *others = sorted(zip(one["arrival"].tolist(), one["manifest_id"].tolist()))
+            yield self._reused([m for _, m in others], first)
+            self.first.update((first,))
             return
-        first = state.get[0] if state.exists else None
-        for pdf in [pd.concat(list(batches)).sort_values("arrival", kind="stable")]:
-            found = []
-            for m in pdf["manifest_id"]:
-                if first is None:
-                    first = int(m)
-                else:
-                    found.append((int(m), first))
-            yield pd.DataFrame(found, columns=["manifest_id", "first_manifest"]).astype("int64")
-        state.update((first,))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-
-    return arrivals.select("nonce", "manifest_id", "arrival").groupBy("nonce").applyInPandasWithState(step, "manifest_id long, first_manifest long", "first long", "append", _timeout(ttl_ms))
+        least = None
+        for pdf in chain([one, more], rows):
+            arrived = list(zip(pdf["arrival"].tolist(), pdf["manifest_id"].tolist()))
+            least = min(arrived if least is None else [least, *arrived])
+            self.waiting.appendList(arrived)
+        others, passed = [], False
+        for row in self.waiting.get():
+            if not passed and tuple(row) == least:
+                passed = True
+                continue
+            others.append(row[1])
+            if len(others) == PASSED:
+                yield self._reused(others, least[1])
+                others = []
+        yield self._reused(others, least[1])
+        self.waiting.clear()
+        self.first.update((least[1],))
+
+    def _reused(self, manifests: list[int], first: int) -> pd.DataFrame:
+        return pd.DataFrame({"manifest_id": manifests, "first_manifest": [first] * len(manifests)}, dtype="int64")
+
+    def close(self) -> None:
+        pass
+
+
+#: Rows that a new nonce's waiting arrivals are passed on in.
+PASSED = 10_000
+
+
+def nonce_reuse(arrivals: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """(manifest_id, first_manifest) for each arrival (manifest_id, nonce, arrival) whose nonce came before; of equal arrivals
+    the least manifest_id is first. Arrivals without an id or an order are left out. State is a row for each nonce;
+    ``ttl_ms`` drops one that wasn't seen for so long, and with it the memory of it. The query that reads it has to be
+    started with ``STATE_STORE``, as within ``state_store``. ``ttl_ms`` is for streams that go on: a run under
+    ``trigger(availableNow=True)`` with it didn't end when tried, and no test covers it."""
+    rows = arrivals.select("nonce", F.col("manifest_id").cast("long"), F.col("arrival").cast("long")).filter("manifest_id is not null and arrival is not null")
+    mode = "processingTime" if ttl_ms else "none"
+    return rows.groupBy("nonce").transformWithStateInPandas(_NonceReuse(ttl_ms), "manifest_id long, first_manifest long", "append", mode)
 
 
 def sequence_anomalies(arrivals: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Streams of files through the sinks and the stateful checks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from assaya.streaming import checks
@@ -60,8 +61,26 @@ def test_state_outlives_a_restart(spark, tmp_path):
     assert {tuple(r) for r in out.select("manifest_id", "anomaly", "gap_size").collect()} == {(3, "sequence_gap", 3), (4, "sequence_regression", None)}
 
 
-def test_a_nonce_is_remembered(spark, tmp_path):
+@pytest.fixture
+def few_rows(spark, request):
+    """So many rows to a frame, in two partitions."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(request.param), "spark.sql.shuffle.partitions": "2"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for settings in (wanted, before):
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        if settings is wanted:
+            yield
+
+
+@pytest.mark.parametrize("few_rows", [1, 1000], indirect=True)
+def test_a_nonce_is_remembered(spark, tmp_path, few_rows):
+    """Known from a batch before, and first seen with several arrivals in one batch, in any order; one row comes twice."""
     schema = "nonce string, manifest_id long, arrival long"
-    run(spark, [("n", 1, 1), ("m", 2, 2)], schema, str(tmp_path), "x", checks.nonce_reuse)
-    out = run(spark, [("n", 3, 3), ("k", 4, 4)], schema, str(tmp_path), "x", checks.nonce_reuse)
-    assert {tuple(r) for r in out.select("manifest_id", "first_manifest").collect()} == {(3, 1)}
+    before = spark.conf.get(checks.STATE_STORE[0])
+    with checks.state_store(spark):
+        run(spark, [("n", 1, 1), ("m", 2, 2), ("r", None, 0)], schema, str(tmp_path), "x", checks.nonce_reuse)
+        rows = [("n", 3, 3), ("k", 4, 4), ("r", 7, 9), ("r", 6, 5), ("r", 5, 6), ("r", 6, 5), ("q", 9, 8), ("q", 8, 8), (None, 10, 10), (None, 11, 11)]
+        out = run(spark, rows, schema, str(tmp_path), "x", checks.nonce_reuse)
+    assert sorted(map(tuple, out.select("manifest_id", "first_manifest").collect())) == [(3, 1), (5, 6), (6, 6), (7, 6), (9, 8), (11, 10)]
+    assert spark.conf.get(checks.STATE_STORE[0]) == before
