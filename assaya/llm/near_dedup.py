@@ -271,11 +271,14 @@ def _buckets(classes: DataFrame) -> DataFrame:
     the same members as one of a lower band is left out: all its pairs share that lower band too."""
     bytes_per_band = SIZE // BANDS * 2
     band_keys = [F.xxhash64(F.substring("sig", 1 + i * bytes_per_band, bytes_per_band), F.lit(i)) for i in range(BANDS)]
-    banded = classes.select("node", "copies", "weight", F.posexplode(F.array(*band_keys)).alias("band", "key"))
+    banded = classes.select("node", F.posexplode(F.array(*band_keys)).alias("band", "key"))
+    # most keys are of one class only: they go no further than a count, and rows of the others are few enough to be told more
+    shared = banded.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
+    met = cut(banded.join(shared, "key", "left_semi").join(classes.select("node", "copies", "weight"), "node"))
     members = [F.bit_xor(F.xxhash64(F.lit(salt), "node")).alias(f"_m{salt}") for salt in (1, 2)]
-    shared = banded.groupBy("key").agg(F.count("*").alias("_n"), F.min("band").alias("_band"), F.max_by("node", "copies").alias("pivot"), *members)
-    kept = shared.filter("_n > 1").groupBy("_n", "_m1", "_m2").agg(F.min_by(F.struct("key", "pivot"), "_band").alias("_k")).select("_k.key", "_k.pivot")
-    return cut(banded.join(kept, "key").select("key", "band", "node", "pivot", F.col("weight").alias("weight_of")))
+    same = met.groupBy("key").agg(F.count("*").alias("_n"), F.min("band").alias("_band"), F.max_by("node", "copies").alias("pivot"), *members)
+    kept = same.groupBy("_n", "_m1", "_m2").agg(F.min_by(F.struct("key", "pivot"), "_band").alias("_k")).select("_k.key", "_k.pivot")
+    return cut(met.join(kept, "key").select("key", "band", "node", "pivot", F.col("weight").alias("weight_of")))
 
 
 def group(
@@ -294,12 +297,13 @@ def group(
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     members = _buckets(classes)
 
-    wanted = classes.select("node", "rep.*").join(members.select("node").distinct(), "node", "left_semi")
+    # of classes that meet no other neither text nor signature is needed
+    met = cut(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "sig", "rep.*"))
+    wanted, sigs = met.select("node", "id", "text_hash"), met.select("node", "sig")
     texts = _texts(docs, id_col, text_col).join(wanted, ["id", "text_hash"])
     texts = cut(texts.groupBy("id", "text_hash").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"))
 
     # each member with the most copied class of its buckets
-    sigs = classes.select("node", "sig")
     star = members.filter("node <> pivot").select("node", "pivot").distinct()
     star = star.join(sigs, "node").join(sigs.select(F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
     star = _likely(star.select("node", "pivot", "sig", "pivot_sig"))

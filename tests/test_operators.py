@@ -81,6 +81,28 @@ def test_components(spark):
     assert out == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 200: 200}
 
 
+def test_few_links_take_few_tasks(spark):
+    """Each task of a shuffle leaves files: with many shuffle partitions few links must not take them all in each round."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    several = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in several}
+    context = spark.sparkContext
+    try:
+        for k, v in several.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few links", "")
+        out = dict(map(tuple, components(edges).collect()))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert out == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    status = context.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("few links") for s in status.getJobInfo(j).stageIds}
+    tasks = sum(found.numCompletedTasks for s in stages if (found := status.getStageInfo(s)))
+    assert 0 < tasks < 16 * 64, tasks
+
+
 def test_label_conflicts(spark):
     rows = [(1, "a", 0, ["cat"]), (2, "b", 1, ["dog"]), (3, "a", 0, ["dog", "cat"]), (4, "c", 1 << 20, []), (5, "d", 0xFFFFFF, ["owl"])]
     df = spark.createDataFrame(rows, "seq long, sha256 string, h long, labels array<string>")
