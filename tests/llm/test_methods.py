@@ -223,6 +223,34 @@ def test_repeated_ids_link_all_their_texts(spark):
     assert sorted(r["doc_id"] for r in near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [3, 4, 11]
 
 
+def test_few_copies_take_few_tasks_in_the_pipeline(spark):
+    """Over many shuffle partitions the stage's rounds on a few links don't take them all; what stays is the same."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    base = [rng.choices(words, k=100) for _ in range(10)]
+    texts = {10 * i + j: " ".join(b[: 100 - j]) for i, b in enumerate(base) for j in range(6)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    several = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"} | corpus_pipeline.BATCH
+    before = {k: spark.conf.get(k) for k in several}
+    context = spark.sparkContext
+    try:
+        for k, v in several.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few copies", "")
+        kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert kept == {k for k, (_, root) in _components(texts).items() if k == root}
+    status = context.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("few copies") for s in status.getJobInfo(j).stageIds}
+    tasks = sum(found.numCompletedTasks for s in stages if (found := status.getStageInfo(s)))
+    assert 0 < tasks < 80 * 48, tasks
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 600).astype(np.uint64)
