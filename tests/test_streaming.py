@@ -84,3 +84,21 @@ def test_a_nonce_is_remembered(spark, tmp_path, few_rows):
         out = run(spark, rows, schema, str(tmp_path), "x", checks.nonce_reuse)
     assert sorted(map(tuple, out.select("manifest_id", "first_manifest").collect())) == [(3, 1), (5, 6), (6, 6), (7, 6), (9, 8), (11, 10)]
     assert spark.conf.get(checks.STATE_STORE[0]) == before
+
+
+@pytest.mark.parametrize("few_rows", [7, 1000], indirect=True)
+def test_many_nonces_share_a_key_of_the_state(spark, tmp_path, few_rows):
+    """The state is called for each bucket, not for each nonce; over batches and frames the firsts are each nonce's own."""
+    import random
+
+    rng, schema = random.Random(3), "nonce string, manifest_id long, arrival long"
+    batches = [[(f"n{rng.randrange(60)}" if rng.random() < 0.9 else rng.choice((None, "")), 100 * b + i, 100 * b + rng.randrange(40)) for i in range(100)] for b in range(3)]
+    first, want = {}, []
+    with checks.state_store(spark):
+        for rows in batches:
+            out = run(spark, rows, schema, str(tmp_path), "x", lambda stream: checks.nonce_reuse(stream, buckets=3))
+            for nonce, manifest, _ in sorted(rows, key=lambda r: (r[2], r[1])):
+                if nonce in first:
+                    want.append((manifest, first[nonce]))
+                first.setdefault(nonce, manifest)
+    assert sorted(map(tuple, out.select("manifest_id", "first_manifest").collect())) == sorted(want)
