@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 COCO = (
     "info struct<contributor:string>, images array<struct<id:bigint,file_name:string,width:bigint,height:bigint,contributor:string,source:string,user_id:string,annotator:string>>, "
@@ -14,7 +15,19 @@ def read_coco(spark: SparkSession, path: str, skip: bool = False) -> dict[str, D
     that isn't JSON (``not_json``) or has a field of another type (``bad_field``). Fails closed: without ``skip`` the first
     error raises; with it such files give no rows."""
     read = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True)
-    every = read.schema(f"{COCO}, _corrupt string").json(path).withColumn("file", F.col("_metadata.file_path"))
+    return _coco_frames(read.schema(f"{COCO}, _corrupt string").json(path).withColumn("file", F.col("_metadata.file_path")), skip)
+
+
+def coco_documents(documents: DataFrame, content: str = "value", skip: bool = False) -> dict[str, DataFrame]:
+    """As ``read_coco``, of COCO files that are kept as texts (file, ``content``) of a table, as very many small ones are: a
+    file of its own, and a folder, cost each more than its reading. A null or blank text is ``not_json``."""
+    parsed = F.from_json(content, f"{COCO}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = documents.select("file", F.when(F.trim(content) != "", parsed).alias("x"))
+    fields = [F.col(f"x.{c}").alias(c) for c in ("info", "images", "categories", "annotations")]
+    return _coco_frames(rows.select("file", *fields, F.when(F.col("x").isNull(), "").otherwise(F.col("x._corrupt")).alias("_corrupt")), skip)
+
+
+def _coco_frames(every: DataFrame, skip: bool) -> dict[str, DataFrame]:
     code = F.when(F.col("_corrupt").isNotNull(), F.when(F.col("images").isNull() & F.col("annotations").isNull() & F.col("categories").isNull(), "not_json").otherwise("bad_field"))
     raw, errors = split_valid(every.withColumn("code", code), "code", skip)
     image = raw.select("file", F.col("info.contributor").alias("_info"), F.explode("images").alias("x")).select("file", "_info", "x.*")
@@ -141,9 +154,26 @@ def sidecar_records(documents: DataFrame, content: str = "value") -> DataFrame:
     return rows.filter("file_name is not null")
 
 
-def append_samples(rows: DataFrame, path: str, partition: str = "dataset_id") -> None:
-    """Adds samples to the store in ``path``, a folder for each dataset."""
-    rows.write.mode("append").partitionBy(partition).parquet(path)
+#: Parts of a store of samples that its datasets are dealt to. Datasets can be many and small: a folder for each, and in it
+#: a file from every task, is as many files as samples.
+PARTS = 64
+
+
+def append_samples(rows: DataFrame, path: str, dataset: str = "dataset_id") -> None:
+    """Adds samples to the store in ``path``, a folder ``part=..`` for each of ``PARTS`` parts of the datasets. A part is
+    written by one task, or by some if it is large, and sorted, so that a dataset's rows lie together."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(dataset), F.lit(PARTS)).cast("int")).hint("rebalance", "part")
+    dealt.sortWithinPartitions("part", dataset).write.mode("append").partitionBy("part").parquet(path)
+
+
+def read_samples(spark: SparkSession, path: str, schema: StructType | str, dataset: str = "dataset_id", only: Column | None = None) -> DataFrame:
+    """The samples of the store in ``path``; of the one dataset ``only``, its part alone is read."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = spark.read.schema(StructType([*schema, StructField("part", IntegerType())])).parquet(path)
+    if only is not None:
+        only = only.cast(schema[dataset].dataType)
+        rows = rows.filter((F.col("part") == F.pmod(F.xxhash64(only), F.lit(PARTS))) & F.col(dataset).eqNullSafe(only))
+    return rows.drop("part")
 
 
 def merge_sidecars(records: DataFrame) -> DataFrame:

@@ -362,6 +362,34 @@ def test_manifest_digest(spark):
     assert one(spark, canonical.manifest_digest(F.lit(json.dumps(fields | {"nonce": "other"})), "maker_version")) != expected
 
 
+def test_many_small_annotation_files_as_rows(spark, tmp_path):
+    """Texts of a table are read as files are; a store of many datasets has some folders, not one with files from every task
+    for each dataset."""
+    texts = {
+        "good.json": json.dumps({"info": {"contributor": "me"}, "images": [{"id": 1, "file_name": "a.png"}], "categories": [{"id": 5, "name": "cat"}], "annotations": [{"id": 1, "image_id": 1, "category_id": 5}]}),
+        "cut.json": '{"images": [{"id": 1}], "categories": [], "annotations": [', "odd.json": '{"images": [], "categories": "x", "annotations": []}', "none.json": "{",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    documents = spark.createDataFrame(list(texts.items()), "file string, value string")
+    files, rows = annotations.read_coco(spark, str(tmp_path), skip=True), annotations.coco_documents(documents, skip=True)
+    for part in files:
+        of = lambda found: sorted(str({**r.asDict(), "file": r["file"].rsplit("/", 1)[-1]}) for r in found[part].collect())  # noqa: B023,E731
+        assert of(files) == of(rows)
+    assert rows["images"].count() == 1
+    with pytest.raises(ValueError, match="invalid record"):
+        annotations.coco_documents(documents)
+    blank = spark.createDataFrame([("a", ""), ("b", None)], "file string, value string")
+    assert {tuple(r) for r in annotations.coco_documents(blank, skip=True)["errors"].collect()} == {("a", "not_json"), ("b", "not_json")}
+    schema = "id long, dataset_id long"
+    for first in (0, 3000):
+        annotations.append_samples(spark.createDataFrame([(i, i % 300) for i in range(first, first + 3000)], schema).repartition(8), f"{tmp_path}/store")
+    stored = [f for f in (tmp_path / "store").rglob("*.parquet")]
+    assert len(stored) <= 2 * annotations.PARTS
+    assert sorted(map(tuple, annotations.read_samples(spark, f"{tmp_path}/store", schema).collect())) == [(i, i % 300) for i in range(6000)]
+    assert sorted(r["id"] for r in annotations.read_samples(spark, f"{tmp_path}/store", schema, only=F.lit(7)).collect()) == list(range(7, 6000, 300))
+
+
 def test_annotations(spark, tmp_path):
     coco = {"info": {"contributor": "me"}, "images": [{"id": 1, "file_name": "a.png"}, {"id": 1, "file_name": "b.png"}, {"id": 2, "file_name": "c.png", "source": " you "}], "categories": [{"id": 5, "name": "cat"}, {"id": 6, "name": " "}], "annotations": [{"id": 1, "image_id": 1, "category_id": 5, "bbox": [0, 0, 1, 1]}, {"id": 2, "image_id": 9, "category_id": 5}, {"id": 3, "image_id": 1, "category_id": 7, "bbox": [0, 0, 0, 1]}]}
     (tmp_path / "c.json").write_text(json.dumps(coco))
