@@ -605,6 +605,39 @@ def test_near_families_are_linked_without_their_pairs(spark, monkeypatch):
         assert {(r["cluster"], r["size"], r["max_distance"]) for r in out} == want
 
 
+@pytest.mark.parametrize("n", [0, 1, 20_000, 235_000, 3_000_000, 10**8, 10**9])
+def test_each_two_blocks_of_hashes_meet_once(n):
+    """Copies of a hash that are dealt out don't grow with the keys near its own, and a task holds a bounded number."""
+    blocks, ranges = similarity._deal(n)
+    meet = sorted(frozenset((b, (b + o) % blocks)) for b in range(blocks) for lo, hi in ranges for o in range(lo, hi)) if blocks < 100 else None
+    if meet is not None:
+        assert len(meet) == len(set(meet)) == blocks * (blocks + 1) // 2
+    offsets = [o for lo, hi in ranges for o in range(lo, hi)]
+    assert offsets == list(range(blocks // 2 + 1)) and blocks % 2 == 1
+    assert max(hi - lo for lo, hi in ranges) * n / blocks <= similarity.HELD
+    assert n > 10**8 or len(offsets) + len(ranges) <= 34
+
+
+def test_pairs_over_blocks_come_once(spark, monkeypatch):
+    """Wide bands and many blocks, candidates in parts: the pairs of plain comparison, each once."""
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "PACK", 150)
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**64, 400, np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 9), replace=False)) for _ in range(2400)], np.uint64)
+    x = np.unique(rng.choice(base, 2400) ^ flips)
+    near = np.bitwise_count(x[:, None] ^ x[None, :])
+    h = x.view(np.int64)
+    df = spark.createDataFrame([(int(v),) for v in h], "h long").repartition(3)
+    for threshold in (2, 4, 10):
+        want = {(min(int(h[i]), int(h[j])), max(int(h[i]), int(h[j])), int(near[i, j])) for i, j in np.argwhere(near <= threshold) if i < j}
+        got = [tuple(r) for r in similarity.near_hashes(df, threshold).collect()]
+        assert len(got) == len(want) and set(got) == want
+    forest = similarity.near_forest(df, 10)
+    assert forest.agg(F.max("distance")).first()[0] <= 10 and {tuple(r) for r in forest.select("a", "b").collect()} <= {(int(a), int(b)) for a in h for b in h if a != b}
+
+
 def test_hashes_of_tokens(spark):
     """Repeated rows have a hash each; blanks of every kind part tokens, and case doesn't count."""
     texts = ["a b c", "A\tb\x0bC a", "", None, "  ", "日本 é" + "x" * 200, "a b c"]
