@@ -638,6 +638,23 @@ def test_pairs_over_blocks_come_once(spark, monkeypatch):
     assert forest.agg(F.max("distance")).first()[0] <= 10 and {tuple(r) for r in forest.select("a", "b").collect()} <= {(int(a), int(b)) for a in h for b in h if a != b}
 
 
+def test_duplicate_verdict_without_a_join_of_keys(spark):
+    """10,000 hashes far from each other and some pairs: the verdict, and links of the hashes without a join of the keys near
+    them, whose rows are hundreds to thousands for each."""
+    import random
+
+    rng = random.Random(11)
+    signed = [rng.getrandbits(64) - (1 << 63) for _ in range(10_000)]
+    rows = [(i, f"c{i}", h) for i, h in enumerate(signed)] + [(20_000 + i, f"d{i}", signed[i] ^ 1) for i in range(30)] + [(30_000, "c1", signed[1]), (30_001, None, None)]
+    df = spark.createDataFrame(rows, "seq long, sha256 string, h long")
+    forest = similarity.near_forest(df, 10)
+    assert 30 <= forest.count() < 2000
+    assert "Join" not in forest._jdf.queryExecution().executedPlan().toString()
+    found = verdicts.duplicates(df, similarity.near_clusters(df)).first()
+    assert (found["n_samples"], found["exact_clusters"], found["missing_hashes"], found["risk"], found["confidence"], found["status"]) == (10_032, 1, 1, "MEDIUM", "MODERATE", "PARTIAL")
+    assert found["near_clusters"] >= 29
+
+
 def test_hashes_of_tokens(spark):
     """Repeated rows have a hash each; blanks of every kind part tokens, and case doesn't count."""
     texts = ["a b c", "A\tb\x0bC a", "", None, "  ", "日本 é" + "x" * 200, "a b c"]
