@@ -680,6 +680,22 @@ def test_findings_and_evidence_are_kept_packed(spark):
     assert size < 60 * 50_000 and found.exceptAll(rows).count() == 0 and found.count() == 50_000
 
 
+def test_conflicts_and_patterns_over_many_blocks(spark, monkeypatch):
+    """The near hashes that the battery's checks on labels and patches ask for, from several blocks, as from plain comparison;
+    keys near a hash are not joined."""
+    import random
+
+    rng = random.Random(13)
+    base = [rng.getrandbits(64) - (1 << 63) for _ in range(80)]
+    rows = [(i, f"c{i}", rng.choice(base) ^ (1 << rng.randrange(63)), [rng.choice("xy")]) for i in range(600)]
+    want = sorted((i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j and a[3] != b[3] and ((a[2] ^ b[2]) & (2**64 - 1)).bit_count() <= 2)
+    df = spark.createDataFrame(rows, "seq long, sha256 string, h long, labels array<string>")
+    monkeypatch.setattr(similarity, "PACK", 64)
+    assert similarity._deal(len({h for _, _, h, _ in rows}))[0] > 3
+    assert sorted((r["seq_a"], r["seq_b"]) for r in similarity.label_conflicts(df, 2, None).collect()) == want
+    assert "Join" not in similarity.near_hashes(df, 4)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hashes_of_tokens(spark):
     """Repeated rows have a hash each; blanks of every kind part tokens, and case doesn't count."""
     texts = ["a b c", "A\tb\x0bC a", "", None, "  ", "日本 é" + "x" * 200, "a b c"]
